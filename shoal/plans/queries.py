@@ -153,3 +153,541 @@ def l4_cluster_cards(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """The end-to-end card table; replaced by the full pipeline once it lands."""
     return l4_cluster_cards(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# Scalar projections P1-P7 over documents (whole texts)
+# ---------------------------------------------------------------------------
+
+from shoal.functions import text as TX  # noqa: E402
+from shoal.operators import filters as FL  # noqa: E402
+from shoal.operators import report as R  # noqa: E402
+from shoal.sources.tables import read_table  # noqa: E402
+
+_STRIP = "regexp_replace({0}, '^@WS@+|@WS@+$', '', 'g')"
+
+
+def _docs(spark, sf):
+    return read_table(spark, sf, "documents")
+
+
+@register("p1_normalize_text", """
+SELECT doc_id AS record_id, trim(regexp_replace(coalesce(text, ''), '@WS@+', ' ', 'g')) AS normalized
+FROM documents
+""")
+def p1_normalize_text(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.normalize_text("text").alias("normalized"))
+
+
+@register("p2_truncate_text", """
+SELECT doc_id AS record_id,
+       CASE WHEN length(text) <= 100 THEN text ELSE substr(text, 1, 97) || '...' END AS truncated
+FROM documents
+""")
+def p2_truncate_text(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.truncate_text("text", 100).alias("truncated"))
+
+
+@register("p3_hover_truncate", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id,
+       CASE WHEN summary IS NULL OR summary = '' THEN ''
+            WHEN length(summary) > 100 THEN substr(summary, 1, 100) || '...' ELSE summary END AS hover_summary,
+       CASE WHEN detail IS NULL OR detail = '' THEN ''
+            WHEN length(detail) > 100 THEN substr(detail, 1, 100) || '...' ELSE detail END AS hover_detail
+FROM records
+""")
+def p3_hover_truncate(spark, sf):
+    r = B.doc_records(spark, sf)
+    return r.select("record_id", TX.hover_truncate("summary").alias("hover_summary"),
+                    TX.hover_truncate("detail").alias("hover_detail"))
+
+
+@register("p4_normalize_number", f"""
+SELECT doc_id AS record_id, translate(text, '{TX.FULLWIDTH_DIGITS}', '{TX.ASCII_DIGITS}') AS normalized
+FROM documents
+""")
+def p4_normalize_number(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.normalize_number("text").alias("normalized"))
+
+
+@register("p5_document_text", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id, document_text FROM docrec
+""")
+def p5_document_text(spark, sf):
+    return B.doc_records(spark, sf).select("record_id", "document_text")
+
+
+@register("p6_blank_to_space", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id, CASE WHEN {_STRIP.format("coalesce(summary, '')")} = '' THEN ' ' ELSE summary END AS prepared
+FROM records
+""")
+def p6_blank_to_space(spark, sf):
+    return B.doc_records(spark, sf).select("record_id", TX.blank_to_space("summary").alias("prepared"))
+
+
+@register("p7_clip_200", """
+SELECT doc_id AS record_id, substr(text, 1, 200) AS clipped FROM documents
+""")
+def p7_clip_200(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.clip("text", 200).alias("clipped"))
+
+
+# ---------------------------------------------------------------------------
+# Projections, labels, colours
+# ---------------------------------------------------------------------------
+
+def _cards(spark, sf):
+    return L.cluster_cards(B.clustered_records(spark, sf), pattern=LETTER_RUN)
+
+
+_REC_COLS = "record_id, store, block, summary, detail, category, category_name"
+
+
+@register("p8_drop_internal", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT {_REC_COLS} FROM records
+""")
+def p8_drop_internal(spark, sf):
+    r = B.doc_records(spark, sf).withColumnRenamed("document_text", "_document_text")
+    return R.drop_internal(r)
+
+
+@register("p9_display_columns", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT store, block, category, category_name, summary, detail FROM records
+""")
+def p9_display_columns(spark, sf):
+    return R.display_columns(B.doc_records(spark, sf))
+
+
+@register("p10_default_label", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT a.record_id, a.cluster, coalesce(c.label, '{L.LABEL_PREFIX}' || CAST(a.cluster AS VARCHAR)) AS cluster_label
+FROM assignments a LEFT JOIN cards c USING (cluster)
+""")
+def p10_default_label(spark, sf):
+    return R.attach_card(B.emb_assignments(spark, sf), _cards(spark, sf))
+
+
+@register("p10_default_label_nocards", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id, cluster,
+       CASE WHEN cluster = -1 THEN '{R.NOISE_NAME}' ELSE '{L.LABEL_PREFIX}' || CAST(cluster AS VARCHAR) END AS cluster_label
+FROM assignments
+""")
+def p10_default_label_nocards(spark, sf):
+    return R.attach_card(B.emb_assignments(spark, sf), None)
+
+
+@register("p11_highlight_opacity", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id, CAST(CASE WHEN cluster = 3 THEN 1.0 ELSE {R.DIM_OPACITY} END AS DOUBLE) AS opacity FROM assignments
+""")
+def p11_highlight_opacity(spark, sf):
+    a = B.emb_assignments(spark, sf)
+    return a.select("record_id", R.highlight_opacity(F.col("cluster"), 3).alias("opacity"))
+
+
+_PALETTE_SQL = "[" + _sql_list(R.PALETTE) + "]"
+
+
+@register("p12_cluster_color", f"""
+WITH {B.ORACLE_RECORDS},
+ids AS (SELECT DISTINCT cluster FROM assignments)
+SELECT cluster, CASE WHEN cluster = -1 THEN '{R.NOISE_COLOR}'
+  ELSE {_PALETTE_SQL}[((dense_rank() OVER (ORDER BY cluster) - 1 - (SELECT count(*) FROM ids WHERE cluster = -1)) % {len(R.PALETTE)}) + 1]
+  END AS color
+FROM ids
+""")
+def p12_cluster_color(spark, sf):
+    return R.cluster_colors(B.emb_assignments(spark, sf))
+
+
+@register("p13_cluster_option", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT DISTINCT a.cluster, CAST(a.cluster AS VARCHAR) || ': ' || coalesce(c.label, '{R.OPTION_PREFIX}' || CAST(a.cluster AS VARCHAR)) AS option
+FROM assignments a LEFT JOIN cards c USING (cluster) WHERE a.cluster <> -1
+""")
+def p13_cluster_option(spark, sf):
+    return R.cluster_options(B.emb_assignments(spark, sf), _cards(spark, sf))
+
+
+@register("j1_attach_labels", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT r.record_id, r.store, a.cluster, round(p.x, 6) AS x, round(p.y, 6) AS y
+FROM records r JOIN assignments a USING (record_id) JOIN points p USING (record_id)
+""")
+def j1_attach_labels(spark, sf):
+    j = R.attach_labels(B.doc_records(spark, sf), B.emb_assignments(spark, sf), B.emb_points(spark, sf))
+    return j.select("record_id", "store", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register("j2_attach_card", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT r.record_id, r.cluster, coalesce(c.label, '{L.LABEL_PREFIX}' || CAST(r.cluster AS VARCHAR)) AS cluster_label
+FROM crec r LEFT JOIN cards c USING (cluster)
+""")
+def j2_attach_card(spark, sf):
+    r = B.clustered_records(spark, sf).select("record_id", "cluster")
+    return R.attach_card(r, _cards(spark, sf))
+
+
+_ORACLE_CATEGORY = f"""
+CASE WHEN regexp_extract({_STRIP.format('{0}')}, '{TX.CATEGORY_BRACKET}', 1) <> ''
+     THEN upper(regexp_extract({_STRIP.format('{0}')}, '{TX.CATEGORY_BRACKET}', 1))
+     WHEN regexp_matches({_STRIP.format('{0}')}, '{TX.CATEGORY_LETTER}') THEN upper({_STRIP.format('{0}')})
+     END"""
+_ORACLE_CATEGORY_NAME = ("coalesce(CASE upper({0}) "
+                         + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TX.CATEGORY_NAMES.items())
+                         + f" END, '{TX.UNCATEGORISED}')")
+
+
+@register("j3_attach_category", f"""
+SELECT doc_id AS record_id, cat AS category, {_ORACLE_CATEGORY_NAME.format('cat')} AS category_name
+FROM (SELECT doc_id, {_ORACLE_CATEGORY.format('substr(text, 1, 1)')} AS cat FROM documents)
+""")
+def j3_attach_category(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").alias("record_id"),
+                                TX.extract_category(F.substring("text", 1, 1)).alias("category"))
+    return d.withColumn("category_name", TX.category_name("category"))
+
+
+# ---------------------------------------------------------------------------
+# F1-F8 filters
+# ---------------------------------------------------------------------------
+
+_SPEC_STORES = ["src1", "src2", "src7"]
+_SPEC_CATS = ["en", "fr"]
+_SPEC_BLOCKS = ["1", "-1"]
+
+
+def _filtered(spark, sf, spec):
+    return FL.apply_filters(B.doc_records(spark, sf), spec).select(
+        "record_id", "store", "block", "category_name", "detail")
+
+
+_F_SELECT = f"WITH {B.ORACLE_RECORDS} SELECT record_id, store, block, category_name, detail FROM records"
+
+
+@register("f1_filter_stores", _F_SELECT + f" WHERE store IN ({_sql_list(_SPEC_STORES)})")
+def f1_filter_stores(spark, sf):
+    return _filtered(spark, sf, FL.FilterSpec(stores=_SPEC_STORES))
+
+
+@register("f2_filter_categories", _F_SELECT + f" WHERE category_name IN ({_sql_list(_SPEC_CATS)})")
+def f2_filter_categories(spark, sf):
+    return _filtered(spark, sf, FL.FilterSpec(categories=_SPEC_CATS))
+
+
+@register("f3_filter_blocks", _F_SELECT + f" WHERE block IN ({_sql_list(_SPEC_BLOCKS)})")
+def f3_filter_blocks(spark, sf):
+    return _filtered(spark, sf, FL.FilterSpec(blocks=_SPEC_BLOCKS))
+
+
+@register("f4_filter_doc_type", _F_SELECT + " WHERE detail = ''")
+def f4_filter_doc_type(spark, sf):
+    return _filtered(spark, sf, FL.FilterSpec(doc_type="概要のみ"))
+
+
+@register("f5_apply_filters", _F_SELECT + f" WHERE category_name IN ({_sql_list(_SPEC_CATS)}) "
+          f"AND block IN ({_sql_list(_SPEC_BLOCKS)}) AND detail <> ''")
+def f5_apply_filters(spark, sf):
+    return _filtered(spark, sf, FL.FilterSpec(categories=_SPEC_CATS, blocks=_SPEC_BLOCKS, doc_type="detail_only"))
+
+
+@register("f5_filter_report", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT count(*) FILTER (WHERE category_name IN ({_sql_list(_SPEC_CATS)}) AND detail <> '') AS kept,
+       count(*) AS total
+FROM records
+""")
+def f5_filter_report(spark, sf):
+    return FL.filter_report(B.doc_records(spark, sf), FL.FilterSpec(categories=_SPEC_CATS, doc_type="detail_only"))
+
+
+@register("f6_filter_options", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT DISTINCT store AS value FROM records
+""")
+def f6_filter_options(spark, sf):
+    return FL.filter_options(B.doc_records(spark, sf), "store")
+
+
+@register("f7_drop_noise", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id, cluster FROM assignments WHERE cluster >= 0
+""")
+def f7_drop_noise(spark, sf):
+    return FL.drop_noise(B.emb_assignments(spark, sf))
+
+
+@register("f8_cluster_members", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id, store, cluster FROM crec WHERE cluster = 3
+""")
+def f8_cluster_members(spark, sf):
+    return FL.cluster_members(B.clustered_records(spark, sf), 3).select("record_id", "store", "cluster")
+
+
+# ---------------------------------------------------------------------------
+# A1-A11 aggregates
+# ---------------------------------------------------------------------------
+
+@register("a1_summary_stats", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT count(*) AS total_records,
+       count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
+       count(*) FILTER (WHERE cluster = -1) AS n_noise,
+       count(DISTINCT store) AS unique_stores,
+       round(CASE WHEN count(*) > 0 THEN (count(*) FILTER (WHERE cluster = -1)) / count(*) ELSE 0 END, 6) AS noise_ratio
+FROM crec
+""")
+def a1_summary_stats(spark, sf):
+    s = R.summary_stats(B.clustered_records(spark, sf))
+    return s.withColumn("noise_ratio", F.round("noise_ratio", 6))
+
+
+@register("a2_count_by_category", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT category_name AS value, count(*) AS n FROM crec GROUP BY category_name
+""")
+def a2_count_by_category(spark, sf):
+    return R.value_counts(B.clustered_records(spark, sf), "category_name")
+
+
+@register("a3_count_by_store", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT store AS value, count(*) AS n FROM crec GROUP BY store
+""")
+def a3_count_by_store(spark, sf):
+    return R.value_counts(B.clustered_records(spark, sf), "store")
+
+
+@register("a4_import_metrics", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT count(*) AS rows, count(DISTINCT store) AS stores, count(DISTINCT category_name) AS categories,
+       count(*) FILTER (WHERE detail = '') AS summary_only
+FROM records
+""")
+def a4_import_metrics(spark, sf):
+    return R.import_metrics(B.doc_records(spark, sf))
+
+
+@register("a5_cluster_sizes", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS},
+sz AS (SELECT cluster, count(*) AS n FROM assignments GROUP BY cluster)
+SELECT sz.cluster, sz.n, round(sz.n / (SELECT sum(n) FROM sz), 6) AS share,
+       coalesce(c.label, '{L.LABEL_PREFIX}' || CAST(sz.cluster AS VARCHAR)) AS name
+FROM sz LEFT JOIN cards c USING (cluster)
+""")
+def a5_cluster_sizes(spark, sf):
+    s = R.cluster_sizes(B.emb_assignments(spark, sf), _cards(spark, sf))
+    return s.withColumn("share", F.round("share", 6))
+
+
+@register("a6_cluster_stats", f"""
+WITH {B.ORACLE_RECORDS},
+pc AS (SELECT cluster, category_name, count(*) AS n FROM crec GROUP BY ALL)
+SELECT d.cluster, d.count, d.category_dist, s.store_count FROM
+ (SELECT cluster, sum(n) AS count, string_agg(category_name || ':' || CAST(n AS VARCHAR), ', ' ORDER BY category_name) AS category_dist
+  FROM pc GROUP BY cluster) d
+ JOIN (SELECT cluster, count(DISTINCT store) AS store_count FROM crec GROUP BY cluster) s USING (cluster)
+""")
+def a6_cluster_stats(spark, sf):
+    s = R.cluster_stats(B.clustered_records(spark, sf))
+    dist = F.array_join(F.transform(F.map_entries("category_dist"),
+                                    lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ", ")
+    return s.select("cluster", F.col("count").cast("bigint").alias("count"), dist.alias("category_dist"),
+                    "store_count")
+
+
+def _labelled(spark, sf):
+    return R.attach_card(B.clustered_records(spark, sf), _cards(spark, sf))
+
+
+_ORACLE_LABELLED = f"""
+lab AS (
+  SELECT r.*, coalesce(c.label, '{L.LABEL_PREFIX}' || CAST(r.cluster AS VARCHAR)) AS cluster_label
+  FROM crec r LEFT JOIN cards c USING (cluster)
+)
+"""
+
+
+@register("a7_crosstab_category", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_LABELLED}
+PIVOT (SELECT cluster_label, category_name FROM lab) ON category_name USING count(*) GROUP BY cluster_label
+""")
+def a7_crosstab_category(spark, sf):
+    return R.crosstab(_labelled(spark, sf), "cluster_label", "category_name")
+
+
+@register("a8_cluster_counts_only", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_LABELLED}
+SELECT cluster_label AS value, count(*) AS n FROM lab GROUP BY cluster_label
+""")
+def a8_cluster_counts_only(spark, sf):
+    return R.value_counts(_labelled(spark, sf), "cluster_label")
+
+
+@register("a9_crosstab_store", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_LABELLED}
+SELECT store, cluster_label, count(*) AS n FROM lab GROUP BY ALL
+""")
+def a9_crosstab_store(spark, sf):
+    return R.crosstab_long(_labelled(spark, sf), "store", "cluster_label")
+
+
+@register("a10_centroids", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy
+FROM points JOIN assignments USING (record_id) GROUP BY cluster
+""")
+def a10_centroids(spark, sf):
+    p = B.emb_points(spark, sf).join(B.emb_assignments(spark, sf), "record_id")
+    c = R.centroids(p)
+    return c.select("cluster", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+
+
+@register("a11_n_clusters_noise", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
+       count(*) FILTER (WHERE cluster = -1) AS n_noise
+FROM assignments
+""")
+def a11_n_clusters_noise(spark, sf):
+    return R.n_clusters_noise(B.emb_assignments(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# W4-W6, C1-C3, S7, L1-L3
+# ---------------------------------------------------------------------------
+
+@register("w4_random_per_cluster", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT record_id, cluster FROM (
+  SELECT record_id, cluster, row_number() OVER (
+    PARTITION BY cluster ORDER BY ((record_id % 4294967291) * 48271 + 42) % 2147483647, record_id) AS rn
+  FROM crec) WHERE rn <= 3
+""")
+def w4_random_per_cluster(spark, sf):
+    r = R.random_per_cluster(B.clustered_records(spark, sf), 3, 42, key=R.lcg_key(42))
+    return r.select("record_id", "cluster")
+
+
+@register("w5_preview", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT {_REC_COLS} FROM records ORDER BY record_id LIMIT 50
+""")
+def w5_preview(spark, sf):
+    return R.preview(B.doc_records(spark, sf))
+
+
+@register("w6_ordered_cards", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT cluster, label, count FROM cards ORDER BY cluster
+""")
+def w6_ordered_cards(spark, sf):
+    return R.ordered_cards(_cards(spark, sf)).select("cluster", "label", "count")
+
+
+@register("c1_scatter_table", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS},
+ids AS (SELECT DISTINCT cluster FROM assignments),
+col AS (
+  SELECT cluster, CASE WHEN cluster = -1 THEN '{R.NOISE_COLOR}'
+    ELSE {_PALETTE_SQL}[((dense_rank() OVER (ORDER BY cluster) - 1 - (SELECT count(*) FROM ids WHERE cluster = -1)) % {len(R.PALETTE)}) + 1]
+    END AS color FROM ids)
+SELECT r.record_id, round(p.x, 6) AS x, round(p.y, 6) AS y, a.cluster,
+       coalesce(c.label, '{L.LABEL_PREFIX}' || CAST(a.cluster AS VARCHAR)) AS cluster_label,
+       col.color, CAST(1.0 AS DOUBLE) AS opacity,
+       r.store AS hover_store, r.block AS hover_block, r.category_name AS hover_category,
+       CASE WHEN r.summary IS NULL OR r.summary = '' THEN ''
+            WHEN length(r.summary) > 100 THEN substr(r.summary, 1, 100) || '...' ELSE r.summary END AS hover_summary,
+       CASE WHEN r.detail IS NULL OR r.detail = '' THEN ''
+            WHEN length(r.detail) > 100 THEN substr(r.detail, 1, 100) || '...' ELSE r.detail END AS hover_detail
+FROM records r JOIN assignments a USING (record_id) JOIN points p USING (record_id)
+     LEFT JOIN cards c ON c.cluster = a.cluster LEFT JOIN col ON col.cluster = a.cluster
+""")
+def c1_scatter_table(spark, sf):
+    t = R.scatter_table(B.doc_records(spark, sf), B.emb_assignments(spark, sf), B.emb_points(spark, sf),
+                        _cards(spark, sf))
+    return t.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+
+
+@register("c2_annotation_table", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy,
+       coalesce(any_value(c.label), '{L.LABEL_PREFIX}' || CAST(cluster AS VARCHAR)) AS text
+FROM points JOIN assignments USING (record_id) LEFT JOIN cards c USING (cluster)
+GROUP BY cluster
+""")
+def c2_annotation_table(spark, sf):
+    p = B.emb_points(spark, sf).join(B.emb_assignments(spark, sf), "record_id")
+    a = R.annotation_table(p, _cards(spark, sf))
+    return a.select("cluster", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "text")
+
+
+@register("c3_report_cards", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS},
+rp AS (SELECT cluster, string_agg(CASE WHEN length(t) <= 200 THEN t ELSE substr(t, 1, 197) || '...' END, ' | ' ORDER BY rn) AS r
+       FROM smp WHERE rn <= 3 GROUP BY cluster)
+SELECT c.cluster, c.label, c.count, coalesce(rp.r, '') AS representative_texts
+FROM cards c LEFT JOIN rp USING (cluster)
+""")
+def c3_report_cards(spark, sf):
+    c = R.report_cards(_cards(spark, sf))
+    return c.select("cluster", "label", "count", _joined("representative_texts"))
+
+
+@register("s7_export_csv", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT r.record_id, r.store AS "{R.EXPORT_HEADERS['store']}", r.block AS "{R.EXPORT_HEADERS['block']}",
+       r.summary AS "{R.EXPORT_HEADERS['summary']}", r.detail AS "{R.EXPORT_HEADERS['detail']}",
+       r.category AS "{R.EXPORT_HEADERS['category']}", r.category_name AS "{R.EXPORT_HEADERS['category_name']}",
+       a.cluster AS "{R.CLUSTER_NUMBER_HEADER}",
+       coalesce(c.label, '{L.LABEL_PREFIX}' || CAST(a.cluster AS VARCHAR)) AS "{R.CLUSTER_NAME_HEADER}"
+FROM records r JOIN assignments a USING (record_id) LEFT JOIN cards c ON c.cluster = a.cluster
+""")
+def s7_export_csv(spark, sf):
+    r = B.doc_records(spark, sf).withColumnRenamed("document_text", "_document_text")
+    return R.export_frame(r, B.emb_assignments(spark, sf), _cards(spark, sf), True, R.EXPORT_HEADERS)
+
+
+@register("l1_fallback_label", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT c.cluster, coalesce(wl.lab, '{L.LABEL_PREFIX}' || CAST(c.cluster AS VARCHAR)) AS label
+FROM cnts c LEFT JOIN wl USING (cluster)
+""")
+def l1_fallback_label(spark, sf):
+    recs = B.clustered_records(spark, sf)
+    ids = recs.select("cluster").distinct()
+    wl = L.word_lists(recs, pattern=LETTER_RUN)
+    j = ids.join(wl, "cluster", "left")
+    return j.select("cluster", L.fallback_label(F.col("cluster"), F.col("frequent_words")).alias("label"))
+
+
+@register("l2_fallback_description", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT cluster, CASE WHEN wl.lab IS NULL THEN '{L.EMPTY_DESCRIPTION}'
+  ELSE '{L.DESCRIPTION_TEMPLATE.split("{words}")[0]}' || wl.w5 ||
+       '{L.DESCRIPTION_TEMPLATE.split("{words}")[1].split("{first}")[0]}' || wl.w1 ||
+       '{L.DESCRIPTION_TEMPLATE.split("{first}")[1]}' END AS description
+FROM cnts LEFT JOIN wl USING (cluster)
+""")
+def l2_fallback_description(spark, sf):
+    recs = B.clustered_records(spark, sf)
+    ids = recs.select("cluster").distinct()
+    j = ids.join(L.word_lists(recs, pattern=LETTER_RUN), "cluster", "left")
+    return j.select("cluster", L.fallback_description(F.col("frequent_words")).alias("description"))
+
+
+@register("l3_noise_card", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
+SELECT cluster, label, description, frequent_words, count FROM cards WHERE cluster = -1
+""")
+def l3_noise_card(spark, sf):
+    c = _cards(spark, sf).where(F.col("cluster") == -1)
+    return c.select("cluster", "label", "description", _joined("frequent_words"), "count")
