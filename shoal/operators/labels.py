@@ -109,8 +109,10 @@ def word_occurrences(df: DataFrame, text_col: str = "document_text", cluster_col
     sw = STOPWORDS if stopwords is None else stopwords
     occ = df.select(
         F.col(cluster_col).alias("cluster"), F.col(order_col).alias("order"),
-        F.posexplode(TX.cjk_runs(text_col, pattern)).alias("pos", "word"))
-    keep = F.length("word") >= min_length
+        F.posexplode_outer(TX.cjk_runs(text_col, pattern)).alias("pos", "word"))
+    # outer explode + null filter: an inner one makes the optimizer add a
+    # size(...) > 0 filter that runs the regex a second time.
+    keep = F.col("word").isNotNull() & (F.length("word") >= min_length)
     if sw:
         keep = keep & ~F.col("word").isin(sw)
     return occ.where(keep)

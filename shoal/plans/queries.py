@@ -691,3 +691,97 @@ SELECT cluster, label, description, frequent_words, count FROM cards WHERE clust
 def l3_noise_card(spark, sf):
     c = _cards(spark, sf).where(F.col("cluster") == -1)
     return c.select("cluster", "label", "description", _joined("frequent_words"), "count")
+
+
+# ---------------------------------------------------------------------------
+# T1-T7 TF-IDF over documents (whole texts)
+# ---------------------------------------------------------------------------
+
+from shoal.operators import features as FT  # noqa: E402
+
+_ORACLE_TERMS = """
+toks AS (
+  SELECT doc_id AS record_id,
+         regexp_extract_all(lower(CASE WHEN regexp_replace(coalesce(text, ''), '^@WS@+|@WS@+$', '', 'g') = ''
+                                       THEN ' ' ELSE text END), '[\\p{L}\\p{N}_]{2,}') AS t
+  FROM documents
+),
+terms AS (
+  SELECT record_id, t,
+         list_concat(t, list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) AS terms
+  FROM toks
+),
+tf AS (SELECT record_id, term, count(*) AS tf FROM (SELECT record_id, unnest(terms) AS term FROM terms) GROUP BY ALL),
+st AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM tf GROUP BY term),
+n AS (SELECT count(*) AS N FROM documents),
+kept AS (SELECT term, df, ctf FROM st, n WHERE df >= 2 AND df <= N * 0.95),
+vocab AS (SELECT term, df FROM kept ORDER BY ctf DESC, term LIMIT 1000),
+wt AS (SELECT record_id, term, tf * (ln((1 + N) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), n),
+nw AS (SELECT record_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY record_id)) AS weight FROM wt)
+"""
+
+
+def _doc_recs(spark, sf):
+    return _docs(spark, sf).select(F.col("doc_id").alias("record_id"), F.col("text").alias("document_text"))
+
+
+@register("t1_tokens", f"""
+WITH {_ORACLE_TERMS}
+SELECT record_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens FROM terms
+""")
+def t1_tokens(spark, sf):
+    t = _doc_recs(spark, sf).select("record_id", TX.word_tokens(TX.blank_to_space("document_text")).alias("t"))
+    return t.select("record_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@register("t2_ngrams", f"""
+WITH {_ORACLE_TERMS}
+SELECT record_id, CAST(len(terms) AS INTEGER) AS n_terms, array_to_string(terms, '|') AS terms FROM terms
+""")
+def t2_ngrams(spark, sf):
+    t = FT.terms(_doc_recs(spark, sf))
+    return t.select("record_id", F.size("terms").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
+
+
+@register("t3_df_prune", f"""
+WITH {_ORACLE_TERMS}
+SELECT term, df, ctf FROM kept
+""")
+def t3_df_prune(spark, sf):
+    d = _doc_recs(spark, sf)
+    n = d.agg(F.count(F.lit(1)).alias("N"))
+    st = FT._with_one_row(FT.term_stats(FT.terms(d)), n)
+    return st.where((F.col("df") >= 2) & (F.col("df") <= F.col("N") * 0.95)).select("term", "df", "ctf")
+
+
+@register("t4_vocab_top", f"""
+WITH {_ORACLE_TERMS}
+SELECT term, df FROM vocab
+""")
+def t4_vocab_top(spark, sf):
+    d = _doc_recs(spark, sf)
+    return FT.vocabulary(FT.terms(d), d.count())
+
+
+@register("t5_tfidf", f"""
+WITH {_ORACLE_TERMS}
+SELECT record_id, term, round(weight, 6) AS weight FROM nw
+""")
+def t5_tfidf(spark, sf):
+    t = FT.tfidf_long(_doc_recs(spark, sf))
+    return t.withColumn("weight", F.round("weight", 6))
+
+
+@register("t7_assemble_features", f"""
+WITH {_ORACLE_TERMS},
+per AS (SELECT record_id, count(*) AS nnz, sum(weight * weight) AS sq FROM nw GROUP BY record_id)
+SELECT d.doc_id AS record_id, CAST(coalesce(per.nnz, 0) AS INTEGER) AS nnz, round(coalesce(sqrt(per.sq), 0), 6) AS norm
+FROM documents d LEFT JOIN per ON per.record_id = d.doc_id
+""")
+def t7_assemble_features(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    d = _doc_recs(spark, sf)
+    v = FT.fit_tfidf(d).transform(d)
+    arr = vector_to_array("features")
+    return v.select("record_id", F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"),
+                    F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
