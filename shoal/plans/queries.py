@@ -151,8 +151,8 @@ def l4_cluster_cards(spark, sf):
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """The end-to-end card table; replaced by the full pipeline once it lands."""
-    return l4_cluster_cards(spark, sf)
+    """documents -> TF-IDF -> PCA 2-D -> k-means -> silhouette -> label cards."""
+    return m7_fit(spark, sf)
 
 
 # ---------------------------------------------------------------------------
@@ -785,3 +785,105 @@ def t7_assemble_features(spark, sf):
     arr = vector_to_array("features")
     return v.select("record_id", F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"),
                     F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+# ---------------------------------------------------------------------------
+# models
+# ---------------------------------------------------------------------------
+
+from shoal.operators import cluster as CL  # noqa: E402
+from shoal.operators import evaluate as EV  # noqa: E402
+from shoal.operators import reduce as RD  # noqa: E402
+from shoal.plans import pipeline as PL  # noqa: E402
+
+_FIT_CACHE: dict = {}
+
+
+def _doc_fit(spark, sf) -> PL.FitResult:
+    """One fit per (session, sf) shared by the model queries of a run."""
+    key = (id(spark), sf)
+    if key not in _FIT_CACHE:
+        recs = B.doc_records(spark, sf)
+        _FIT_CACHE[key] = PL.fit(recs, PL.PipelineConfig(word_pattern=LETTER_RUN))
+    return _FIT_CACHE[key]
+
+
+@register("m1_pca2")
+def m1_pca2(spark, sf):
+    d = _doc_recs(spark, sf)
+    feats = FT.fit_tfidf(d).transform(d).persist()
+    pts = RD.pca2(feats)
+    return pts.select("record_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register("m3_kmeans")
+def m3_kmeans(spark, sf):
+    return _doc_fit(spark, sf).assignments
+
+
+@register("m7_fit")
+def m7_fit(spark, sf):
+    c = _doc_fit(spark, sf).cards
+    return c.select("cluster", "label", "description", _joined("representative_texts"),
+                    _joined("frequent_words"), "count")
+
+
+@register("m8_run_stats")
+def m8_run_stats(spark, sf):
+    return _doc_fit(spark, sf).run_stats
+
+
+def _emb_points(spark, sf):
+    return B.emb_points(spark, sf).join(B.emb_assignments(spark, sf), "record_id")
+
+
+_ORACLE_PTS = """
+pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM points p JOIN assignments a USING (record_id)),
+cen AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM pts GROUP BY cluster),
+near AS (
+  SELECT * FROM (
+    SELECT p.record_id, p.x, p.y, c.cluster, (p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy) AS d2,
+           row_number() OVER (PARTITION BY p.record_id ORDER BY (p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy), c.cluster) AS rn
+    FROM pts p CROSS JOIN cen c) WHERE rn = 1
+)
+"""
+
+
+@register("m3a_assign_nearest", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_PTS}
+SELECT record_id, cluster, round(d2, 6) AS d2 FROM near
+""")
+def m3a_assign_nearest(spark, sf):
+    p = _emb_points(spark, sf)
+    cen = CL.centres_of(R.centroids(p))
+    a = CL.assign_nearest(p, cen)
+    return a.select("record_id", "cluster", F.round("d2", 6).alias("d2"))
+
+
+@register("m3b_lloyd_step", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_PTS}
+SELECT cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, count(*) AS n FROM near GROUP BY cluster
+""")
+def m3b_lloyd_step(spark, sf):
+    p = _emb_points(spark, sf)
+    st = CL.lloyd_step(p, CL.centres_of(R.centroids(p)))
+    return st.select("cluster", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "n")
+
+
+@register("m6_silhouette", f"""
+WITH {B.ORACLE_RECORDS},
+pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM points p JOIN assignments a USING (record_id) WHERE a.cluster >= 0),
+pair AS (SELECT i.record_id, i.cluster AS own, j.cluster, sum(sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y))) AS s,
+                count(*) AS c
+         FROM pts i CROSS JOIN pts j GROUP BY ALL),
+per AS (SELECT record_id, max(CASE WHEN cluster = own THEN c END) AS oc,
+               max(CASE WHEN cluster = own AND c > 1 THEN s / (c - 1) END) AS a,
+               min(CASE WHEN cluster <> own THEN s / c END) AS b
+        FROM pair GROUP BY record_id),
+sc AS (SELECT CASE WHEN oc <= 1 OR greatest(a, b) IS NULL OR greatest(a, b) = 0 THEN 0
+                   ELSE (b - a) / greatest(a, b) END AS s FROM per)
+SELECT round(avg(s), 6) AS silhouette, count(*) AS n FROM sc
+""")
+def m6_silhouette(spark, sf):
+    s = EV.silhouette_samples(_emb_points(spark, sf))
+    return s.agg(F.round(F.avg("s"), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))
