@@ -43,13 +43,19 @@ class EmptyVocabulary(ValueError):
 # -- T1 / T2 ------------------------------------------------------------------
 
 def ngrams(tokens: Column, n_max: int = 2) -> Column:
-    """Unigrams then bigrams (``"a b"``) ... up to ``n_max`` over the token array."""
+    """Unigrams then bigrams (``"a b"``) ... up to ``n_max`` over the token array.
+
+    Pass a column reference (not an expression): the tokens are read several times.
+    """
     out = [tokens]
     size = F.size(tokens)
     for n in range(2, n_max + 1):
         m = F.greatest(size - (n - 1), F.lit(0))
-        parts = [F.slice(tokens, i + 1, m) for i in range(n)]
-        joined = F.arrays_zip(*parts)
+        if n == 2:
+            out.append(F.zip_with(F.slice(tokens, 1, m), F.slice(tokens, 2, m),
+                                  lambda a, b: F.concat(a, F.lit(" "), b)))
+            continue
+        joined = F.arrays_zip(*[F.slice(tokens, i + 1, m) for i in range(n)])
 
         def gram(s, n=n):
             return F.concat_ws(" ", *[s[str(i)] for i in range(n)])
@@ -59,9 +65,13 @@ def ngrams(tokens: Column, n_max: int = 2) -> Column:
 
 def terms(df: DataFrame, text_col: str = "document_text", id_col: str = "record_id",
           ngram_max: int = 2) -> DataFrame:
-    """T1 + T2 + P6: ``(record_id, terms ARRAY<STRING>)`` per document."""
-    toks = TX.word_tokens(TX.blank_to_space(F.col(text_col)))
-    return df.select(F.col(id_col).alias("record_id"), ngrams(toks, ngram_max).alias("terms"))
+    """T1 + T2 + P6: ``(record_id, terms ARRAY<STRING>)`` per document.
+
+    The token array is projected once, then the n-grams read that column.
+    """
+    toks = df.select(F.col(id_col).alias("record_id"),
+                     TX.word_tokens(TX.blank_to_space(F.col(text_col))).alias("_tok"))
+    return toks.select("record_id", ngrams(F.col("_tok"), ngram_max).alias("terms"))
 
 
 def with_term_counts(term_df: DataFrame, terms_col: str = "terms", out_col: str = "tc") -> DataFrame:

@@ -89,3 +89,99 @@ crec AS (
 def oracle_sql_text(sql: str) -> str:
     from shoal.functions.text import WS_CLASS
     return sql.replace("@WS@", WS_CLASS)
+
+
+# ---------------------------------------------------------------------------
+# Sheet-cell bindings for the grid operators.
+#
+# conversations: one sheet per conversation (file = conv_id), one sheet row
+# per turn (row = turn + 7); a user turn carries a summary marker in E
+# ("{turn div 2 + 1}."), an assistant turn a detail marker in F ("({turn})");
+# the whole text sits in G with G..O merged on every turn row, and the text's
+# first character is the candidate category in R.  D4 / N4 hold the store
+# ("store-{conv_id}") and block (role of turn 0).
+# ---------------------------------------------------------------------------
+
+def conv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.operators.grid import TARGET_SHEET
+    conv = read_table(spark, sf_dir, "conversations")
+    base = conv.select(F.col("conv_id").cast("string").alias("file"), F.lit(TARGET_SHEET).alias("sheet"),
+                       (F.col("turn") + 7).cast("int").alias("row"), "turn", "role", "text")
+
+    def cell(df, row, col, value):
+        return df.select("file", "sheet", row.cast("int").alias("row"), F.lit(col).cast("int").alias("col"),
+                         value.cast("string").alias("value"))
+    first = base.where(F.col("turn") == 0)
+    parts = [
+        cell(base.where(F.col("role") == "user"), F.col("row"), 5,
+             F.concat(F.expr("turn div 2 + 1").cast("string"), F.lit("."))),
+        cell(base.where(F.col("role") == "assistant"), F.col("row"), 6,
+             F.concat(F.lit("("), F.col("turn").cast("string"), F.lit(")"))),
+        cell(base, F.col("row"), 7, F.col("text")),
+        cell(base, F.col("row"), 18, F.substring("text", 1, 1)),
+        cell(first, F.lit(4), 4, F.concat(F.lit("store-"), F.col("file"))),
+        cell(first, F.lit(4), 14, F.col("role")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(F.col("value").isNotNull())
+
+
+def conv_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.operators.grid import TARGET_SHEET
+    conv = read_table(spark, sf_dir, "conversations")
+    return conv.select(F.col("conv_id").cast("string").alias("file"), F.lit(TARGET_SHEET).alias("sheet"),
+                       (F.col("turn") + 7).cast("int").alias("min_row"), F.lit(7).alias("min_col"),
+                       (F.col("turn") + 7).cast("int").alias("max_row"), F.lit(15).alias("max_col"))
+
+
+def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet per order (file = l_orderkey), one row per line in column order
+    (row = 6 + its position), candidate columns P, Q, R = l_returnflag,
+    l_linestatus, l_linenumber.  An order has few lines, so the window per
+    order stays small whatever the table size."""
+    from pyspark.sql import Window
+
+    from shoal.operators.grid import TARGET_SHEET
+    li = read_table(spark, sf_dir, "lineitem")
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+             "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    w = Window.partitionBy("l_orderkey").orderBy(*order)
+    rows = li.select(F.col("l_orderkey").cast("string").alias("file"), F.lit(TARGET_SHEET).alias("sheet"),
+                     (F.row_number().over(w) + 6).cast("int").alias("row"),
+                     "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string").alias("l_linenumber"))
+    return rows.select("file", "sheet", "row", F.explode(F.array(
+        F.struct(F.lit(16).alias("col"), F.col("l_returnflag").alias("value")),
+        F.struct(F.lit(17).alias("col"), F.col("l_linestatus").alias("value")),
+        F.struct(F.lit(18).alias("col"), F.col("l_linenumber").alias("value")))).alias("c")) \
+        .select("file", "sheet", "row", F.col("c.col").cast("int").alias("col"), F.col("c.value").alias("value")) \
+        .where(F.col("value").isNotNull())
+
+
+ORACLE_CONV_CELLS = """
+cbase AS (SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 7 AS INTEGER) AS row, turn, role, text FROM conversations),
+cells AS (
+  SELECT file, row, 5 AS col, CAST(turn // 2 + 1 AS VARCHAR) || '.' AS value FROM cbase WHERE role = 'user'
+  UNION ALL SELECT file, row, 6, '(' || CAST(turn AS VARCHAR) || ')' FROM cbase WHERE role = 'assistant'
+  UNION ALL SELECT file, row, g.c, text FROM cbase CROSS JOIN generate_series(7, 15) AS g(c) WHERE text IS NOT NULL
+  UNION ALL SELECT file, row, 18, substr(text, 1, 1) FROM cbase WHERE text IS NOT NULL
+  UNION ALL SELECT file, 4, 4, 'store-' || file FROM cbase WHERE turn = 0
+  UNION ALL SELECT file, 4, 14, role FROM cbase WHERE turn = 0 AND role IS NOT NULL
+)
+"""
+
+ORACLE_LINEITEM_CELLS = """
+lrows AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS file,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
+              l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) + 6 AS INTEGER) AS row,
+         l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR) AS l_linenumber
+  FROM lineitem
+),
+cells AS (
+  SELECT file, row, 16 AS col, l_returnflag AS value FROM lrows WHERE l_returnflag IS NOT NULL
+  UNION ALL SELECT file, row, 17, l_linestatus FROM lrows WHERE l_linestatus IS NOT NULL
+  UNION ALL SELECT file, row, 18, l_linenumber FROM lrows WHERE l_linenumber IS NOT NULL
+)
+"""

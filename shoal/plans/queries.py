@@ -887,3 +887,284 @@ SELECT round(avg(s), 6) AS silhouette, count(*) AS n FROM sc
 def m6_silhouette(spark, sf):
     s = EV.silhouette_samples(_emb_points(spark, sf))
     return s.agg(F.round(F.avg("s"), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Grid shaping over the conversations / lineitem sheet bindings
+# ---------------------------------------------------------------------------
+
+from shoal.operators import grid as G  # noqa: E402
+
+
+def _norm_sql(e: str) -> str:
+    return f"trim(regexp_replace(coalesce({e}, ''), '@WS@+', ' ', 'g'))"
+
+
+def _nonblank_sql(e: str) -> str:
+    return f"({e} IS NOT NULL AND {_STRIP.format(e)} <> '')"
+
+
+def _join_non_empty_sql(lst: str) -> str:
+    nl = f"list_transform(coalesce({lst}, []), lambda v: {_norm_sql('v')})"
+    return (f"array_to_string(list_filter({nl}, lambda x, i: x <> '' AND list_position({nl}, x) = i), ' ')")
+
+
+_ORACLE_SCORES = f"""
+files AS (SELECT DISTINCT file FROM cells),
+candf AS (
+  SELECT file, row, col, value, {_nonblank_sql('value')} AS nb, {_ORACLE_CATEGORY.format('value')} AS cat
+  FROM cells WHERE col BETWEEN 16 AND 22 AND row BETWEEN 7 AND 206
+),
+cagg AS (
+  SELECT file, col, count(*) FILTER (WHERE nb) AS ne, count(*) FILTER (WHERE nb AND cat IS NOT NULL) AS mt,
+         list({_STRIP.format('value')} ORDER BY row) FILTER (WHERE nb AND cat IS NOT NULL) AS ex
+  FROM candf GROUP BY file, col
+),
+scores AS (
+  SELECT f.file, CAST(g.c AS INTEGER) AS col,
+         CAST(coalesce(mt, 0) AS DOUBLE) / 200 AS match_rate,
+         CAST(coalesce(ne, 0) AS DOUBLE) / 200 AS non_empty_rate,
+         (CAST(coalesce(mt, 0) AS DOUBLE) / 200) * CAST(0.8 AS DOUBLE)
+           + (CAST(coalesce(ne, 0) AS DOUBLE) / 200) * CAST(0.2 AS DOUBLE) AS score,
+         coalesce(ex[1:5], []) AS examples,
+         CAST(coalesce(mt, 0) AS BIGINT) AS matched_count, CAST(coalesce(ne, 0) AS BIGINT) AS non_empty_count,
+         CAST(200 AS BIGINT) AS total
+  FROM files f CROSS JOIN generate_series(16, 22) AS g(c) LEFT JOIN cagg a ON a.file = f.file AND a.col = g.c
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY score DESC, col) AS INTEGER) AS rank FROM scores),
+best AS (SELECT * FROM ranked WHERE rank = 1)
+"""
+
+_ORACLE_GRID = f"""
+rws AS (
+  SELECT c.file, c.row,
+         max(CASE WHEN c.col = 5 THEN c.value END) AS e,
+         max(CASE WHEN c.col = 6 THEN c.value END) AS f,
+         max(CASE WHEN c.col = b.col THEN c.value END) AS catv,
+         list(c.value ORDER BY c.col) FILTER (WHERE c.col BETWEEN 6 AND 15) AS stl,
+         list(c.value ORDER BY c.col) FILTER (WHERE c.col BETWEEN 7 AND 15) AS dtl
+  FROM cells c LEFT JOIN best b ON b.file = c.file
+  WHERE c.row BETWEEN 7 AND 207 GROUP BY c.file, c.row
+),
+rws2 AS (
+  SELECT file, row,
+         coalesce(regexp_matches(e, '{TX.SUMMARY_MARKER}'), false) AS is_summary,
+         coalesce(regexp_matches(f, '{TX.DETAIL_MARKER}'), false)
+           AND NOT coalesce(regexp_matches(e, '{TX.SUMMARY_MARKER}'), false) AS is_detail,
+         {_ORACLE_CATEGORY.format('catv')} AS cat,
+         {_join_non_empty_sql('stl')} AS summary_text,
+         {_join_non_empty_sql('dtl')} AS detail_text
+  FROM rws
+),
+st AS (
+  SELECT *,
+         last_value(cat IGNORE NULLS) OVER w AS category_in_force,
+         (last_value(CASE WHEN is_summary OR (is_detail AND cat IS NOT NULL) THEN {{'c': cat}} END IGNORE NULLS) OVER w).c
+           AS category_nofill,
+         coalesce(last_value(CASE WHEN is_summary THEN summary_text END IGNORE NULLS) OVER w, '') AS summary_in_force,
+         min(CASE WHEN is_summary THEN row END) OVER wa AS ns,
+         min(CASE WHEN is_detail THEN row END) OVER wa AS nd
+  FROM rws2
+  WINDOW w AS (PARTITION BY file ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         wa AS (PARTITION BY file ORDER BY row RANGE BETWEEN 1 FOLLOWING AND 49 FOLLOWING)
+),
+st2 AS (SELECT *, (nd IS NOT NULL AND (ns IS NULL OR nd < ns)) AS has_detail FROM st),
+ord AS (SELECT file, row_number() OVER (ORDER BY file) AS file_no FROM (SELECT DISTINCT file FROM cells)),
+fx AS (
+  SELECT file, {_norm_sql("max(CASE WHEN row = 4 AND col = 4 THEN value END)")} AS store,
+         {_norm_sql("max(CASE WHEN row = 4 AND col = 14 THEN value END)")} AS block
+  FROM cells GROUP BY file
+),
+grecs AS (
+  SELECT CAST(o.file_no * 1000 + s.row AS BIGINT) AS record_id, s.file AS source_file, s.row,
+         coalesce(fx.store, '') AS store, coalesce(fx.block, '') AS block,
+         CASE WHEN is_summary THEN summary_text ELSE summary_in_force END AS summary,
+         CASE WHEN is_summary THEN '' ELSE detail_text END AS detail,
+         coalesce(category_in_force, '') AS category,
+         {_ORACLE_CATEGORY_NAME.format('category_in_force')} AS category_name
+  FROM st2 s LEFT JOIN fx USING (file) LEFT JOIN ord o USING (file)
+  WHERE (is_summary AND NOT has_detail AND summary_text <> '') OR (is_detail AND detail_text <> '')
+)
+"""
+
+
+def _conv_filled(spark, sf):
+    return G.fill_merged(B.conv_cells(spark, sf), B.conv_merges(spark, sf))
+
+
+def _conv_states(spark, sf, params=G.GridParams()):
+    c = _conv_filled(spark, sf)
+    best = G.best_column(G.score_columns(c, params))
+    return G.record_states(G.sheet_rows(c, best, params), params)
+
+
+@register("g1_fill_merged", f"""
+WITH {B.ORACLE_CONV_CELLS}
+SELECT file, row, CAST(col AS INTEGER) AS col, value FROM cells WHERE row >= 7
+""")
+def g1_fill_merged(spark, sf):
+    return _conv_filled(spark, sf).where(F.col("row") >= 7).select("file", "row", "col", "value")
+
+
+@register("g2_fixed_cells", f"""
+WITH {B.ORACLE_CONV_CELLS}
+SELECT file, {_norm_sql("max(CASE WHEN row = 4 AND col = 4 THEN value END)")} AS store,
+       {_norm_sql("max(CASE WHEN row = 4 AND col = 14 THEN value END)")} AS block
+FROM cells GROUP BY file
+""")
+def g2_fixed_cells(spark, sf):
+    return G.fixed_cells(_conv_filled(spark, sf))
+
+
+def _scores_out(df):
+    return df.select("file", "col", F.round("match_rate", 6).alias("match_rate"),
+                     F.round("non_empty_rate", 6).alias("non_empty_rate"), F.round("score", 6).alias("score"),
+                     F.array_join("examples", SEP).alias("examples"), "matched_count", "non_empty_count", "total")
+
+
+_SCORES_SELECT = ("file, col, round(match_rate, 6) AS match_rate, round(non_empty_rate, 6) AS non_empty_rate, "
+                  "round(score, 6) AS score, array_to_string(examples, ' | ') AS examples, "
+                  "matched_count, non_empty_count, total")
+
+
+@register("g3_score_columns", f"""
+WITH {B.ORACLE_LINEITEM_CELLS}, {_ORACLE_SCORES}
+SELECT {_SCORES_SELECT} FROM scores
+""")
+def g3_score_columns(spark, sf):
+    return _scores_out(G.score_columns(B.lineitem_cells(spark, sf)))
+
+
+@register("g4_best_column", f"""
+WITH {B.ORACLE_LINEITEM_CELLS}, {_ORACLE_SCORES}
+SELECT file, col, round(score, 6) AS score FROM best
+""")
+def g4_best_column(spark, sf):
+    b = G.best_column(G.score_columns(B.lineitem_cells(spark, sf)))
+    return b.select("file", "col", F.round("score", 6).alias("score"))
+
+
+@register("g5_rank_columns", f"""
+WITH {B.ORACLE_LINEITEM_CELLS}, {_ORACLE_SCORES}
+SELECT file, col, rank FROM ranked WHERE rank <= 5
+""")
+def g5_rank_columns(spark, sf):
+    r = G.rank_columns(G.score_columns(B.lineitem_cells(spark, sf)))
+    return r.where(F.col("rank") <= 5).select("file", "col", "rank")
+
+
+@register("g6_column_examples", f"""
+WITH {B.ORACLE_LINEITEM_CELLS}, {_ORACLE_SCORES}
+SELECT file, col, array_to_string(examples, ' | ') AS examples FROM scores WHERE len(examples) > 0
+""")
+def g6_column_examples(spark, sf):
+    s = G.score_columns(B.lineitem_cells(spark, sf))
+    return s.where(F.size("examples") > 0).select("file", "col", F.array_join("examples", SEP).alias("examples"))
+
+
+@register("g7_low_score_warning", f"""
+WITH {B.ORACLE_LINEITEM_CELLS}, {_ORACLE_SCORES}
+SELECT file, col, round(score, 6) AS score FROM best WHERE score < 0.01
+""")
+def g7_low_score_warning(spark, sf):
+    w = G.low_score_warnings(G.best_column(G.score_columns(B.lineitem_cells(spark, sf))))
+    return w.select("file", "col", F.round("score", 6).alias("score"))
+
+
+@register("g8_manual_column", f"""
+WITH {B.ORACLE_LINEITEM_CELLS}, {_ORACLE_SCORES}
+SELECT {_SCORES_SELECT} FROM scores WHERE col = 17
+""")
+def g8_manual_column(spark, sf):
+    return _scores_out(G.score_columns(B.lineitem_cells(spark, sf), G.GridParams(manual_column="Q")))
+
+
+@register("g9_is_summary_row", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, is_summary FROM rws2
+""")
+def g9_is_summary_row(spark, sf):
+    return _conv_states(spark, sf).select("file", "row", "is_summary")
+
+
+@register("g10_is_detail_row", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, is_detail FROM rws2
+""")
+def g10_is_detail_row(spark, sf):
+    return _conv_states(spark, sf).select("file", "row", "is_detail")
+
+
+@register("g11_extract_category", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, cat FROM rws2
+""")
+def g11_extract_category(spark, sf):
+    return _conv_states(spark, sf).select("file", "row", "cat")
+
+
+@register("g12_ffill_category", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, category_in_force FROM st2
+""")
+def g12_ffill_category(spark, sf):
+    return _conv_states(spark, sf).select("file", "row", "category_in_force")
+
+
+@register("g13_nofill_category", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, category_nofill AS category_in_force FROM st2
+""")
+def g13_nofill_category(spark, sf):
+    return _conv_states(spark, sf, G.GridParams(inherit_category=False)).select("file", "row", "category_in_force")
+
+
+@register("g14_ffill_summary", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, summary_in_force FROM st2
+""")
+def g14_ffill_summary(spark, sf):
+    return _conv_states(spark, sf).select("file", "row", "summary_in_force")
+
+
+@register("g15_join_non_empty", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, summary_text, detail_text FROM rws2
+""")
+def g15_join_non_empty(spark, sf):
+    return _conv_states(spark, sf).select("file", "row", "summary_text", "detail_text")
+
+
+@register("g16_has_detail", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, row, has_detail FROM st2 WHERE is_summary
+""")
+def g16_has_detail(spark, sf):
+    return _conv_states(spark, sf).where(F.col("is_summary")).select("file", "row", "has_detail")
+
+
+@register("g17_emit_records", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT * FROM grecs
+""")
+def g17_emit_records(spark, sf):
+    recs = G.extract_records(B.conv_cells(spark, sf), B.conv_merges(spark, sf))
+    return recs.drop("document_text")
+
+
+@register("g18_row_bounds", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT file, CAST(count(*) AS BIGINT) AS rows_scanned, CAST(max(row) AS INTEGER) AS last_row FROM rws2 GROUP BY file
+""")
+def g18_row_bounds(spark, sf):
+    s = _conv_states(spark, sf)
+    return s.groupBy("file").agg(F.count(F.lit(1)).alias("rows_scanned"), F.max("row").cast("int").alias("last_row"))
+
+
+@register("g19_category_name", f"""
+WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT record_id, category, category_name FROM grecs
+""")
+def g19_category_name(spark, sf):
+    recs = G.extract_records(B.conv_cells(spark, sf), B.conv_merges(spark, sf))
+    return recs.select("record_id", "category", "category_name")
