@@ -10,6 +10,7 @@ expressions in the row, so a step is one narrow pass plus one aggregate.
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -51,13 +52,17 @@ def kmeans(points: DataFrame, k: int = 8, restarts: int = 10, seed: int = 42, ma
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    n = n_rows if n_rows is not None else points.count()
+    st = points.agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).first()
+    n = n_rows if n_rows is not None else int(st["n"])
     kk = effective_k(k, n)
+    # tolerance relative to the data's spread (tol x mean variance on the squared
+    # centre shift), so convergence does not depend on the coordinate scale
+    eps = math.sqrt(tol * (((st["vx"] or 0.0) + (st["vy"] or 0.0)) / 2.0)) or tol
     feat = VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(points.select("record_id", "x", "y"))
     feat = feat.select("record_id", "_v").cache()
 
     def fit(r: int):
-        m = KMeans(k=kk, seed=seed + r, maxIter=max_iter, tol=tol, featuresCol="_v",
+        m = KMeans(k=kk, seed=seed + r, maxIter=max_iter, tol=eps, featuresCol="_v",
                    predictionCol="cluster").fit(feat)
         return m.summary.trainingCost, r, m
 

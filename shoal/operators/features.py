@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions import text as TX
+from shoal.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -69,8 +70,8 @@ def terms(df: DataFrame, text_col: str = "document_text", id_col: str = "record_
 
     The token array is projected once, then the n-grams read that column.
     """
-    toks = df.select(F.col(id_col).alias("record_id"),
-                     TX.word_tokens(TX.blank_to_space(F.col(text_col))).alias("_tok"))
+    src = spread(df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_text")))
+    toks = src.select("record_id", TX.word_tokens(TX.blank_to_space(F.col("_text"))).alias("_tok"))
     return toks.select("record_id", ngrams(F.col("_tok"), ngram_max).alias("terms"))
 
 
@@ -270,10 +271,12 @@ def analyser_words(df: DataFrame, tokenizer: Callable[[list[str]], list[list[tup
     sw = STOPWORDS if stopwords is None else stopwords
     tok_type = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("pos", T.StringType())]))
 
-    @F.pandas_udf(tok_type)
-    def analyse(texts: pd.Series) -> pd.Series:
+    def analyse_batch(texts):
         out = tokenizer([t if isinstance(t, str) else "" for t in texts])
         return pd.Series([[{"word": w, "pos": p} for w, p in toks] for toks in out])
+    # real (not postponed) annotations mark this as a Series -> Series pandas UDF
+    analyse_batch.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    analyse = F.pandas_udf(analyse_batch, tok_type)
 
     toks = analyse(F.coalesce(F.col(text_col), F.lit("")))
     kept = F.filter(toks, lambda s: s["pos"].isin(list(keep_pos)) & analyser_word_ok(s["word"], sw, min_length))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions import text as TX
+from shoal.sources.tables import spread
 
 # ---------------------------------------------------------------------------
 # Fixed values that must match the reference's behaviour.
@@ -107,9 +108,10 @@ def word_occurrences(df: DataFrame, text_col: str = "document_text", cluster_col
                      min_length: int = 2, stopwords: list[str] | None = None) -> DataFrame:
     """F9 + T10: one row per kept word occurrence ``(cluster, word, order, pos)``."""
     sw = STOPWORDS if stopwords is None else stopwords
-    occ = df.select(
-        F.col(cluster_col).alias("cluster"), F.col(order_col).alias("order"),
-        F.posexplode_outer(TX.cjk_runs(text_col, pattern)).alias("pos", "word"))
+    src = spread(df.select(F.col(cluster_col).alias("cluster"), F.col(order_col).alias("order"),
+                           F.col(text_col).alias("_text")))
+    occ = src.select("cluster", "order",
+                     F.posexplode_outer(TX.cjk_runs("_text", pattern)).alias("pos", "word"))
     # outer explode + null filter: an inner one makes the optimizer add a
     # size(...) > 0 filter that runs the regex a second time.
     keep = F.col("word").isNotNull() & (F.length("word") >= min_length)

@@ -65,9 +65,8 @@ def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitRes
     points = points.checkpoint()
     feats.unpersist()
     if config.use_density:
-        from shoal.operators import density as D
-        run = D.density_with_fallback(points, config.min_cluster_size, config.min_samples,
-                                      k=config.k, restarts=config.restarts, seed=config.seed, n_rows=n)
+        raise NotImplementedError(
+            "hierarchical density clustering (M4) is not built yet; use k-means (use_density=False)")
     else:
         run = C.kmeans(points, config.k, config.restarts, config.seed, n_rows=n)
     assignments = run.assignments.checkpoint()

@@ -1168,3 +1168,63 @@ SELECT record_id, category, category_name FROM grecs
 def g19_category_name(spark, sf):
     recs = G.extract_records(B.conv_cells(spark, sf), B.conv_merges(spark, sf))
     return recs.select("record_id", "category", "category_name")
+
+
+# ---------------------------------------------------------------------------
+# Prompts, generation, parsing, relabel.  Generation uses a
+# deterministic stand-in model (no model is available here) that answers
+# from the prompt's own frequent-word line; its failures are exercised by
+# prompts that carry no words.
+# ---------------------------------------------------------------------------
+
+def echo_model(prompt: str, max_tokens: int) -> str:
+    """Stand-in generator: label = the frequent-word line; fails when it is empty."""
+    lines = prompt.split("\n")
+    words = ""
+    for i, line in enumerate(lines):
+        if line.startswith("【頻出"):
+            words = lines[i + 1].strip() if i + 1 < len(lines) else ""
+    if not words:
+        raise RuntimeError("no words to label")
+    return f"{L.LABEL_SECTION}\n{words[:max_tokens]}\n{L.DESCRIPTION_SECTION}\n{len(prompt)} chars of prompt"
+
+
+def _cards_with_samples(spark, sf):
+    return L.cluster_cards(B.clustered_records(spark, sf), pattern=LETTER_RUN, with_samples=True)
+
+
+_LP = L.LABEL_PROMPT.replace("'", "''")
+_LP_HEAD = _LP.split("{samples}")[0]
+_LP_MID = _LP.split("{samples}")[1].split("{words}")[0]
+_LP_TAIL = _LP.split("{words}")[1]
+
+
+@register("l5_label_prompts", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES},
+sm AS (SELECT cluster, string_agg('- ' || t, chr(10) ORDER BY rn) AS s FROM smp WHERE rn <= 5 GROUP BY cluster),
+wd AS (SELECT cluster, string_agg(word, ', ' ORDER BY rank) AS w FROM top GROUP BY cluster),
+ids AS (SELECT DISTINCT cluster FROM crec WHERE cluster <> -1)
+SELECT ids.cluster, '{_LP_HEAD}' || coalesce(sm.s, '') || '{_LP_MID}' || coalesce(wd.w, '') || '{_LP_TAIL}' AS prompt
+FROM ids LEFT JOIN sm USING (cluster) LEFT JOIN wd USING (cluster)
+""")
+def l5_label_prompts(spark, sf):
+    return L.label_prompts(_cards_with_samples(spark, sf))
+
+
+@register("l6_generate_batch")
+def l6_generate_batch(spark, sf):
+    return L.generate(L.label_prompts(_cards_with_samples(spark, sf)), echo_model).select("cluster", "response", "error")
+
+
+@register("l7_parse_response")
+def l7_parse_response(spark, sf):
+    g = L.generate(L.label_prompts(_cards_with_samples(spark, sf)), echo_model)
+    lab, desc = L.parse_response(F.col("cluster"), F.col("response"))
+    return g.where(F.col("response").isNotNull()).select("cluster", lab.alias("label"), desc.alias("description"))
+
+
+@register("l8_relabel")
+def l8_relabel(spark, sf):
+    cards = L.generated_cards(_cards_with_samples(spark, sf), echo_model)
+    out = L.relabel(cards, [1, 2, 3], echo_model)
+    return out.select("cluster", "label", "description", "count")

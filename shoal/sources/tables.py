@@ -76,3 +76,16 @@ class Roles:
         doc = (self._expr(self.document_text, None) if self.document_text is not None
                else T.document_text("category_name", "summary", "detail"))
         return out.withColumn("document_text", doc.cast("string"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work over the cluster when the scan gave too few splits.
+
+    A large input already has many splits and is returned unchanged (no extra
+    shuffle); a small file with one row group would otherwise tokenise every
+    document in a single task.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df
