@@ -1228,3 +1228,32 @@ def l8_relabel(spark, sf):
     cards = L.generated_cards(_cards_with_samples(spark, sf), echo_model)
     out = L.relabel(cards, [1, 2, 3], echo_model)
     return out.select("cluster", "label", "description", "count")
+
+
+# ---------------------------------------------------------------------------
+# S6, T10
+# ---------------------------------------------------------------------------
+
+from shoal.sources.tables import append_sources  # noqa: E402
+
+
+@register("s6_append_files", f"""
+WITH {B.ORACLE_RECORDS}, {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+SELECT record_id, store, category_name, 'documents' AS source FROM records
+UNION ALL
+SELECT record_id, store, category_name, 'workbooks' AS source FROM grecs
+""")
+def s6_append_files(spark, sf):
+    docs = B.doc_records(spark, sf).select("record_id", "store", "category_name", F.lit("documents").alias("source"))
+    grid = G.extract_records(B.conv_cells(spark, sf), B.conv_merges(spark, sf)).select(
+        "record_id", "store", "category_name", F.lit("workbooks").alias("source"))
+    return append_sources([docs, grid])
+
+
+@register("t10_cjk_runs", f"""
+SELECT doc_id AS record_id, CAST(len(r) AS INTEGER) AS n_runs, array_to_string(r, ' ') AS runs
+FROM (SELECT doc_id, regexp_extract_all(text, '{TX.CJK_RUN}') AS r FROM documents)
+""")
+def t10_cjk_runs(spark, sf):
+    r = _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.cjk_runs("text").alias("r"))
+    return r.select("record_id", F.size("r").alias("n_runs"), F.array_join("r", " ").alias("runs"))
