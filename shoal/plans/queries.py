@@ -492,7 +492,7 @@ def a5_cluster_sizes(spark, sf):
 WITH {B.ORACLE_RECORDS},
 pc AS (SELECT cluster, category_name, count(*) AS n FROM crec GROUP BY ALL)
 SELECT d.cluster, d.count, d.category_dist, s.store_count FROM
- (SELECT cluster, sum(n) AS count, string_agg(category_name || ':' || CAST(n AS VARCHAR), ', ' ORDER BY category_name) AS category_dist
+ (SELECT cluster, CAST(sum(n) AS BIGINT) AS count, string_agg(category_name || ':' || CAST(n AS VARCHAR), ', ' ORDER BY category_name) AS category_dist
   FROM pc GROUP BY cluster) d
  JOIN (SELECT cluster, count(DISTINCT store) AS store_count FROM crec GROUP BY cluster) s USING (cluster)
 """)
@@ -712,7 +712,7 @@ terms AS (
   FROM toks
 ),
 tf AS (SELECT record_id, term, count(*) AS tf FROM (SELECT record_id, unnest(terms) AS term FROM terms) GROUP BY ALL),
-st AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM tf GROUP BY term),
+st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ctf FROM tf GROUP BY term),
 n AS (SELECT count(*) AS N FROM documents),
 kept AS (SELECT term, df, ctf FROM st, n WHERE df >= 2 AND df <= N * 0.95),
 vocab AS (SELECT term, df FROM kept ORDER BY ctf DESC, term LIMIT 1000),
