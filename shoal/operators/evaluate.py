@@ -72,12 +72,14 @@ def silhouette_samples(points: DataFrame, block_size: int = BLOCK_SIZE, n_rows:
     return pt.select("record_id", F.col("own").alias("cluster"), s.alias("s"))
 
 
-def silhouette(points: DataFrame, method: str = "euclidean", block_size: int = BLOCK_SIZE) -> float | None:
-    """Mean silhouette, or None unless > 1 cluster and more valid rows than clusters."""
+def silhouette(points: DataFrame, method: str = "euclidean", block_size: int = BLOCK_SIZE,
+               n_clusters: int | None = None) -> float | None:
+    """Mean silhouette, or None unless > 1 distinct label and more valid rows
+    than ``n_clusters`` (the reported count; by default the distinct labels)."""
     valid = points.where(F.col("cluster") >= 0)
     st = valid.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cluster").alias("k")).first()
     n, k = int(st["n"]), int(st["k"])
-    if k < 2 or n <= k:
+    if k < 2 or n <= (n_clusters if n_clusters is not None else k):
         return None
     if method == "squared_euclidean":
         from pyspark.ml.evaluation import ClusteringEvaluator

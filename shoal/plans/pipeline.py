@@ -73,7 +73,7 @@ def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitRes
     labelled = points.join(assignments, "record_id")
     sil = None
     if run.n_clusters > 1:
-        sil = E.silhouette(labelled, config.silhouette)
+        sil = E.silhouette(labelled, config.silhouette, n_clusters=run.n_clusters)
     stats = run.run_stats(spark, sil)
     cards = L.cluster_cards(records.join(assignments, "record_id"), pattern=config.word_pattern,
                             with_samples=config.generate is not None)
