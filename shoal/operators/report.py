@@ -44,6 +44,8 @@ DISPLAY_COLUMNS = ["store", "block", "category", "category_name", "summary", "de
 PREVIEW_ROWS = 50
 # ---------------------------------------------------------------------------
 
+MAX_PIVOT_VALUES = 1000  # a pivot is one column per value: wider tables use the long form
+
 
 def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
     """Attach a one-row total to every row (broadcast equi-join on a constant key)."""
@@ -172,7 +174,10 @@ def crosstab(df: DataFrame, row_col: str, col_col: str, values: list[str] | None
     Pass ``values`` to skip the extra job that finds the distinct column values.
     """
     if values is None:
-        values = sorted(r[0] for r in df.select(col_col).distinct().collect())
+        found = df.select(col_col).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
+        if len(found) > MAX_PIVOT_VALUES:
+            raise ValueError(f"more than {MAX_PIVOT_VALUES} values of {col_col}: use crosstab_long")
+        values = sorted(r[0] for r in found)
     return df.groupBy(row_col).pivot(col_col, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
