@@ -165,22 +165,17 @@ def tfidf_long(df: DataFrame, text_col: str = "document_text", params: TfidfPara
     from pyspark.sql import Window
 
     tdf = terms(df, text_col, ngram_max=params.ngram_max)
-    n = df.agg(F.count(F.lit(1)).alias("N"))
+    n = F.lit(float(df.count()))  # the document count is one scalar, used as a literal
     st = term_stats(tdf)
-    kept = _with_one_row(st, n).where((F.col("df") >= params.min_df) & (F.col("df") <= F.col("N") * F.lit(params.max_df)))
+    kept = st.where((F.col("df") >= params.min_df) & (F.col("df") <= n * F.lit(params.max_df)))
     top = kept.orderBy(F.col("ctf").desc(), F.col("term").asc()).limit(params.max_features)
-    vocab = top.select("term", (F.log((F.lit(1.0) + F.col("N")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    vocab = top.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     w = doc_term_freqs(tdf).join(F.broadcast(vocab), "term").select(
         "record_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("record_id")))
     return w.select("record_id", "term", (F.col("w") / norm).alias("weight"))
 
 
-def _with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach a one-row DataFrame to every row (broadcast equi-join on a constant key)."""
-    return df.withColumn("_k1", F.lit(1)).join(F.broadcast(one.withColumn("_k1", F.lit(1))), "_k1").drop("_k1")
-
-
 @dataclass
 class TfidfModel:
     vocabulary: list[str]

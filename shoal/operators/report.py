@@ -3,8 +3,8 @@
 Tables with one row per cluster (cards, sizes, centroids) are small; joins
 against them are left to AQE, which turns them into broadcast joins when
 the measured side is small and keeps a shuffle join when it is not (a
-density clustering can produce many clusters).  The only explicit
-broadcasts are one-row totals.
+density clustering can produce many clusters).  Totals are scalars
+used as literals.
 """
 
 from __future__ import annotations
@@ -47,12 +47,6 @@ PREVIEW_ROWS = 50
 MAX_PIVOT_VALUES = 1000  # a pivot is one column per value: wider tables use the long form
 
 
-def _with_total(df: DataFrame, total: DataFrame) -> DataFrame:
-    """Attach a one-row total to every row (broadcast equi-join on a constant key)."""
-    return (df.withColumn("_k", F.lit(1))
-            .join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k"))
-
-
 # -- J1 / J2 / P10 -----------------------------------------------------------
 
 def attach_labels(records: DataFrame, assignments: DataFrame, points: DataFrame | None = None) -> DataFrame:
@@ -153,8 +147,8 @@ def import_metrics(df: DataFrame) -> DataFrame:
 def cluster_sizes(assignments: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """A5: rows per cluster (noise included) with its share and display name."""
     sizes = assignments.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("_total"))
-    out = _with_total(sizes, total).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+    total = assignments.count()  # one scalar, used as a literal (no join)
+    out = sizes.withColumn("share", F.col("n") / F.lit(float(total)) if total else F.lit(0.0))
     return attach_card(out, cards).withColumnRenamed("cluster_label", "name")
 
 
