@@ -1257,3 +1257,55 @@ FROM (SELECT doc_id, regexp_extract_all(text, '{TX.CJK_RUN}') AS r FROM document
 def t10_cjk_runs(spark, sf):
     r = _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.cjk_runs("text").alias("r"))
     return r.select("record_id", F.size("r").alias("n_runs"), F.array_join("r", " ").alias("runs"))
+
+
+# ---------------------------------------------------------------------------
+# Exact nearest neighbours
+# ---------------------------------------------------------------------------
+
+from shoal.operators import neighbors as NB  # noqa: E402
+
+
+@register("m2a_knn_cosine", """
+WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id AS record_id, b.id AS neighbor_id, 1 - list_cosine_similarity(a.v, b.v) AS dist
+      FROM e a CROSS JOIN e b WHERE a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY dist, neighbor_id) AS rank FROM d)
+SELECT record_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(dist, 6) AS dist FROM r WHERE rank <= 15
+""")
+def m2a_knn_cosine(spark, sf):
+    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding")
+    nn = NB.knn(emb, 15, vector_col="embedding", metric="cosine", include_self=False)
+    return nn.withColumn("dist", F.round("dist", 6))
+
+
+_ORACLE_KNN2 = """
+pts AS (SELECT record_id, x, y FROM points),
+d2 AS (SELECT a.record_id, b.record_id AS neighbor_id,
+              sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
+       FROM pts a CROSS JOIN pts b),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY dist, neighbor_id) AS rk FROM d2),
+core AS (SELECT record_id, max(dist) AS core FROM r2 WHERE rk <= 3 GROUP BY record_id),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY dist, neighbor_id) AS rk
+       FROM d2 WHERE record_id <> neighbor_id)
+"""
+
+
+@register("m4a_core_distance", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_KNN2}
+SELECT record_id, round(core, 6) AS core FROM core
+""")
+def m4a_core_distance(spark, sf):
+    c = NB.core_distances(B.emb_points(spark, sf), 3)
+    return c.select("record_id", F.round("core", 6).alias("core"))
+
+
+@register("m4b_mutual_reach", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_KNN2}
+SELECT r3.record_id, r3.neighbor_id, round(greatest(ca.core, cb.core, r3.dist), 6) AS mreach
+FROM r3 JOIN core ca ON ca.record_id = r3.record_id JOIN core cb ON cb.record_id = r3.neighbor_id
+WHERE r3.rk <= 3
+""")
+def m4b_mutual_reach(spark, sf):
+    m = NB.mutual_reachability(B.emb_points(spark, sf), 3)
+    return m.select("record_id", "neighbor_id", F.round("mreach", 6).alias("mreach"))

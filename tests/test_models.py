@@ -34,3 +34,21 @@ def test_lloyd_step_does_not_increase_cost(spark):
     new = [(r["cluster"], r["cx"], r["cy"]) for r in C.lloyd_step(pts, start).collect()]
     cost1 = C.assign_nearest(pts, new).agg(F.sum("d2")).first()[0]
     assert cost1 <= cost0
+
+
+def test_knn_across_blocks_matches_brute_force(spark):
+    import numpy as np
+
+    from shoal.operators import neighbors as NB
+    rng = np.random.default_rng(7)
+    pts = rng.integers(0, 40, size=(900, 2)).astype(float)  # many exact ties
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)],
+                               "record_id long, x double, y double")
+    got = {(r["record_id"], r["rank"]): (r["neighbor_id"], r["dist"])
+           for r in NB.knn(df, 4, include_self=False, block_size=100).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(pts)):
+        order = sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:4]
+        for rank, j in enumerate(order, 1):
+            assert got[(i, rank)] == (j, d[i, j])
