@@ -1309,3 +1309,9 @@ WHERE r3.rk <= 3
 def m4b_mutual_reach(spark, sf):
     m = NB.mutual_reachability(B.emb_points(spark, sf), 3)
     return m.select("record_id", "neighbor_id", F.round("mreach", 6).alias("mreach"))
+
+
+@register("m4c_min_span_forest")
+def m4c_min_span_forest(spark, sf):
+    t = NB.spanning_forest(B.emb_points(spark, sf), 3)
+    return t.select("a", "b", F.round("w", 6).alias("w"))

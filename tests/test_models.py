@@ -52,3 +52,33 @@ def test_knn_across_blocks_matches_brute_force(spark):
         order = sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:4]
         for rank, j in enumerate(order, 1):
             assert got[(i, rank)] == (j, d[i, j])
+
+
+def test_spanning_forest_matches_kruskal(spark):
+    import numpy as np
+
+    from shoal.operators import neighbors as NB
+    rng = np.random.default_rng(3)
+    pts = np.round(rng.normal(size=(240, 2)) * 3, 1)  # rounding creates equal weights
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)],
+                               "record_id long, x double, y double")
+    got = {(r["a"], r["b"]): r["w"] for r in NB.spanning_forest(df, 3, block_size=64).collect()}
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 2]
+    edges = sorted((max(core[i], core[j], d[i, j]), i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)))
+    parent = list(range(len(pts)))
+
+    def find(u):
+        while parent[u] != u:
+            parent[u] = parent[parent[u]]
+            u = parent[u]
+        return u
+    want = {}
+    for w, i, j in edges:
+        ri, rj = find(i), find(j)
+        if ri != rj:
+            parent[ri] = rj
+            want[(i, j)] = w
+    assert len(got) == len(pts) - 1
+    assert set(got) == set(want)
+    assert all(abs(got[e] - want[e]) < 1e-12 for e in want)
