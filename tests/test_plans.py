@@ -7,7 +7,7 @@ from tests.conftest import SF01
 
 # queries that run models or user callables (their plans are checked elsewhere)
 RUNS_MODELS = {"m1_pca2", "m3_kmeans", "m7_fit", "m8_run_stats", "l6_generate_batch", "l7_parse_response",
-               "l8_relabel"}
+               "l8_relabel", "m4c_min_span_forest"}
 
 
 def _plan(spark, name):
