@@ -236,9 +236,26 @@ def emit_records(states: DataFrame, fixed: DataFrame, ordinals: DataFrame) -> Da
 
 
 def file_ordinals(cells: DataFrame) -> DataFrame:
-    """``(file, file_no)`` in file-name order; one row per file, not per cell."""
-    files = cells.select("file").distinct()
-    return files.select("file", F.row_number().over(Window.orderBy("file")).cast("bigint").alias("file_no"))
+    """``(file, file_no)``: 1-based rank in file-name order, computed without a global window.
+
+    The distinct names are range-sorted across partitions and checkpointed
+    (so the partition boundaries cannot change between the two passes); the
+    per-partition counts -- one row per partition -- give each partition's
+    offset, and a file's number is that offset plus its index in the partition.
+    """
+    from shoal.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(cells.sparkSession)
+    files = cells.select("file").distinct().orderBy("file") \
+        .withColumn("_pid", F.spark_partition_id()).checkpoint()
+    counts = files.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()
+    offsets, acc = {}, 0
+    for r in sorted(counts, key=lambda r: r["_pid"]):
+        offsets[r["_pid"]] = acc
+        acc += r["_n"]
+    off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) if offsets \
+        else F.create_map(F.lit(0), F.lit(0))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy("file"))
+    return files.select("file", (F.element_at(off, F.col("_pid")) + local).cast("bigint").alias("file_no"))
 
 
 def extract_records(cells: DataFrame, merges: DataFrame | None = None,
