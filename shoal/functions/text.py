@@ -57,9 +57,12 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_col(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
+NON_WS_CLASS = "[^" + WS_CLASS[1:]
+
+
 def is_blank(c) -> Column:
-    """True for null or whitespace-only text."""
-    return F.coalesce(strip_ws(c) == F.lit(""), F.lit(True))
+    """True for null or whitespace-only text (stops at the first non-space character)."""
+    return F.coalesce(~_col(c).rlike(NON_WS_CLASS), F.lit(True))
 
 
 def normalize_text(c) -> Column:

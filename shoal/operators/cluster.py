@@ -44,7 +44,7 @@ def effective_k(k: int, n: int) -> int:
 
 
 def kmeans(points: DataFrame, k: int = 8, restarts: int = 10, seed: int = 42, max_iter: int = 300,
-           tol: float = 1e-4, n_rows: int | None = None, parallel: int = 4) -> ClusterRun:
+           tol: float = 1e-4, n_rows: int | None = None, parallel: int = 10) -> ClusterRun:
     """M3: best of ``restarts`` k-means fits on ``(record_id, x, y)``; no noise.
 
     ``n_clusters`` is the clamped k (M8), as the reference reports it.

@@ -55,6 +55,14 @@ def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitRes
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
     require_min_rows(records, 3)
+    # an input with fewer splits than cores is small: spread it once and keep it
+    # for the three text passes (vocabulary, vectors, cards); a large input
+    # already has many splits and streams from storage on every pass
+    parallelism = spark.sparkContext.defaultParallelism
+    kept = None
+    if records.rdd.getNumPartitions() < parallelism:
+        kept = records.repartition(parallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        records = kept
     n = records.count()
     feats, kind = FT.choose_features(records, config.use_external, config.make_embedder,
                                      text_col="document_text", params=config.tfidf)
@@ -78,6 +86,9 @@ def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitRes
     cards = L.cluster_cards(records.join(assignments, "record_id"), pattern=config.word_pattern,
                             with_samples=config.generate is not None)
     cards = L.generated_cards(cards, config.generate)
+    if kept is not None:
+        cards = cards.checkpoint()
+        kept.unpersist()
     return FitResult(points, assignments, stats, cards, kind)
 
 
