@@ -261,9 +261,14 @@ def file_ordinals(cells: DataFrame) -> DataFrame:
 def extract_records(cells: DataFrame, merges: DataFrame | None = None,
                     params: GridParams = GridParams()) -> DataFrame:
     """S3 + G1-G19: sheet cells -> canonical records (with ``document_text``, P5)."""
+    from shoal.session import ensure_checkpoint_dir
     c = select_sheet(cells, params.sheet)
     if merges is not None:
         c = fill_merged(c, merges.where(F.col("sheet") == params.sheet))
+    # four consumers read the filled cells (scores, rows, fixed cells, file
+    # numbers): materialise them once in the shared checkpoint folder
+    ensure_checkpoint_dir(cells.sparkSession)
+    c = c.checkpoint()
     best = best_column(score_columns(c, params))
     rows = sheet_rows(c, best, params)
     states = record_states(rows, params)
