@@ -39,7 +39,11 @@ RoleSpec = str | Column | None
 
 @dataclass(frozen=True)
 class Roles:
-    """Column-role binding: each field names a source column or gives an expression."""
+    """Column-role binding: each field names a source column or gives an expression.
+
+    Give ``record_id`` a real key: without one, ids come from
+    ``monotonically_increasing_id`` and are only stable for the same input splits.
+    """
 
     record_id: RoleSpec = "record_id"
     store: RoleSpec = None
