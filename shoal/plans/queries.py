@@ -1315,3 +1315,16 @@ def m4b_mutual_reach(spark, sf):
 def m4c_min_span_forest(spark, sf):
     t = NB.spanning_forest(B.emb_points(spark, sf), 3)
     return t.select("a", "b", F.round("w", 6).alias("w"))
+
+
+@register("m5_noise_rule", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT count(*) AS n, count(*) FILTER (WHERE cluster = -1) AS n_noise,
+       (count(*) FILTER (WHERE cluster = -1)) > count(*) * 0.5 AS fallback
+FROM assignments
+""")
+def m5_noise_rule(spark, sf):
+    """M5 rule on a labelling: fall back to k-means when noise > 50 % (strict)."""
+    a = B.emb_assignments(spark, sf)
+    s = a.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cluster") == -1).alias("n_noise"))
+    return s.withColumn("fallback", F.col("n_noise") > F.col("n") * F.lit(0.5))
