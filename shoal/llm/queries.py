@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from shoal.llm import exact
+from shoal.llm import exact, sharding
 
 QUERIES = {
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op10_kd_sharding": sharding.op10_kd_sharding,
 }
 
 ORACLE = {
