@@ -50,6 +50,28 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+#: ``attach`` treats a key as frequent from this share of the rows on, and from this many rows on.
+HEAVY_SHARE, HEAVY_ROWS = 0.002, 200
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``values`` on ``key``; ``values`` has each key once and, in
+    ``count``, its number of rows (left out of the result).
+
+    Frequent keys (at most ``1 / HEAVY_SHARE`` of them, as each has over that
+    share of the rows) are joined by broadcast, so that no task gets all rows of
+    one; the others are shuffled.  Both inputs should be written tables.
+    """
+    values = materialise(values, "attach")
+    n = rows.count()
+    hot = values.where(F.col(count) > max(HEAVY_ROWS, int(HEAVY_SHARE * n)))
+    keys = [r[key] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(values.drop(count), key)
+    return rows.where(~F.col(key).isin(keys)).join(values.drop(count), key).unionByName(
+        rows.where(F.col(key).isin(keys)).join(F.broadcast(hot.drop(count)), key))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 5 is 0; a null id counts as the empty string."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

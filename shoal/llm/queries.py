@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from shoal.llm import exact, sharding
+from shoal.llm import exact, sharding, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op10_kd_sharding": sharding.op10_kd_sharding,
 }
