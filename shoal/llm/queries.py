@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from shoal.llm import exact, sharding, simhash
+from shoal.llm import decontam, exact, mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op5_decontamination": decontam.op5_decontamination,
+    "op6_poisson_mix": mixing.op6_poisson_mix,
     "op10_kd_sharding": sharding.op10_kd_sharding,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact.ORACLE_OP2,
+    "op6_poisson_mix": mixing.ORACLE_OP6,
 }
