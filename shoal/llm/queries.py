@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from shoal.llm import decontam, exact, mixing, sharding, simhash
+from shoal.llm import decontam, exact, langid, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_exact_dedup": exact.op2_exact_dedup,
+    "op3_language_id": langid.op3_language_id,
     "op5_decontamination": decontam.op5_decontamination,
     "op6_poisson_mix": mixing.op6_poisson_mix,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_kd_sharding": sharding.op10_kd_sharding,
 }
 
