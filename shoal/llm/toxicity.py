@@ -25,12 +25,12 @@ from shoal.llm.common import documents, held_out, map_arrow, prepare, table
 #: Gram sizes, buckets, vector length.
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 16, 8
 #: Bytes of a passage (a text's last one may be shorter).
-PASSAGE = 512
-#: Training reads at most so many labelled documents of each label.
-TRAIN_PER_LABEL = 1500
-#: Passages of a training document that are sent to the driver: all up to this many, else the first by hash.
-TRAIN_PASSAGES = 64
-EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 11
+PASSAGE = 1024
+#: Training reads at most so many documents labelled 0 and 1.
+TRAIN_ROWS = (6000, 2000)
+#: Passages of a training document that are sent to the driver: up to this many, spread over the whole text.
+TRAIN_PASSAGES = 32
+EPOCHS, BATCH, RATE, SEED = 8, 64, 0.02, 11
 #: Bytes hashed at once.
 BYTES_AT_ONCE = 1 << 20
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
@@ -166,18 +166,18 @@ def train(rows: list[tuple[list[tuple[np.ndarray, np.ndarray]], int]], epochs: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic",
-        per_label: int = TRAIN_PER_LABEL) -> Model:
-    """Train on at most ``per_label`` documents of each label, the first by a hash of the id.
+        most: tuple[int, int] = TRAIN_ROWS) -> Model:
+    """Train on at most ``most`` documents labelled 0 and 1, the first by a hash of the id.
 
     Held-out documents, null labels and labels other than 0 and 1 are left out;
     a document labelled twice counts with its highest label.  The chosen ids are
-    broadcast (at most ``2 * per_label``) and their documents' bags come to the driver.
+    broadcast (at most ``sum(most)``) and their documents' bags come to the driver.
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)) \
         .groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     first = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-    chosen = known.withColumn("i", F.row_number().over(first)).where(F.col("i") <= per_label).select("doc_id", "y")
+    chosen = known.withColumn("i", F.row_number().over(first)).where(F.col("i") <= F.when(F.col("y") == 1, most[1]).otherwise(most[0])).select("doc_id", "y")
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")) \
         .join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
@@ -185,13 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for b in batches:
             found = [_some(bags(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([[x[0].astype("<i4").tobytes() for x in f] for f in found], pa.list_(pa.binary())),
-                 pa.array([[x[1].astype("<i4").tobytes() for x in f] for f in found], pa.list_(pa.binary()))],
+                [b.column(0), b.column(1), pa.array([[x[0].astype("<u2").tobytes() for x in f] for f in found], pa.list_(pa.binary())),
+                 pa.array([[np.minimum(x[1], 255).astype("<u1").tobytes() for x in f] for f in found], pa.list_(pa.binary()))],
                 ["doc_id", "y", "b", "n"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     got = map_arrow(src, run, f"doc_id {kind}, y int, b array<binary>, n array<binary>").collect()
-    rows = [([(np.frombuffer(b, "<i4").astype(np.int64), np.frombuffer(n, "<i4")) for b, n in zip(r["b"], r["n"])], r["y"])
+    rows = [([(np.frombuffer(b, "<u2").astype(np.int32), np.frombuffer(n, "<u1")) for b, n in zip(r["b"], r["n"])], r["y"])
             for r in sorted(got, key=lambda r: (r["doc_id"], r["y"], r["b"]))]
     return train(rows)
 
