@@ -21,7 +21,7 @@ def prepare(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
 
     Cuts the lineage: a lost executor re-reads files that every machine sees,
@@ -29,7 +29,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{prepare(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,22 +54,22 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 HEAVY_SHARE, HEAVY_ROWS = 0.002, 200
 
 
-def attach(rows: DataFrame, values: DataFrame, key: str, count: str) -> DataFrame:
-    """``rows`` joined with ``values`` on ``key``; ``values`` has each key once and, in
-    ``count``, its number of rows (left out of the result).
+def attach(rows: DataFrame, values: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``values`` on ``keys``; ``values`` has each key once and, in ``count``, its number of rows
+    (left out of the result).
 
     Frequent keys (at most ``1 / HEAVY_SHARE`` of them, as each has over that
     share of the rows) are joined by broadcast, so that no task gets all rows of
-    one; the others are shuffled.  Both inputs should be written tables.
+    one; the others are shuffled.  ``rows`` should be a written table: it is read twice.
     """
     values = materialise(values, "attach")
-    n = rows.count()
-    hot = values.where(F.col(count) > max(HEAVY_ROWS, int(HEAVY_SHARE * n)))
-    keys = [r[key] for r in hot.select(key).collect()]
-    if not keys:
-        return rows.join(values.drop(count), key)
-    return rows.where(~F.col(key).isin(keys)).join(values.drop(count), key).unionByName(
-        rows.where(F.col(key).isin(keys)).join(F.broadcast(hot.drop(count)), key))
+    n = values.agg(F.sum(count)).first()[0] or 0
+    hot = materialise(values.where(F.col(count) > max(HEAVY_ROWS, int(HEAVY_SHARE * n))), "attach-hot")
+    values = values.drop(count)
+    if hot.isEmpty():
+        return rows.join(values, keys)
+    hot = F.broadcast(hot.drop(count))
+    return rows.join(hot, keys, "left_anti").join(values, keys).unionByName(rows.join(hot, keys))
 
 
 def held_out(doc_id: Column | str) -> Column:

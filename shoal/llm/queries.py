@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import chat, decontam, exact, langid, mixing, pii, sharding, simhash, toxicity
+from shoal.llm import chat, decontam, exact, langid, mixing, pii, sharding, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_poisson_mix": mixing.op6_poisson_mix,
     "op7_chat_format": chat.op7_chat_format,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_suffix_dedup": suffix.op9_suffix_dedup,
     "op10_kd_sharding": sharding.op10_kd_sharding,
 }
 

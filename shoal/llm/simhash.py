@@ -212,8 +212,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     placed = materialise(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", "n", F.coalesce("component", "fp").alias("root")), "op1-roots")
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    ids = attach(placed, least, "root", "members").select("fp", "component_id", "n")
-    return attach(rows, ids, "fp", "n").select(
+    ids = attach(placed, least, ["root"], "members").select("fp", "component_id", "n")
+    return attach(rows, ids, ["fp"], "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
