@@ -14,11 +14,10 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LITERAL_CENTRES = 10_000
-
 
 @dataclass
 class ClusterRun:
@@ -29,6 +28,13 @@ class ClusterRun:
     method_effective: str           # after any fallback (Q1)
     n_clusters: int
     n_noise: int
+    model: object = None            # the fitted k-means model, which labels rows without a join
+
+    def label(self, points: DataFrame) -> DataFrame:
+        """``points`` with ``cluster``: by the model row by row, or by a join where a run has none."""
+        if self.model is None:
+            return points.join(self.assignments, "record_id")
+        return _predict(self.model, points)
 
     def run_stats(self, spark: SparkSession, silhouette: float | None) -> DataFrame:
         """M8: one-row ``(method, method_effective, n_clusters, n_noise, silhouette)``."""
@@ -59,7 +65,7 @@ def kmeans(points: DataFrame, k: int = 8, restarts: int = 10, seed: int = 42, ma
     # centre shift), so convergence does not depend on the coordinate scale
     eps = math.sqrt(tol * (((st["vx"] or 0.0) + (st["vy"] or 0.0)) / 2.0)) or tol
     feat = VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(points.select("record_id", "x", "y"))
-    feat = feat.select("record_id", "_v").cache()
+    feat = feat.select("record_id", "_v").persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(r: int):
         m = KMeans(k=kk, seed=seed + r, maxIter=max_iter, tol=eps, featuresCol="_v",
@@ -69,15 +75,20 @@ def kmeans(points: DataFrame, k: int = 8, restarts: int = 10, seed: int = 42, ma
     with ThreadPoolExecutor(max_workers=max(1, min(parallel, restarts))) as pool:
         fits = list(pool.map(fit, range(restarts)))
     _, _, best = min(fits, key=lambda t: (t[0], t[1]))
-    labels = best.transform(feat).select("record_id", F.col("cluster").cast("int").alias("cluster"))
-    return ClusterRun(labels, "kmeans", "kmeans", kk, 0)
+    feat.unpersist()
+    labels = _predict(best, points.select("record_id", "x", "y")).select("record_id", "cluster")
+    return ClusterRun(labels, "kmeans", "kmeans", kk, 0, best)
+
+
+def _predict(model, points: DataFrame) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    v = VectorAssembler(inputCols=["x", "y"], outputCol="_v").transform(points)
+    return model.transform(v).withColumn("cluster", F.col("cluster").cast("int")).drop("_v")
 
 
 def centres_of(df: DataFrame) -> list[tuple[int, float, float]]:
-    """Gather a centres table ``(cluster, cx, cy)``; refuses more than the literal cap."""
-    rows = df.select("cluster", "cx", "cy").limit(MAX_LITERAL_CENTRES + 1).collect()
-    if len(rows) > MAX_LITERAL_CENTRES:
-        raise ValueError(f"more than {MAX_LITERAL_CENTRES} centres")
+    """Gather a centres table ``(cluster, cx, cy)``: one row for each of the k clusters."""
+    rows = df.select("cluster", "cx", "cy").collect()
     return sorted((int(r[0]), float(r[1]), float(r[2])) for r in rows)
 
 

@@ -17,7 +17,7 @@ Plan shape, whatever the corpus size:
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions import text as TX
-from shoal.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -65,14 +64,14 @@ def ngrams(tokens: Column, n_max: int = 2) -> Column:
 
 
 def terms(df: DataFrame, text_col: str = "document_text", id_col: str = "record_id",
-          ngram_max: int = 2) -> DataFrame:
-    """T1 + T2 + P6: ``(record_id, terms ARRAY<STRING>)`` per document.
+          ngram_max: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """T1 + T2 + P6: ``(record_id, terms ARRAY<STRING>)`` per document, and the columns in ``keep``.
 
     The token array is projected once, then the n-grams read that column.
     """
-    src = spread(df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_text")))
-    toks = src.select("record_id", TX.word_tokens(TX.blank_to_space(F.col("_text"))).alias("_tok"))
-    return toks.select("record_id", ngrams(F.col("_tok"), ngram_max).alias("terms"))
+    src = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_text"), *keep)
+    toks = src.select("record_id", *keep, TX.word_tokens(TX.blank_to_space(F.col("_text"))).alias("_tok"))
+    return toks.select("record_id", *keep, ngrams(F.col("_tok"), ngram_max).alias("terms"))
 
 
 def with_term_counts(term_df: DataFrame, terms_col: str = "terms", out_col: str = "tc") -> DataFrame:
@@ -156,7 +155,7 @@ def smooth_idf(df_count: int, n_docs: int) -> float:
 # -- T5 / T7 ------------------------------------------------------------------
 
 def tfidf_long(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams()) -> DataFrame:
-    """T5 long form ``(record_id, term, weight)`` without any driver round trip.
+    """T5 long form ``(record_id, term, weight)``, with the T6 fallback of the vector path.
 
     Term counts come from the row; the vocabulary (at most ``max_features``
     rows, so a proven broadcast size) is hash-joined; the L2 norm is a window
@@ -164,12 +163,9 @@ def tfidf_long(df: DataFrame, text_col: str = "document_text", params: TfidfPara
     """
     from pyspark.sql import Window
 
-    tdf = terms(df, text_col, ngram_max=params.ngram_max)
-    n = F.lit(float(df.count()))  # the document count is one scalar, used as a literal
-    st = term_stats(tdf)
-    kept = st.where((F.col("df") >= params.min_df) & (F.col("df") <= n * F.lit(params.max_df)))
-    top = kept.orderBy(F.col("ctf").desc(), F.col("term").asc()).limit(params.max_features)
-    vocab = top.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    tdf, words, dfs, n, _ = fit_vocabulary(df, text_col, params)
+    vocab = df.sparkSession.createDataFrame(
+        [(w, smooth_idf(d, n)) for w, d in zip(words, dfs)], "term string, idf double")
     w = doc_term_freqs(tdf).join(F.broadcast(vocab), "term").select(
         "record_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("record_id")))
@@ -185,19 +181,19 @@ class TfidfModel:
     ngram_max: int
 
     def transform(self, df: DataFrame, text_col: str = "document_text", id_col: str = "record_id",
-                  output_col: str = "features") -> DataFrame:
-        """``(record_id, features)`` sparse L2-normalised vectors, JVM-side.
+                  output_col: str = "features", keep: tuple[str, ...] = ()) -> DataFrame:
+        """``(record_id, features)`` sparse L2-normalised vectors, JVM-side, with the columns in ``keep``.
 
         A document with no vocabulary term gets the zero vector (no row is dropped).
         """
         from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
         from pyspark.ml.linalg import Vectors
 
-        tdf = terms(df, text_col, id_col, ngram_max=self.ngram_max)
+        tdf = terms(df, text_col, id_col, ngram_max=self.ngram_max, keep=keep)
         cv = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="terms", outputCol="_tf")
         ep = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w")
         nz = Normalizer(p=2.0, inputCol="_w", outputCol=output_col)
-        return nz.transform(ep.transform(cv.transform(tdf))).select("record_id", output_col)
+        return nz.transform(ep.transform(cv.transform(tdf))).select("record_id", *keep, output_col)
 
 
 def fit_tfidf(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams()) -> TfidfModel:
@@ -210,7 +206,7 @@ def fit_tfidf(df: DataFrame, text_col: str = "document_text", params: TfidfParam
 # -- T8 / T9 / T11: external models --------------------------------------------
 
 def embed(df: DataFrame, make_embedder: Callable[[], Callable], text_col: str = "document_text",
-          batch_size: int = 100, dim: int | None = None, output_col: str = "features") -> DataFrame:
+          batch_size: int = 100, output_col: str = "features", keep: tuple[str, ...] = ()) -> DataFrame:
     """Vectors from a user model, in batches of ``batch_size`` texts.
 
     ``make_embedder()`` runs once per Python worker and returns
@@ -232,31 +228,36 @@ def embed(df: DataFrame, make_embedder: Callable[[], Callable], text_col: str =
         return predict
 
     udf = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-    out = df.select("record_id", udf(F.col(text_col)).alias("_emb"))
-    return out.select("record_id", array_to_vector("_emb").alias(output_col))
+    out = df.select("record_id", *keep, udf(F.col(text_col)).alias("_emb"))
+    return out.select("record_id", *keep, array_to_vector("_emb").alias(output_col))
 
 
 def choose_features(df: DataFrame, use_external: bool, make_embedder: Callable | None,
                     supports_embedding: bool = True, text_col: str = "document_text",
-                    params: TfidfParams = TfidfParams()):
-    """External vectors when enabled and the model embeds, else TF-IDF.
+                    params: TfidfParams = TfidfParams(), keep: tuple[str, ...] = ()):
+    """External vectors when enabled and the model embeds, else TF-IDF; ``keep`` as in T7.
 
     Returns ``(features DataFrame, description string)``.
     """
     if use_external and make_embedder is not None and supports_embedding:
-        return embed(df, make_embedder, text_col), "external"
+        return embed(df, make_embedder, text_col, keep=keep), "external"
     model = fit_tfidf(df, text_col, params)
-    return model.transform(df, text_col), "tfidf-fallback" if model.used_fallback else "tfidf"
+    return model.transform(df, text_col, keep=keep), "tfidf-fallback" if model.used_fallback else "tfidf"
+
+
+# The parts of speech that count as words.
+KEEP_POS = ("名詞", "動詞", "形容詞")
 
 
-def analyser_words(df: DataFrame, tokenizer: Callable[[list[str]], list[list[tuple[str, str]]]],
-                   text_col: str = "document_text", keep_pos: tuple[str, ...] = ("名詞", "動詞", "形容詞"),
+def analyser_words(df: DataFrame, make_tokenizer: Callable[[], Callable[[list[str]], list[list[tuple[str, str]]]]],
+                   text_col: str = "document_text", keep_pos: tuple[str, ...] = KEEP_POS,
                    stopwords: list[str] | None = None, min_length: int = 2) -> DataFrame:
     """Words from a pluggable morphological analyser.
 
-    ``tokenizer(texts) -> [[(base_form, pos), ...], ...]`` runs in an Arrow
-    batch UDF (built once per worker); POS and word filters (F9, analyser
-    path) are JVM-side.  Returns the input with a ``words ARRAY<STRING>`` column.
+    ``make_tokenizer()`` runs once per task and returns
+    ``fn(texts) -> [[(base_form, pos), ...], ...]``, called on Arrow batches; POS and
+    word filters (F9, analyser path) are JVM-side.  Returns the input with a
+    ``words ARRAY<STRING>`` column, which the card operators take as ``words_col``.
     """
     import pandas as pd
 
@@ -266,12 +267,14 @@ def analyser_words(df: DataFrame, tokenizer: Callable[[list[str]], list[list[tup
     sw = STOPWORDS if stopwords is None else stopwords
     tok_type = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("pos", T.StringType())]))
 
-    def analyse_batch(texts):
-        out = tokenizer([t if isinstance(t, str) else "" for t in texts])
-        return pd.Series([[{"word": w, "pos": p} for w, p in toks] for toks in out])
-    # real (not postponed) annotations mark this as a Series -> Series pandas UDF
-    analyse_batch.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    analyse = F.pandas_udf(analyse_batch, tok_type)
+    def analyse_batches(batches):
+        fn = make_tokenizer()
+        for texts in batches:
+            out = fn([t if isinstance(t, str) else "" for t in texts])
+            yield pd.Series([[{"word": w, "pos": p} for w, p in toks] for toks in out])
+    # real (not postponed) annotations mark this as an iterator pandas UDF
+    analyse_batches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    analyse = F.pandas_udf(analyse_batches, tok_type)
 
     toks = analyse(F.coalesce(F.col(text_col), F.lit("")))
     kept = F.filter(toks, lambda s: s["pos"].isin(list(keep_pos)) & analyser_word_ok(s["word"], sw, min_length))

@@ -85,13 +85,24 @@ def files_without_sheet(files: DataFrame, cells: DataFrame, sheet: str = TARGET_
 
 # -- G1 / J4 --------------------------------------------------------------------
 
-def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
+#: Ranges are clipped to these bounds before they are exploded, whatever the sheet's own size.
+LAST_FILLED_COL = CANDIDATE_COLS[1]
+
+
+def fill_merged(cells: DataFrame, merges: DataFrame, last_row: int | None = None,
+                last_col: int = LAST_FILLED_COL) -> DataFrame:
     """G1: every cell of a merged range takes the range's top-left value (even empty).
 
     The ranges are exploded to ``(file, sheet, row, col)`` keys, so the
-    containment test is an equi-join (no nested-loop join).
+    containment test is an equi-join (no nested-loop join).  Nothing reads cells
+    below ``last_row`` (by default the last extracted one) or right of ``last_col``,
+    so a range over whole columns is cut there; its top-left value is its own.
     """
+    last_row = GridParams().last_extracted_row if last_row is None else last_row
     keys = ["file", "sheet", "row", "col"]
+    merges = merges.where((F.col("min_row") <= last_row) & (F.col("min_col") <= last_col)) \
+        .withColumn("max_row", F.least("max_row", F.lit(last_row))) \
+        .withColumn("max_col", F.least("max_col", F.lit(last_col)))
     tl = cells.select("file", "sheet", F.col("row").alias("min_row"), F.col("col").alias("min_col"),
                       F.col("value").alias("_tl"))
     m = merges.join(tl, ["file", "sheet", "min_row", "min_col"], "left")
@@ -215,18 +226,23 @@ def record_states(rows: DataFrame, params: GridParams = GridParams()) -> DataFra
                        has_detail.alias("has_detail"))
 
 
-def emit_records(states: DataFrame, fixed: DataFrame, ordinals: DataFrame) -> DataFrame:
+def emit_records(states: DataFrame, fixed: DataFrame, ordinals: DataFrame,
+                 params: GridParams = GridParams()) -> DataFrame:
     """G17 + G19: summary rows without a following detail, and detail rows, with text.
 
-    ``record_id = file ordinal * 1000 + row`` keeps (file, row) order.
+    ``record_id = file ordinal * stride + row`` keeps (file, row) order; the stride (1000 by
+    default) is over the last extracted row, so no two files share an id.
     """
+    stride = 1000
+    while stride <= params.last_extracted_row:
+        stride *= 10
     summary_rec = F.col("is_summary") & ~F.col("has_detail") & (F.col("summary_text") != "")
     detail_rec = F.col("is_detail") & (F.col("detail_text") != "")
     r = states.where(summary_rec | detail_rec)
     r = r.join(fixed, "file", "left").join(ordinals, "file", "left")
     cat = F.col("category_in_force")
     return r.select(
-        (F.col("file_no") * 1000 + F.col("row")).cast("bigint").alias("record_id"),
+        (F.col("file_no") * stride + F.col("row")).cast("bigint").alias("record_id"),
         F.col("file").alias("source_file"), F.col("row").cast("int").alias("row"),
         F.coalesce("store", F.lit("")).alias("store"), F.coalesce("block", F.lit("")).alias("block"),
         F.when(F.col("is_summary"), F.col("summary_text")).otherwise(F.col("summary_in_force")).alias("summary"),
@@ -235,42 +251,54 @@ def emit_records(states: DataFrame, fixed: DataFrame, ordinals: DataFrame) -> Da
         TX.category_name(cat).alias("category_name"))
 
 
-def file_ordinals(cells: DataFrame) -> DataFrame:
-    """``(file, file_no)``: 1-based rank in file-name order, computed without a global window.
+def numbered(rows: DataFrame, col: str, out: str) -> DataFrame:
+    """Distinct ``rows(col)`` with their 1-based rank in order, computed without a global window.
 
-    The distinct names are range-sorted across partitions and checkpointed
-    (so the partition boundaries cannot change between the two passes); the
+    The values are range-sorted across partitions and checkpointed (so the
+    partition boundaries cannot change between the two passes); the
     per-partition counts -- one row per partition -- give each partition's
-    offset, and a file's number is that offset plus its index in the partition.
+    offset, and a value's number is that offset plus its index in the partition.
     """
     from shoal.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(cells.sparkSession)
-    files = cells.select("file").distinct().orderBy("file") \
-        .withColumn("_pid", F.spark_partition_id()).checkpoint()
-    counts = files.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()
+    ensure_checkpoint_dir(rows.sparkSession)
+    at = rows.select(col).orderBy(col).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    counts = at.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()
     offsets, acc = {}, 0
     for r in sorted(counts, key=lambda r: r["_pid"]):
         offsets[r["_pid"]] = acc
         acc += r["_n"]
     off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) if offsets \
         else F.create_map(F.lit(0), F.lit(0))
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy("file"))
-    return files.select("file", (F.element_at(off, F.col("_pid")) + local).cast("bigint").alias("file_no"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(col))
+    return at.select(col, (F.element_at(off, F.col("_pid")) + local).cast("bigint").alias(out))
 
 
-def extract_records(cells: DataFrame, merges: DataFrame | None = None,
-                    params: GridParams = GridParams()) -> DataFrame:
-    """S3 + G1-G19: sheet cells -> canonical records (with ``document_text``, P5)."""
+def file_ordinals(cells: DataFrame) -> DataFrame:
+    """``(file, file_no)``: 1-based rank in file-name order."""
+    return numbered(cells.select("file").distinct(), "file", "file_no")
+
+
+def filled_sheet(cells: DataFrame, merges: DataFrame | None = None, params: GridParams = GridParams()) -> DataFrame:
+    """S3 + G1: the target sheet's cells within the bounds, merges filled, written once for all consumers."""
     from shoal.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(cells.sparkSession)
     c = select_sheet(cells, params.sheet)
     if merges is not None:
-        c = fill_merged(c, merges.where(F.col("sheet") == params.sheet))
-    # four consumers read the filled cells (scores, rows, fixed cells, file
-    # numbers): materialise them once in the shared checkpoint folder
-    ensure_checkpoint_dir(cells.sparkSession)
-    c = c.checkpoint()
+        c = fill_merged(c, merges.where(F.col("sheet") == params.sheet), params.last_extracted_row,
+                        max(params.candidate_cols[1], LAST_FILLED_COL,
+                            column_index(params.manual_column) if params.manual_column else 0))
+    return c.where(F.col("row") <= params.last_extracted_row).checkpoint()
+
+
+def extract_filled(c: DataFrame, params: GridParams = GridParams()) -> DataFrame:
+    """G2-G19 on a filled sheet: canonical records (with ``document_text``, P5)."""
     best = best_column(score_columns(c, params))
-    rows = sheet_rows(c, best, params)
-    states = record_states(rows, params)
-    recs = emit_records(states, fixed_cells(c), file_ordinals(c))
+    states = record_states(sheet_rows(c, best, params), params)
+    recs = emit_records(states, fixed_cells(c), file_ordinals(c), params)
     return recs.withColumn("document_text", TX.document_text("category_name", "summary", "detail"))
+
+
+def extract_records(cells: DataFrame, merges: DataFrame | None = None,
+                    params: GridParams = GridParams()) -> DataFrame:
+    """S3 + G1-G19: sheet cells -> canonical records (with ``document_text``, P5)."""
+    return extract_filled(filled_sheet(cells, merges, params), params)

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions import text as TX
-from shoal.sources.tables import spread
 
 # ---------------------------------------------------------------------------
 # Fixed values that must match the reference's behaviour.
@@ -105,13 +104,19 @@ SAMPLE_CHARS = 200
 
 def word_occurrences(df: DataFrame, text_col: str = "document_text", cluster_col: str = "cluster",
                      order_col: str = "record_id", pattern: str = TX.CJK_RUN,
-                     min_length: int = 2, stopwords: list[str] | None = None) -> DataFrame:
-    """F9 + T10: one row per kept word occurrence ``(cluster, word, order, pos)``."""
+                     min_length: int = 2, stopwords: list[str] | None = None,
+                     words_col: str | None = None) -> DataFrame:
+    """F9 + T10: one row per kept word occurrence ``(cluster, word, order, pos)``.
+
+    With ``words_col`` the words are those of that array column (T11), already filtered.
+    """
     sw = STOPWORDS if stopwords is None else stopwords
-    src = spread(df.select(F.col(cluster_col).alias("cluster"), F.col(order_col).alias("order"),
-                           F.col(text_col).alias("_text")))
-    occ = src.select("cluster", "order",
-                     F.posexplode_outer(TX.cjk_runs("_text", pattern)).alias("pos", "word"))
+    src = df.select(F.col(cluster_col).alias("cluster"), F.col(order_col).alias("order"),
+                    F.col(words_col or text_col).alias("_text"))
+    words = F.col("_text") if words_col else TX.cjk_runs("_text", pattern)
+    occ = src.select("cluster", "order", F.posexplode_outer(words).alias("pos", "word"))
+    if words_col:
+        return occ.where(F.col("word").isNotNull())
     # outer explode + null filter: an inner one makes the optimizer add a
     # size(...) > 0 filter that runs the regex a second time.
     keep = F.col("word").isNotNull() & (F.length("word") >= min_length)
@@ -200,7 +205,8 @@ CARD_SCHEMA = ("cluster INT, label STRING, description STRING, representative_te
 def cluster_cards(df: DataFrame, text_col: str = "document_text", cluster_col: str = "cluster",
                   order_col: str = "record_id", top_n: int = TOP_WORDS, n_samples: int = SAMPLE_TEXTS,
                   pattern: str = TX.CJK_RUN, tie: str = "first",
-                  with_samples: bool = False) -> DataFrame:
+                  with_samples: bool = False, words_col: str | None = None,
+                  stopwords: list[str] | None = None) -> DataFrame:
     """L3 + L4: a card for every cluster (fallback label/description; noise card for -1).
 
     Three per-cluster aggregates joined on ``cluster``; each side has one row
@@ -208,7 +214,7 @@ def cluster_cards(df: DataFrame, text_col: str = "document_text", cluster_col: s
     """
     counts = df.groupBy(F.col(cluster_col).cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("count"))
     words = word_lists(df, top_n=top_n, text_col=text_col, cluster_col=cluster_col,
-                       order_col=order_col, pattern=pattern, tie=tie)
+                       order_col=order_col, pattern=pattern, tie=tie, words_col=words_col, stopwords=stopwords)
     samples = sample_texts(df, n=n_samples, text_col=text_col, cluster_col=cluster_col,
                            order_col=order_col)
     j = counts.join(words, "cluster", "left").join(samples, "cluster", "left")
@@ -263,16 +269,19 @@ def relabel_prompts(cards: DataFrame, clusters: list[int], template: str = RELAB
     return c.select("cluster", _fill(template, slots).alias("prompt"))
 
 
-def generate(prompts: DataFrame, fn: Callable[[str, int], str], max_tokens: int = LABEL_MAX_TOKENS) -> DataFrame:
-    """Run ``fn(prompt, max_tokens)`` over prompt rows in Arrow batches on the executors.
+def generate(prompts: DataFrame, make_generator: Callable[[], Callable[[str, int], str]],
+             max_tokens: int = LABEL_MAX_TOKENS) -> DataFrame:
+    """Run a user model over prompt rows on the executors.
 
-    A failing row yields a null ``response`` and the error text; callers fall
-    back per row.  ``fn`` is created once per task (closure pickled once).
+    ``make_generator()`` runs once per task and returns ``fn(prompt, max_tokens)``.  A
+    failing call yields a null ``response`` and the error text; callers fall back per row.
+    The result is lazy: keep it (checkpoint) before using it twice.
     """
     schema = T.StructType(prompts.schema.fields + [
         T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches):
+        fn = make_generator()
         for pdf in batches:
             responses, errors = [], []
             for p in pdf["prompt"]:
@@ -290,19 +299,19 @@ def generate(prompts: DataFrame, fn: Callable[[str, int], str], max_tokens: int
 
 def parse_response(cluster: Column, response: Column) -> tuple[Column, Column]:
     """【ラベル】 and 【特徴説明】 sections; defaults クラスタ {id} / first 500 chars."""
-    lab = TX.strip_ws(F.regexp_extract(response, r"(?s)【ラベル】" + TX.WS_CLASS + r"*(.+?)(?=【|$)", 1))
-    desc = TX.strip_ws(F.regexp_extract(response, r"(?s)【特徴説明】" + TX.WS_CLASS + r"*(.+?)(?=【|$)", 1))
+    lab = TX.strip_ws(F.regexp_extract(response, "(?s)" + LABEL_SECTION + TX.WS_CLASS + r"*(.+?)(?=【|$)", 1))
+    desc = TX.strip_ws(F.regexp_extract(response, "(?s)" + DESCRIPTION_SECTION + TX.WS_CLASS + r"*(.+?)(?=【|$)", 1))
     label = F.when(lab != "", lab).otherwise(default_label(cluster))
     description = F.when(desc != "", desc).otherwise(
         F.substring(TX.strip_ws(response), 1, DESCRIPTION_FALLBACK_CHARS))
     return label, description
 
 
-def generated_cards(cards: DataFrame, fn: Callable[[str, int], str] | None) -> DataFrame:
+def generated_cards(cards: DataFrame, make_generator: Callable[[], Callable[[str, int], str]] | None) -> DataFrame:
     """L4 with a generator: parsed label/description, per-row fallback on failure."""
-    if fn is None:
+    if make_generator is None:
         return cards
-    gen = generate(label_prompts(cards), fn, LABEL_MAX_TOKENS)
+    gen = generate(label_prompts(cards), make_generator, LABEL_MAX_TOKENS)
     lab, desc = parse_response(F.col("cluster"), F.col("response"))
     parsed = gen.select("cluster", F.when(F.col("response").isNotNull(), lab).alias("g_label"),
                         F.when(F.col("response").isNotNull(), desc).alias("g_description"))
@@ -313,15 +322,16 @@ def generated_cards(cards: DataFrame, fn: Callable[[str, int], str] | None) -> D
           else F.col(c) for c in cards.columns])
 
 
-def relabel(cards: DataFrame, clusters: list[int], fn: Callable[[str, int], str] | None) -> DataFrame:
+def relabel(cards: DataFrame, clusters: list[int],
+            make_generator: Callable[[], Callable[[str, int], str]] | None) -> DataFrame:
     """New labels for the chosen clusters; other card fields kept (Q9 repaired).
 
     Without a generator the cards are returned unchanged; a failed call gives
     ``クラスタ {id} (v2)``.
     """
-    if fn is None:
+    if make_generator is None:
         return cards
-    gen = generate(relabel_prompts(cards, clusters), fn, RELABEL_MAX_TOKENS)
+    gen = generate(relabel_prompts(cards, clusters), make_generator, RELABEL_MAX_TOKENS)
     new = gen.select("cluster", F.when(F.col("response").isNotNull(), TX.strip_ws(F.col("response")))
                      .otherwise(F.concat(default_label(F.col("cluster")), F.lit(RELABEL_FAILED_SUFFIX)))
                      .alias("new_label"))

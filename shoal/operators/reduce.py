@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pca2(features: DataFrame, features_col: str = "features", n_rows: int | None = None) -> DataFrame:
-    """M1: ``(record_id, x, y)`` from ``(record_id, features)``.
+def pca2(features: DataFrame, features_col: str = "features", n_rows: int | None = None,
+         keep: tuple[str, ...] = ()) -> DataFrame:
+    """M1: ``(record_id, x, y)`` from ``(record_id, features)``, with the columns in ``keep``.
 
     Components = min(2, n, d); a single component is padded with y = 0.
     """
@@ -35,22 +36,21 @@ def pca2(features: DataFrame, features_col: str = "features", n_rows: int | None
         col = pc[:, j]
         idx = int(abs(col).argmax())
         signs.append(-1.0 if col[idx] < 0 else 1.0)
-    proj = model.transform(features).select("record_id", vector_to_array("_pc").alias("_a"))
+    proj = model.transform(features).select("record_id", *keep, vector_to_array("_pc").alias("_a"))
     coords = [F.element_at("_a", j + 1) * F.lit(signs[j]) for j in range(k)]
-    pts = proj.select("record_id", coords[0].alias("x"),
+    pts = proj.select("record_id", *keep, coords[0].alias("x"),
                       (coords[1] if k > 1 else F.lit(0.0)).alias("y"))
     means = pts.agg(F.avg("x").alias("mx"), F.avg("y").alias("my")).first()
-    return pts.select("record_id", (F.col("x") - F.lit(means["mx"])).alias("x"),
+    return pts.select("record_id", *keep, (F.col("x") - F.lit(means["mx"])).alias("x"),
                       (F.col("y") - F.lit(means["my"] if k > 1 else 0.0)).alias("y"))
 
 
-def layout2(features: DataFrame, features_col: str = "features", n_neighbors: int = 15,
-            n_rows: int | None = None) -> tuple[DataFrame, str]:
-    """M2 entry point: the neighbour-graph layout is not built in this round,
-    so this applies the reference's own fallback (M2d) and says so.
+def layout2(features: DataFrame, features_col: str = "features", n_rows: int | None = None,
+            keep: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """M2 entry point: the neighbour-graph layout is not built, so this applies
+    the reference's own fallback (M2d) and says so.
 
     Returns ``(points, method)``; ``method`` is ``"pca"``.
     """
     n = n_rows if n_rows is not None else features.count()
-    del n_neighbors
-    return pca2(features, features_col, n), "pca"
+    return pca2(features, features_col, n, keep), "pca"

@@ -44,7 +44,7 @@ DISPLAY_COLUMNS = ["store", "block", "category", "category_name", "summary", "de
 PREVIEW_ROWS = 50
 # ---------------------------------------------------------------------------
 
-MAX_PIVOT_VALUES = 1000  # a pivot is one column per value: wider tables use the long form
+NULL_COLUMN = "null"     # crosstab column of rows whose column value is null
 
 
 # -- J1 / J2 / P10 -----------------------------------------------------------
@@ -94,14 +94,15 @@ def highlight_opacity(cluster: Column, highlight: int | None) -> Column:
 def cluster_colors(assignments: DataFrame, palette: list[str] = PALETTE) -> DataFrame:
     """``(cluster, color)``: non-noise ids in id order cycle through the palette.
 
-    The distinct ids are gathered into one sorted array: its size is the
-    number of clusters, not the number of records.
+    The distinct ids are numbered by a range sort and partition offsets, so many
+    clusters neither meet in one task nor in one array.
     """
+    from shoal.operators.grid import numbered
     ids = assignments.select(F.col("cluster").cast("int").alias("cluster")).distinct()
-    arr = ids.where(F.col("cluster") != -1).agg(F.array_sort(F.collect_list("cluster")).alias("ids"))
-    ranked = arr.select(F.posexplode("ids").alias("i", "cluster"))
+    ranked = numbered(ids.where(F.col("cluster") != -1), "cluster", "_i")
     pal = F.array(*[F.lit(p) for p in palette])
-    colored = ranked.select("cluster", F.element_at(pal, (F.col("i") % len(palette)) + 1).alias("color"))
+    colored = ranked.select("cluster", F.element_at(pal, F.pmod(F.col("_i") - 1, F.lit(len(palette))).cast("int") + 1)
+                            .alias("color"))
     noise = ids.where(F.col("cluster") == -1).select("cluster", F.lit(NOISE_COLOR).alias("color"))
     return colored.unionByName(noise)
 
@@ -121,11 +122,15 @@ def cluster_options(assignments: DataFrame, cards: DataFrame | None = None) -> D
 # -- A1-A11 --------------------------------------------------------------------
 
 def summary_stats(df: DataFrame) -> DataFrame:
-    """A1: total, clusters (excl. -1), noise, noise ratio (0 when empty), unique stores."""
-    agg = df.agg(
-        F.count(F.lit(1)).alias("total_records"),
+    """A1: total, clusters (excl. -1), noise, noise ratio (0 when empty), unique stores.
+
+    Counts per (cluster, store) come first, so the distinct counts see few rows.
+    """
+    pre = df.groupBy("cluster", "store").agg(F.count(F.lit(1)).alias("_n"))
+    agg = pre.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_records"),
         F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
-        F.count_if(F.col("cluster") == -1).alias("n_noise"),
+        F.coalesce(F.sum(F.when(F.col("cluster") == -1, F.col("_n"))), F.lit(0)).alias("n_noise"),
         F.count_distinct("store").alias("unique_stores"))
     return agg.withColumn("noise_ratio", F.when(F.col("total_records") > 0,
                                                 F.col("n_noise") / F.col("total_records")).otherwise(F.lit(0.0)))
@@ -137,11 +142,13 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def import_metrics(df: DataFrame) -> DataFrame:
-    """A4: rows, distinct stores, distinct category names, summary-only rows."""
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.count_distinct("store").alias("stores"),
-                  F.count_distinct("category_name").alias("categories"),
-                  F.count_if(F.col("detail") == "").alias("summary_only"))
+    """A4: rows, distinct stores, distinct category names, summary-only rows (pre-aggregated as A1)."""
+    pre = df.groupBy("store", "category_name").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("detail") == "").alias("_s"))
+    return pre.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+                   F.count_distinct("store").alias("stores"),
+                   F.count_distinct("category_name").alias("categories"),
+                   F.coalesce(F.sum("_s"), F.lit(0)).alias("summary_only"))
 
 
 def cluster_sizes(assignments: DataFrame, cards: DataFrame | None = None) -> DataFrame:
@@ -162,22 +169,32 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     return dist.join(stores, "cluster")
 
 
-def crosstab(df: DataFrame, row_col: str, col_col: str, values: list[str] | None = None) -> DataFrame:
-    """Zero-filled counts of ``row_col`` x ``col_col`` (one column per value).
+def crosstab(df: DataFrame, row_col: str, col_col: str, values: list[str]) -> DataFrame:
+    """Zero-filled counts of ``row_col`` x ``col_col``, one column per listed value.
 
-    Pass ``values`` to skip the extra job that finds the distinct column values.
+    A null column value is counted under ``NULL_COLUMN`` if that is listed; values not
+    listed are left out.  Where the values aren't known, use :func:`crosstab_long`.
     """
-    if values is None:
-        found = df.select(col_col).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
-        if len(found) > MAX_PIVOT_VALUES:
-            raise ValueError(f"more than {MAX_PIVOT_VALUES} values of {col_col}: use crosstab_long")
-        values = sorted(r[0] for r in found)
-    return df.groupBy(row_col).pivot(col_col, values).agg(F.count(F.lit(1))).na.fill(0)
+    col = F.coalesce(F.col(col_col).cast("string"), F.lit(NULL_COLUMN))
+    return df.groupBy(row_col).agg(*[F.count_if(col == v).alias(v) for v in values])
 
 
-def crosstab_long(df: DataFrame, row_col: str, col_col: str) -> DataFrame:
-    """A7 / A9 in long form ``(row, column, n)`` with no pivot; non-zero cells only."""
-    return df.groupBy(row_col, col_col).agg(F.count(F.lit(1)).alias("n"))
+def crosstab_long(df: DataFrame, row_col: str, col_col: str, values: list[str] | None = None) -> DataFrame:
+    """A7 / A9 in long form ``(row, column, n)``; a null column value is named ``NULL_COLUMN``.
+
+    With ``values`` each row value has all of them, zero-filled, and values not listed
+    are left out; without, only the pairs that occur.
+    """
+    col = F.coalesce(F.col(col_col).cast("string"), F.lit(NULL_COLUMN))
+    n = df.groupBy(row_col, col.alias(col_col)).agg(F.count(F.lit(1)).alias("n"))
+    if values is None:
+        return n
+    found = n.where(F.col(col_col).isin(values)).groupBy(row_col).agg(
+        F.map_from_entries(F.collect_list(F.struct(col_col, "n"))).alias("_n"))     # at most one entry for each value
+    return df.select(row_col).distinct().withColumnRenamed(row_col, "_r") \
+        .join(found, F.col("_r").eqNullSafe(F.col(row_col)), "left") \
+        .select(F.col("_r").alias(row_col), "_n", F.explode(F.array(*map(F.lit, values))).alias(col_col)) \
+        .select(row_col, col_col, F.coalesce(F.element_at("_n", F.col(col_col)), F.lit(0)).cast("bigint").alias("n"))
 
 
 def centroids(points_with_cluster: DataFrame) -> DataFrame:
@@ -223,17 +240,17 @@ def scatter_table(records: DataFrame, assignments: DataFrame, points: DataFrame,
                   cards: DataFrame | None = None, highlight: int | None = None,
                   max_text_length: int = 100) -> DataFrame:
     """Point, label, colour, opacity and the five hover fields per record."""
-    base = attach_labels(records, assignments, points)
-    base = attach_card(base, cards)
-    colors = cluster_colors(assignments)
-    base = base.join(colors, "cluster", "left")
-    return base.select(
-        "record_id", "x", "y", "cluster", "cluster_label", "color",
-        highlight_opacity(F.col("cluster"), highlight).alias("opacity"),
-        F.col("store").alias("hover_store"), F.col("block").alias("hover_block"),
+    hover = records.select(                      # cut first: no whole text goes through a join
+        "record_id", F.col("store").alias("hover_store"), F.col("block").alias("hover_block"),
         F.col("category_name").alias("hover_category"),
         TX.hover_truncate("summary", max_text_length).alias("hover_summary"),
         TX.hover_truncate("detail", max_text_length).alias("hover_detail"))
+    base = attach_card(attach_labels(hover, assignments, points), cards)
+    base = base.join(cluster_colors(assignments), "cluster", "left")
+    return base.select(
+        "record_id", "x", "y", "cluster", "cluster_label", "color",
+        highlight_opacity(F.col("cluster"), highlight).alias("opacity"),
+        "hover_store", "hover_block", "hover_category", "hover_summary", "hover_detail")
 
 
 def annotation_table(points_with_cluster: DataFrame, cards: DataFrame | None = None,
@@ -262,7 +279,7 @@ def export_frame(df: DataFrame, assignments: DataFrame | None = None, cards: Dat
     """S7 (projection): drop ``_`` columns, add the cluster number and name."""
     out = drop_internal(df)
     if include_cluster and assignments is not None:
-        out = out.join(assignments, "record_id")
+        out = out.join(assignments, "record_id", "left")     # a record without a cluster is exported too
         if cards is not None:
             out = attach_card(out, cards).withColumnRenamed("cluster_label", CLUSTER_NAME_HEADER)
         out = out.withColumnRenamed("cluster", CLUSTER_NUMBER_HEADER)

@@ -3,8 +3,10 @@
 documents (store = source, category = lang, id = doc_id) joined with labels
 (block = quality, '-1' if absent); summary = the first line of the text,
 detail = the whole text when it has more than one line, else ''.  So the
-document text is always the whole text.  embeddings give the cluster
-(label 0 read as noise, -1) and the 2-D point (the first two components).
+document text is always the whole text.  Every document has a cluster (an
+arithmetic bucket of its id; one bucket is read as noise, -1) and a 2-D point
+(two statistics of its whole text).  embeddings have clusters of their own
+(label 0 read as noise) and points that project all their components.
 """
 
 from __future__ import annotations
@@ -26,12 +28,41 @@ def doc_roles() -> Roles:
     )
 
 
-def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dealt(docs: DataFrame) -> DataFrame:
+    """The rows over as many partitions as the session's shuffles have: the test tables are one row group."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def doc_records(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
+    docs = dealt(docs) if deal else docs
     quality = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
     return doc_roles().bind(docs.join(quality, "doc_id", "left"))
 
 
+BUCKETS = 11
+
+
+def doc_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(record_id, cluster)`` for every document: -1 (noise) to 9."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("record_id"), doc_cluster(F.col("doc_id")).alias("cluster"))
+
+
+def doc_cluster(doc_id):
+    return (F.pmod(doc_id * 7919, F.lit(BUCKETS)) - 1).cast("int")
+
+
+def doc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(record_id, x, y)`` for every document: log length and share of spaces of the whole text."""
+    docs = read_table(spark, sf_dir, "documents")
+    t = F.coalesce("text", F.lit(""))
+    n = F.length(t)
+    return docs.select(
+        F.col("doc_id").alias("record_id"), F.log(1.0 + n).alias("x"),
+        ((n - F.length(F.replace(t, F.lit(" "), F.lit("")))) / (1.0 + n)).alias("y"))
+
+
 def emb_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings")
     return emb.select(
@@ -40,18 +71,26 @@ def emb_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed projection of the embeddings onto the plane: every component has a weight in both.
+VECTOR_SIZE = 64
+X_WEIGHTS = [((i * 37) % VECTOR_SIZE - 32) / VECTOR_SIZE for i in range(VECTOR_SIZE)]
+Y_WEIGHTS = [((i * 23 + 11) % VECTOR_SIZE - 32) / VECTOR_SIZE for i in range(VECTOR_SIZE)]
+
+
 def emb_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = read_table(spark, sf_dir, "embeddings")
-    return emb.select(
-        F.col("vec_id").cast("bigint").alias("record_id"),
-        F.element_at("embedding", 1).cast("double").alias("x"),
-        F.element_at("embedding", 2).cast("double").alias("y"),
-    )
+    emb = read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("bigint").alias("record_id"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def dot(weights):
+        w = F.array(*map(F.lit, weights))
+        return F.aggregate(F.zip_with("v", w, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+
+    return emb.select("record_id", dot(X_WEIGHTS).alias("x"), dot(Y_WEIGHTS).alias("y"))
 
 
 def clustered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that carry a cluster (inner join on record_id)."""
-    return doc_records(spark, sf_dir).join(emb_assignments(spark, sf_dir), "record_id")
+    """Every record with its cluster."""
+    return doc_records(spark, sf_dir, deal=True).withColumn("cluster", doc_cluster(F.col("record_id")))
 
 
 # DuckDB text of the same binding, shared by the oracle queries.  ``@WS@`` is
@@ -73,11 +112,20 @@ docrec AS (
   FROM records
 ),
 assignments AS (
+  SELECT doc_id AS record_id, CAST((doc_id * 7919) % @BUCKETS@ - 1 AS INTEGER) AS cluster FROM documents
+),
+points AS (
+  SELECT doc_id AS record_id, ln(1.0::DOUBLE + length(coalesce(text, ''))) AS x,
+         (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', ''))) / (1.0::DOUBLE + length(coalesce(text, ''))) AS y
+  FROM documents
+),
+eassignments AS (
   SELECT vec_id AS record_id, CAST(CASE WHEN label = 0 THEN -1 ELSE label END AS INTEGER) AS cluster
   FROM embeddings
 ),
-points AS (
-  SELECT vec_id AS record_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
+epoints AS (
+  SELECT vec_id AS record_id, list_inner_product(CAST(embedding AS DOUBLE[]), @XW@) AS x,
+         list_inner_product(CAST(embedding AS DOUBLE[]), @YW@) AS y
   FROM embeddings
 ),
 crec AS (
@@ -88,7 +136,8 @@ crec AS (
 
 def oracle_sql_text(sql: str) -> str:
     from shoal.functions.text import WS_CLASS
-    return sql.replace("@WS@", WS_CLASS)
+    return (sql.replace("@WS@", WS_CLASS).replace("@BUCKETS@", str(BUCKETS))
+            .replace("@XW@", f"CAST({X_WEIGHTS} AS DOUBLE[])").replace("@YW@", f"CAST({Y_WEIGHTS} AS DOUBLE[])"))
 
 
 # ---------------------------------------------------------------------------
@@ -102,38 +151,34 @@ def oracle_sql_text(sql: str) -> str:
 # ("store-{conv_id}") and block (role of turn 0).
 # ---------------------------------------------------------------------------
 
-def conv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conv_cells(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
+    """One scan: each turn is exploded into its cells; ``step`` rows lie between turns."""
     from shoal.operators.grid import TARGET_SHEET
     conv = read_table(spark, sf_dir, "conversations")
-    base = conv.select(F.col("conv_id").cast("string").alias("file"), F.lit(TARGET_SHEET).alias("sheet"),
-                       (F.col("turn") + 7).cast("int").alias("row"), "turn", "role", "text")
-
-    def cell(df, row, col, value):
-        return df.select("file", "sheet", row.cast("int").alias("row"), F.lit(col).cast("int").alias("col"),
-                         value.cast("string").alias("value"))
-    first = base.where(F.col("turn") == 0)
-    parts = [
-        cell(base.where(F.col("role") == "user"), F.col("row"), 5,
-             F.concat(F.expr("turn div 2 + 1").cast("string"), F.lit("."))),
-        cell(base.where(F.col("role") == "assistant"), F.col("row"), 6,
-             F.concat(F.lit("("), F.col("turn").cast("string"), F.lit(")"))),
-        cell(base, F.col("row"), 7, F.col("text")),
-        cell(base, F.col("row"), 18, F.substring("text", 1, 1)),
-        cell(first, F.lit(4), 4, F.concat(F.lit("store-"), F.col("file"))),
-        cell(first, F.lit(4), 14, F.col("role")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("value").isNotNull())
-
-
-def conv_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn_row = (F.col("turn") * step + 7).cast("int")
+    file = F.col("conv_id").cast("string")
+
+    def cell(when, row, col, value):
+        return F.when(when, F.struct(row.alias("row"), F.lit(col).alias("col"), value.cast("string").alias("value")))
+    first = F.col("turn") == 0
+    cells = F.array(
+        cell(F.col("role") == "user", turn_row, 5, F.concat(F.expr("turn div 2 + 1").cast("string"), F.lit("."))),
+        cell(F.col("role") == "assistant", turn_row, 6, F.concat(F.lit("("), F.col("turn").cast("string"), F.lit(")"))),
+        cell(F.lit(True), turn_row, 7, F.col("text")),
+        cell(F.lit(True), turn_row, 18, F.substring("text", 1, 1)),
+        cell(first, F.lit(4), 4, F.concat(F.lit("store-"), file)),
+        cell(first, F.lit(4), 14, F.col("role")))
+    return conv.select(file.alias("file"), F.lit(TARGET_SHEET).alias("sheet"), F.explode(cells).alias("c")) \
+        .select("file", "sheet", F.col("c.row").cast("int").alias("row"), F.col("c.col").cast("int").alias("col"),
+                F.col("c.value").alias("value")).where(F.col("value").isNotNull())
+
+
+def conv_merges(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
     from shoal.operators.grid import TARGET_SHEET
     conv = read_table(spark, sf_dir, "conversations")
     return conv.select(F.col("conv_id").cast("string").alias("file"), F.lit(TARGET_SHEET).alias("sheet"),
-                       (F.col("turn") + 7).cast("int").alias("min_row"), F.lit(7).alias("min_col"),
-                       (F.col("turn") + 7).cast("int").alias("max_row"), F.lit(15).alias("max_col"))
+                       (F.col("turn") * step + 7).cast("int").alias("min_row"), F.lit(7).alias("min_col"),
+                       (F.col("turn") * step + 7).cast("int").alias("max_row"), F.lit(15).alias("max_col"))
 
 
 def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +204,12 @@ def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(F.col("value").isNotNull())
 
 
+def oracle_conv_cells(step: int) -> str:
+    return ORACLE_CONV_CELLS.replace("turn * 1 + 7", f"turn * {step} + 7")
+
+
 ORACLE_CONV_CELLS = """
-cbase AS (SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 7 AS INTEGER) AS row, turn, role, text FROM conversations),
+cbase AS (SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn * 1 + 7 AS INTEGER) AS row, turn, role, text FROM conversations),
 cells AS (
   SELECT file, row, 5 AS col, CAST(turn // 2 + 1 AS VARCHAR) || '.' AS value FROM cbase WHERE role = 'user'
   UNION ALL SELECT file, row, 6, '(' || CAST(turn AS VARCHAR) || ')' FROM cbase WHERE role = 'assistant'

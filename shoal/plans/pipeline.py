@@ -1,10 +1,11 @@
 """M7 + L4: records -> features -> 2-D points -> clusters -> score -> cards.
 
 One configuration object replaces the reference's sidebar/tab controls (Q2).
-The 2-D points and the labels feed five consumers (cards, charts, stats,
-score, export), so they are checkpointed to the session's shared checkpoint
-folder: reused without recomputation, and a lost executor re-reads them
-instead of re-running the features.
+The fitted models (vocabulary, projection, k-means) label rows one by one, so the
+texts are tokenised once for the vocabulary and once for the vectors, kept with
+them, and reach the cards without a join.  Points, labels and cards feed several
+consumers and are checkpointed to the session's shared folder, whatever the
+input's size: a generator runs once for each prompt, and a lost executor re-reads them.
 """
 
 from __future__ import annotations
@@ -34,12 +35,14 @@ class PipelineConfig:
     seed: int = 42
     min_cluster_size: int = 5
     min_samples: int = 3
-    silhouette: str = "euclidean"       # or "squared_euclidean" (O(n*k))
+    silhouette: str = "squared_euclidean"   # O(n*k); "euclidean" is the all-pairs score, by explicit choice
+    num_partitions: int | None = None   # deal the records anew where the scan has too few splits
     tfidf: FT.TfidfParams = field(default_factory=FT.TfidfParams)
     word_pattern: str = TX.CJK_RUN      # label words; T10 default
+    make_tokenizer: Callable | None = None  # T11: label words from an analyser instead
     use_external: bool = False
     make_embedder: Callable | None = None
-    generate: Callable[[str, int], str] | None = None
+    make_generator: Callable[[], Callable[[str, int], str]] | None = None
 
 
 @dataclass
@@ -55,40 +58,34 @@ def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitRes
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
     require_min_rows(records, 3)
-    # an input with fewer splits than cores is small: spread it once and keep it
-    # for the three text passes (vocabulary, vectors, cards); a large input
-    # already has many splits and streams from storage on every pass
-    parallelism = spark.sparkContext.defaultParallelism
-    kept = None
-    if records.rdd.getNumPartitions() < parallelism:
-        kept = records.repartition(parallelism).persist(StorageLevel.MEMORY_AND_DISK)
-        records = kept
-    n = records.count()
-    feats, kind = FT.choose_features(records, config.use_external, config.make_embedder,
-                                     text_col="document_text", params=config.tfidf)
-    # PCA reads the vectors three times (moments, Gramian, projection): keep
-    # them for the stage, then drop them once the points are checkpointed.
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    points, _ = RD.layout2(feats, n_rows=n)
-    points = points.checkpoint()
-    feats.unpersist()
     if config.use_density:
         raise NotImplementedError(
             "hierarchical density clustering (M4) is not built yet; use k-means (use_density=False)")
-    else:
-        run = C.kmeans(points, config.k, config.restarts, config.seed, n_rows=n)
-    assignments = run.assignments.checkpoint()
-    labelled = points.join(assignments, "record_id")
+    if config.num_partitions:
+        records = records.repartition(config.num_partitions)
+    n = records.count()
+    text = ("document_text",)
+    feats, kind = FT.choose_features(records, config.use_external, config.make_embedder,
+                                     text_col="document_text", params=config.tfidf, keep=text)
+    # read by the projection's three passes and by the cards
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    placed, _ = RD.layout2(feats, n_rows=n, keep=text)
+    points = placed.select("record_id", "x", "y").checkpoint()
+    run = C.kmeans(points, config.k, config.restarts, config.seed, n_rows=n)
+    labelled = run.label(points).checkpoint()
+    assignments = labelled.select("record_id", "cluster")
     sil = None
     if run.n_clusters > 1:
         sil = E.silhouette(labelled, config.silhouette, n_clusters=run.n_clusters)
     stats = run.run_stats(spark, sil)
-    cards = L.cluster_cards(records.join(assignments, "record_id"), pattern=config.word_pattern,
-                            with_samples=config.generate is not None)
-    cards = L.generated_cards(cards, config.generate)
-    if kept is not None:
-        cards = cards.checkpoint()
-        kept.unpersist()
+    texts = run.label(placed).select("record_id", "document_text", "cluster")
+    words_col = None
+    if config.make_tokenizer is not None:
+        texts, words_col = FT.analyser_words(texts, config.make_tokenizer), "words"
+    cards = L.cluster_cards(texts, pattern=config.word_pattern, words_col=words_col,
+                            with_samples=config.make_generator is not None)
+    cards = L.generated_cards(cards, config.make_generator).checkpoint()
+    feats.unpersist()
     return FitResult(points, assignments, stats, cards, kind)
 
 

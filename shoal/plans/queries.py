@@ -23,6 +23,9 @@ ORACLE: dict[str, str] = {}
 # European prose, so the CJK fallback would find no words at all.
 LETTER_RUN = r"\p{L}+"
 SEP = " | "
+# Stopwords beside the fixed ones: words that the driver's texts do hold.
+COMMON_WORDS = ["the", "and", "of", "la", "de", "der", "die"]
+WORDS = {"pattern": LETTER_RUN, "stopwords": L.STOPWORDS + COMMON_WORDS}
 
 
 def register(name: str, sql: str | None = None):
@@ -62,7 +65,7 @@ top AS (
            row_number() OVER (PARTITION BY cluster ORDER BY n DESC, first, word) AS rank
     FROM cnt) WHERE rank <= 10
 )
-""" % _sql_list(L.STOPWORDS)
+""" % _sql_list(L.STOPWORDS + COMMON_WORDS)
 
 
 @register("a12_word_counts", f"""
@@ -71,7 +74,7 @@ SELECT cluster, word, n FROM cnt
 """)
 def a12_word_counts(spark, sf):
     recs = B.clustered_records(spark, sf)
-    return L.word_counts(recs, pattern=LETTER_RUN).select("cluster", "word", "n")
+    return L.word_counts(recs, **WORDS).select("cluster", "word", "n")
 
 
 @register("w1_top_words", f"""
@@ -79,7 +82,7 @@ WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}
 SELECT cluster, CAST(rank AS INTEGER) AS rank, word, n FROM top
 """)
 def w1_top_words(spark, sf):
-    return L.top_words(B.clustered_records(spark, sf), pattern=LETTER_RUN)
+    return L.top_words(B.clustered_records(spark, sf), **WORDS)
 
 
 _ORACLE_SAMPLES = """
@@ -145,7 +148,7 @@ WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}
 SELECT * FROM cards
 """)
 def l4_cluster_cards(spark, sf):
-    cards = L.cluster_cards(B.clustered_records(spark, sf), pattern=LETTER_RUN)
+    cards = L.cluster_cards(B.clustered_records(spark, sf), **WORDS)
     return cards.select("cluster", "label", "description", _joined("representative_texts"),
                         _joined("frequent_words"), "count")
 
@@ -204,11 +207,15 @@ def p3_hover_truncate(spark, sf):
 
 
 @register("p4_normalize_number", f"""
-SELECT doc_id AS record_id, translate(text, '{TX.FULLWIDTH_DIGITS}', '{TX.ASCII_DIGITS}') AS normalized
+SELECT doc_id AS record_id,
+       translate(translate(text, 'aeiou', '{TX.FULLWIDTH_DIGITS[:5]}'), '{TX.FULLWIDTH_DIGITS}', '{TX.ASCII_DIGITS}') AS normalized
 FROM documents
 """)
 def p4_normalize_number(spark, sf):
-    return _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.normalize_number("text").alias("normalized"))
+    """Vowels are turned into full-width digits first, so that every text has some."""
+    d = _docs(spark, sf).select(F.col("doc_id").alias("record_id"),
+                                F.translate("text", "aeiou", TX.FULLWIDTH_DIGITS[:5]).alias("t"))
+    return d.select("record_id", TX.normalize_number("t").alias("normalized"))
 
 
 @register("p5_document_text", f"""
@@ -222,10 +229,13 @@ def p5_document_text(spark, sf):
 @register("p6_blank_to_space", f"""
 WITH {B.ORACLE_RECORDS}
 SELECT record_id, CASE WHEN {_STRIP.format("coalesce(summary, '')")} = '' THEN ' ' ELSE summary END AS prepared
-FROM records
+FROM (SELECT record_id, CASE record_id % 3 WHEN 0 THEN chr(9) || chr(12288) WHEN 1 THEN NULL ELSE summary END AS summary FROM records)
 """)
 def p6_blank_to_space(spark, sf):
-    return B.doc_records(spark, sf).select("record_id", TX.blank_to_space("summary").alias("prepared"))
+    """A third of the summaries is made blank and a third null."""
+    r = B.doc_records(spark, sf).select("record_id", F.when(F.col("record_id") % 3 == 0, F.lit("\t\u3000"))
+                                        .when(F.col("record_id") % 3 == 2, F.col("summary")).alias("summary"))
+    return r.select("record_id", TX.blank_to_space("summary").alias("prepared"))
 
 
 @register("p7_clip_200", """
@@ -240,7 +250,7 @@ def p7_clip_200(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _cards(spark, sf):
-    return L.cluster_cards(B.clustered_records(spark, sf), pattern=LETTER_RUN)
+    return L.cluster_cards(B.clustered_records(spark, sf), **WORDS)
 
 
 _REC_COLS = "record_id, store, block, summary, detail, category, category_name"
@@ -269,7 +279,7 @@ SELECT a.record_id, a.cluster, coalesce(c.label, '{L.LABEL_PREFIX}' || CAST(a.cl
 FROM assignments a LEFT JOIN cards c USING (cluster)
 """)
 def p10_default_label(spark, sf):
-    return R.attach_card(B.emb_assignments(spark, sf), _cards(spark, sf))
+    return R.attach_card(B.doc_assignments(spark, sf), _cards(spark, sf))
 
 
 @register("p10_default_label_nocards", f"""
@@ -279,7 +289,7 @@ SELECT record_id, cluster,
 FROM assignments
 """)
 def p10_default_label_nocards(spark, sf):
-    return R.attach_card(B.emb_assignments(spark, sf), None)
+    return R.attach_card(B.doc_assignments(spark, sf), None)
 
 
 @register("p11_highlight_opacity", f"""
@@ -287,7 +297,7 @@ WITH {B.ORACLE_RECORDS}
 SELECT record_id, CAST(CASE WHEN cluster = 3 THEN 1.0 ELSE {R.DIM_OPACITY} END AS DOUBLE) AS opacity FROM assignments
 """)
 def p11_highlight_opacity(spark, sf):
-    a = B.emb_assignments(spark, sf)
+    a = B.doc_assignments(spark, sf)
     return a.select("record_id", R.highlight_opacity(F.col("cluster"), 3).alias("opacity"))
 
 
@@ -303,7 +313,7 @@ SELECT cluster, CASE WHEN cluster = -1 THEN '{R.NOISE_COLOR}'
 FROM ids
 """)
 def p12_cluster_color(spark, sf):
-    return R.cluster_colors(B.emb_assignments(spark, sf))
+    return R.cluster_colors(B.doc_assignments(spark, sf))
 
 
 @register("p13_cluster_option", f"""
@@ -312,7 +322,7 @@ SELECT DISTINCT a.cluster, CAST(a.cluster AS VARCHAR) || ': ' || coalesce(c.labe
 FROM assignments a LEFT JOIN cards c USING (cluster) WHERE a.cluster <> -1
 """)
 def p13_cluster_option(spark, sf):
-    return R.cluster_options(B.emb_assignments(spark, sf), _cards(spark, sf))
+    return R.cluster_options(B.doc_assignments(spark, sf), _cards(spark, sf))
 
 
 @register("j1_attach_labels", f"""
@@ -321,7 +331,7 @@ SELECT r.record_id, r.store, a.cluster, round(p.x, 6) AS x, round(p.y, 6) AS y
 FROM records r JOIN assignments a USING (record_id) JOIN points p USING (record_id)
 """)
 def j1_attach_labels(spark, sf):
-    j = R.attach_labels(B.doc_records(spark, sf), B.emb_assignments(spark, sf), B.emb_points(spark, sf))
+    j = R.attach_labels(B.doc_records(spark, sf), B.doc_assignments(spark, sf), B.doc_points(spark, sf))
     return j.select("record_id", "store", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
@@ -347,11 +357,17 @@ _ORACLE_CATEGORY_NAME = ("coalesce(CASE upper({0}) "
 
 @register("j3_attach_category", f"""
 SELECT doc_id AS record_id, cat AS category, {_ORACLE_CATEGORY_NAME.format('cat')} AS category_name
-FROM (SELECT doc_id, {_ORACLE_CATEGORY.format('substr(text, 1, 1)')} AS cat FROM documents)
+FROM (SELECT doc_id, {_ORACLE_CATEGORY.format('c')} AS cat
+      FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '【' || substr(lang, 1, 1) || '】' || source ELSE ' ' || substr(lang, 1, 1) END AS c
+            FROM documents))
 """)
 def j3_attach_category(spark, sf):
-    d = _docs(spark, sf).select(F.col("doc_id").alias("record_id"),
-                                TX.extract_category(F.substring("text", 1, 1)).alias("category"))
+    """Category cells made of language and source: bracketed on even ids, a bare letter on odd ones."""
+    letter = F.substring("lang", 1, 1)
+    cell = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("【"), letter, F.lit("】"), F.col("source"))) \
+        .otherwise(F.concat(F.lit(" "), letter))
+    d = _docs(spark, sf).select(F.col("doc_id").alias("record_id"), cell.alias("c")) \
+        .select("record_id", TX.extract_category("c").alias("category"))
     return d.withColumn("category_name", TX.category_name("category"))
 
 
@@ -416,12 +432,28 @@ def f6_filter_options(spark, sf):
     return FL.filter_options(B.doc_records(spark, sf), "store")
 
 
+@register("f6_filter_options_category", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT DISTINCT category_name AS value FROM records
+""")
+def f6_filter_options_category(spark, sf):
+    return FL.filter_options(B.doc_records(spark, sf), "category_name")
+
+
+@register("f6_filter_options_block", f"""
+WITH {B.ORACLE_RECORDS}
+SELECT DISTINCT block AS value FROM records
+""")
+def f6_filter_options_block(spark, sf):
+    return FL.filter_options(B.doc_records(spark, sf), "block")
+
+
 @register("f7_drop_noise", f"""
 WITH {B.ORACLE_RECORDS}
 SELECT record_id, cluster FROM assignments WHERE cluster >= 0
 """)
 def f7_drop_noise(spark, sf):
-    return FL.drop_noise(B.emb_assignments(spark, sf))
+    return FL.drop_noise(B.doc_assignments(spark, sf))
 
 
 @register("f8_cluster_members", f"""
@@ -484,7 +516,7 @@ SELECT sz.cluster, sz.n, round(sz.n / (SELECT sum(n) FROM sz), 6) AS share,
 FROM sz LEFT JOIN cards c USING (cluster)
 """)
 def a5_cluster_sizes(spark, sf):
-    s = R.cluster_sizes(B.emb_assignments(spark, sf), _cards(spark, sf))
+    s = R.cluster_sizes(B.doc_assignments(spark, sf), _cards(spark, sf))
     return s.withColumn("share", F.round("share", 6))
 
 
@@ -516,12 +548,16 @@ lab AS (
 """
 
 
+LANGS = ["de", "en", "es", "fr"]
+
+
 @register("a7_crosstab_category", f"""
 WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_LABELLED}
-PIVOT (SELECT cluster_label, category_name FROM lab) ON category_name USING count(*) GROUP BY cluster_label
+SELECT cluster_label, {", ".join(f"count(*) FILTER (category_name = '{v}') AS {v}" for v in LANGS)}
+FROM lab GROUP BY cluster_label
 """)
 def a7_crosstab_category(spark, sf):
-    return R.crosstab(_labelled(spark, sf), "cluster_label", "category_name")
+    return R.crosstab(_labelled(spark, sf), "cluster_label", "category_name", LANGS)
 
 
 @register("a8_cluster_counts_only", f"""
@@ -534,10 +570,14 @@ def a8_cluster_counts_only(spark, sf):
 
 @register("a9_crosstab_store", f"""
 WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_LABELLED}
-SELECT store, cluster_label, count(*) AS n FROM lab GROUP BY ALL
+SELECT s.store, c.cluster_label, count(l.store) AS n
+FROM (SELECT DISTINCT store FROM lab) s CROSS JOIN (SELECT DISTINCT cluster_label FROM lab) c
+LEFT JOIN lab l ON l.store IS NOT DISTINCT FROM s.store AND l.cluster_label = c.cluster_label
+GROUP BY ALL
 """)
 def a9_crosstab_store(spark, sf):
-    return R.crosstab_long(_labelled(spark, sf), "store", "cluster_label")
+    labels = [r[0] for r in _cards(spark, sf).select("label").distinct().collect()]     # one for each cluster
+    return R.crosstab_long(_labelled(spark, sf), "store", "cluster_label", labels)
 
 
 @register("a10_centroids", f"""
@@ -546,7 +586,7 @@ SELECT cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy
 FROM points JOIN assignments USING (record_id) GROUP BY cluster
 """)
 def a10_centroids(spark, sf):
-    p = B.emb_points(spark, sf).join(B.emb_assignments(spark, sf), "record_id")
+    p = B.doc_points(spark, sf).join(B.doc_assignments(spark, sf), "record_id")
     c = R.centroids(p)
     return c.select("cluster", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
@@ -558,7 +598,7 @@ SELECT count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS n_clusters,
 FROM assignments
 """)
 def a11_n_clusters_noise(spark, sf):
-    return R.n_clusters_noise(B.emb_assignments(spark, sf))
+    return R.n_clusters_noise(B.doc_assignments(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -612,7 +652,7 @@ FROM records r JOIN assignments a USING (record_id) JOIN points p USING (record_
      LEFT JOIN cards c ON c.cluster = a.cluster LEFT JOIN col ON col.cluster = a.cluster
 """)
 def c1_scatter_table(spark, sf):
-    t = R.scatter_table(B.doc_records(spark, sf), B.emb_assignments(spark, sf), B.emb_points(spark, sf),
+    t = R.scatter_table(B.doc_records(spark, sf), B.doc_assignments(spark, sf), B.doc_points(spark, sf),
                         _cards(spark, sf))
     return t.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
@@ -625,7 +665,7 @@ FROM points JOIN assignments USING (record_id) LEFT JOIN cards c USING (cluster)
 GROUP BY cluster
 """)
 def c2_annotation_table(spark, sf):
-    p = B.emb_points(spark, sf).join(B.emb_assignments(spark, sf), "record_id")
+    p = B.doc_points(spark, sf).join(B.doc_assignments(spark, sf), "record_id")
     a = R.annotation_table(p, _cards(spark, sf))
     return a.select("cluster", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "text")
 
@@ -653,7 +693,7 @@ FROM records r JOIN assignments a USING (record_id) LEFT JOIN cards c ON c.clust
 """)
 def s7_export_csv(spark, sf):
     r = B.doc_records(spark, sf).withColumnRenamed("document_text", "_document_text")
-    return R.export_frame(r, B.emb_assignments(spark, sf), _cards(spark, sf), True, R.EXPORT_HEADERS)
+    return R.export_frame(r, B.doc_assignments(spark, sf), _cards(spark, sf), True, R.EXPORT_HEADERS)
 
 
 @register("l1_fallback_label", f"""
@@ -664,7 +704,7 @@ FROM cnts c LEFT JOIN wl USING (cluster)
 def l1_fallback_label(spark, sf):
     recs = B.clustered_records(spark, sf)
     ids = recs.select("cluster").distinct()
-    wl = L.word_lists(recs, pattern=LETTER_RUN)
+    wl = L.word_lists(recs, **WORDS)
     j = ids.join(wl, "cluster", "left")
     return j.select("cluster", L.fallback_label(F.col("cluster"), F.col("frequent_words")).alias("label"))
 
@@ -680,7 +720,7 @@ FROM cnts LEFT JOIN wl USING (cluster)
 def l2_fallback_description(spark, sf):
     recs = B.clustered_records(spark, sf)
     ids = recs.select("cluster").distinct()
-    j = ids.join(L.word_lists(recs, pattern=LETTER_RUN), "cluster", "left")
+    j = ids.join(L.word_lists(recs, **WORDS), "cluster", "left")
     return j.select("cluster", L.fallback_description(F.col("frequent_words")).alias("description"))
 
 
@@ -722,7 +762,7 @@ nw AS (SELECT record_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY record_id)
 
 
 def _doc_recs(spark, sf):
-    return _docs(spark, sf).select(F.col("doc_id").alias("record_id"), F.col("text").alias("document_text"))
+    return B.dealt(_docs(spark, sf)).select(F.col("doc_id").alias("record_id"), F.col("text").alias("document_text"))
 
 
 @register("t1_tokens", f"""
@@ -796,16 +836,9 @@ from shoal.operators import evaluate as EV  # noqa: E402
 from shoal.operators import reduce as RD  # noqa: E402
 from shoal.plans import pipeline as PL  # noqa: E402
 
-_FIT_CACHE: dict = {}
-
 
 def _doc_fit(spark, sf) -> PL.FitResult:
-    """One fit per (session, sf) shared by the model queries of a run."""
-    key = (id(spark), sf)
-    if key not in _FIT_CACHE:
-        recs = B.doc_records(spark, sf)
-        _FIT_CACHE[key] = PL.fit(recs, PL.PipelineConfig(word_pattern=LETTER_RUN))
-    return _FIT_CACHE[key]
+    return PL.fit(B.doc_records(spark, sf, deal=True), PL.PipelineConfig(word_pattern=LETTER_RUN))
 
 
 @register("m1_pca2")
@@ -818,7 +851,9 @@ def m1_pca2(spark, sf):
 
 @register("m3_kmeans")
 def m3_kmeans(spark, sf):
-    return _doc_fit(spark, sf).assignments
+    from shoal.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return CL.kmeans(B.emb_points(spark, sf).checkpoint()).assignments
 
 
 @register("m7_fit")
@@ -828,17 +863,12 @@ def m7_fit(spark, sf):
                     _joined("frequent_words"), "count")
 
 
-@register("m8_run_stats")
-def m8_run_stats(spark, sf):
-    return _doc_fit(spark, sf).run_stats
-
-
 def _emb_points(spark, sf):
     return B.emb_points(spark, sf).join(B.emb_assignments(spark, sf), "record_id")
 
 
 _ORACLE_PTS = """
-pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM points p JOIN assignments a USING (record_id)),
+pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM epoints p JOIN eassignments a USING (record_id)),
 cen AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM pts GROUP BY cluster),
 near AS (
   SELECT * FROM (
@@ -872,7 +902,7 @@ def m3b_lloyd_step(spark, sf):
 
 @register("m6_silhouette", f"""
 WITH {B.ORACLE_RECORDS},
-pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM points p JOIN assignments a USING (record_id) WHERE a.cluster >= 0),
+pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM epoints p JOIN eassignments a USING (record_id) WHERE a.cluster >= 0),
 pair AS (SELECT i.record_id, i.cluster AS own, j.cluster, sum(sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y))) AS s,
                 count(*) AS c
          FROM pts i CROSS JOIN pts j GROUP BY ALL),
@@ -889,6 +919,43 @@ def m6_silhouette(spark, sf):
     return s.agg(F.round(F.avg("s"), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+_ORACLE_SQUARED = """
+pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM epoints p JOIN eassignments a USING (record_id) WHERE a.cluster >= 0),
+cs AS (SELECT cluster, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS sq FROM pts GROUP BY cluster),
+pc AS (SELECT p.record_id, p.cluster AS own, c.cluster, c.n,
+              c.n * (p.x * p.x + p.y * p.y) + c.sq - 2 * (p.x * c.sx + p.y * c.sy) AS s
+       FROM pts p CROSS JOIN cs c),
+ab AS (SELECT record_id, max(CASE WHEN cluster = own THEN n END) AS n,
+              max(CASE WHEN cluster = own AND n > 1 THEN s / (n - 1) END) AS a,
+              min(CASE WHEN cluster <> own THEN s / n END) AS b FROM pc GROUP BY record_id),
+sil AS (SELECT avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) AS s FROM ab)
+"""
+
+
+@register("m6_silhouette_squared", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_SQUARED}
+SELECT round(s, 6) AS silhouette FROM sil
+""")
+def m6_silhouette_squared(spark, sf):
+    s = EV.silhouette(_emb_points(spark, sf), "squared_euclidean")
+    return spark.createDataFrame([(round(s, 6),)], "silhouette double")
+
+
+@register("m8_run_stats", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_SQUARED}
+SELECT 'given' AS method, 'given' AS method_effective,
+       CAST((SELECT count(DISTINCT cluster) FROM eassignments WHERE cluster >= 0) AS INTEGER) AS n_clusters,
+       (SELECT count(*) FROM eassignments WHERE cluster = -1) AS n_noise, round(s, 6) AS silhouette FROM sil
+""")
+def m8_run_stats(spark, sf):
+    """The statistics of the embeddings' own labelling."""
+    a = B.emb_assignments(spark, sf)
+    n = R.n_clusters_noise(a).first()
+    run = CL.ClusterRun(a, "given", "given", n["n_clusters"], n["n_noise"])
+    sil = EV.silhouette(_emb_points(spark, sf), "squared_euclidean", n_clusters=run.n_clusters)
+    return run.run_stats(spark, round(sil, 6))
+
+
 # ---------------------------------------------------------------------------
 # Grid shaping over the conversations / lineitem sheet bindings
 # ---------------------------------------------------------------------------
@@ -988,12 +1055,12 @@ grecs AS (
 """
 
 
-def _conv_filled(spark, sf):
-    return G.fill_merged(B.conv_cells(spark, sf), B.conv_merges(spark, sf))
+def _conv_filled(spark, sf, step=1):
+    return G.fill_merged(B.conv_cells(spark, sf, step), B.conv_merges(spark, sf, step))
 
 
-def _conv_states(spark, sf, params=G.GridParams()):
-    c = _conv_filled(spark, sf)
+def _conv_states(spark, sf, params=G.GridParams(), step=1):
+    c = _conv_filled(spark, sf, step)
     best = G.best_column(G.score_columns(c, params))
     return G.record_states(G.sheet_rows(c, best, params), params)
 
@@ -1136,11 +1203,12 @@ def g15_join_non_empty(spark, sf):
 
 
 @register("g16_has_detail", f"""
-WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+WITH {B.oracle_conv_cells(30)}, {_ORACLE_SCORES}, {_ORACLE_GRID}
 SELECT file, row, has_detail FROM st2 WHERE is_summary
 """)
 def g16_has_detail(spark, sf):
-    return _conv_states(spark, sf).where(F.col("is_summary")).select("file", "row", "has_detail")
+    """Turns lie 30 rows apart: the next one is within the look-ahead, the one after it is not."""
+    return _conv_states(spark, sf, step=30).where(F.col("is_summary")).select("file", "row", "has_detail")
 
 
 @register("g17_emit_records", f"""
@@ -1153,11 +1221,12 @@ def g17_emit_records(spark, sf):
 
 
 @register("g18_row_bounds", f"""
-WITH {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
+WITH {B.oracle_conv_cells(50)}, {_ORACLE_SCORES}, {_ORACLE_GRID}
 SELECT file, CAST(count(*) AS BIGINT) AS rows_scanned, CAST(max(row) AS INTEGER) AS last_row FROM rws2 GROUP BY file
 """)
 def g18_row_bounds(spark, sf):
-    s = _conv_states(spark, sf)
+    """Turns lie 50 rows apart, so turn 4 is in the last row read and later ones are beyond it."""
+    s = _conv_states(spark, sf, step=50)
     return s.groupBy("file").agg(F.count(F.lit(1)).alias("rows_scanned"), F.max("row").cast("int").alias("last_row"))
 
 
@@ -1171,26 +1240,24 @@ def g19_category_name(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Prompts, generation, parsing, relabel.  Generation uses a
-# deterministic stand-in model (no model is available here) that answers
-# from the prompt's own frequent-word line; its failures are exercised by
-# prompts that carry no words.
+# Prompts, generation, parsing, relabel.  The generator is extractive: it
+# answers with the prompt's own frequent words, so SQL can say what it answers.
 # ---------------------------------------------------------------------------
 
-def echo_model(prompt: str, max_tokens: int) -> str:
-    """Stand-in generator: label = the frequent-word line; fails when it is empty."""
-    lines = prompt.split("\n")
-    words = ""
-    for i, line in enumerate(lines):
-        if line.startswith("【頻出"):
-            words = lines[i + 1].strip() if i + 1 < len(lines) else ""
-    if not words:
-        raise RuntimeError("no words to label")
-    return f"{L.LABEL_SECTION}\n{words[:max_tokens]}\n{L.DESCRIPTION_SECTION}\n{len(prompt)} chars of prompt"
+def extractive_generator():
+    """A generator factory: label = the prompt's line of frequent words; fails when that is empty."""
+    def answer(prompt: str, max_tokens: int) -> str:
+        lines = prompt.split("\n")
+        at = [i for i, line in enumerate(lines) if line.startswith(("【頻出キーワード】", "【頻出語】"))][-1]
+        words = lines[at + 1].strip()
+        if not words:
+            raise RuntimeError("no words to label")
+        return f"{L.LABEL_SECTION}\n{words[:max_tokens]}\n{L.DESCRIPTION_SECTION}\n{len(prompt)} chars of prompt"
+    return answer
 
 
 def _cards_with_samples(spark, sf):
-    return L.cluster_cards(B.clustered_records(spark, sf), pattern=LETTER_RUN, with_samples=True)
+    return L.cluster_cards(B.clustered_records(spark, sf), with_samples=True, **WORDS)
 
 
 _LP = L.LABEL_PROMPT.replace("'", "''")
@@ -1199,37 +1266,143 @@ _LP_MID = _LP.split("{samples}")[1].split("{words}")[0]
 _LP_TAIL = _LP.split("{words}")[1]
 
 
-@register("l5_label_prompts", f"""
-WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES},
+_RP = L.RELABEL_PROMPT.replace("'", "''")
+_RP_PARTS = [_RP.split("{previous}")[0], _RP.split("{previous}")[1].split("{samples}")[0],
+             _RP.split("{samples}")[1].split("{words}")[0], _RP.split("{words}")[1]]
+_ORACLE_PROMPTS = f"""
 sm AS (SELECT cluster, string_agg('- ' || t, chr(10) ORDER BY rn) AS s FROM smp WHERE rn <= 5 GROUP BY cluster),
 wd AS (SELECT cluster, string_agg(word, ', ' ORDER BY rank) AS w FROM top GROUP BY cluster),
-ids AS (SELECT DISTINCT cluster FROM crec WHERE cluster <> -1)
-SELECT ids.cluster, '{_LP_HEAD}' || coalesce(sm.s, '') || '{_LP_MID}' || coalesce(wd.w, '') || '{_LP_TAIL}' AS prompt
-FROM ids LEFT JOIN sm USING (cluster) LEFT JOIN wd USING (cluster)
+pr AS (
+  SELECT c.cluster, coalesce(sm.s, '') AS s, coalesce(wd.w, '') AS w,
+         '{_LP_HEAD}' || coalesce(sm.s, '') || '{_LP_MID}' || coalesce(wd.w, '') || '{_LP_TAIL}' AS prompt
+  FROM (SELECT DISTINCT cluster FROM crec WHERE cluster <> -1) c LEFT JOIN sm USING (cluster) LEFT JOIN wd USING (cluster)
+),
+gen AS (
+  SELECT *, CASE WHEN w <> '' THEN '{L.LABEL_SECTION}' || chr(10) || substr(w, 1, {L.LABEL_MAX_TOKENS}) || chr(10) ||
+                '{L.DESCRIPTION_SECTION}' || chr(10) || CAST(length(prompt) AS VARCHAR) || ' chars of prompt' END AS response
+  FROM pr
+)
+"""
+
+
+@register("l5_label_prompts", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_PROMPTS}
+SELECT cluster, prompt FROM pr
 """)
 def l5_label_prompts(spark, sf):
     return L.label_prompts(_cards_with_samples(spark, sf))
 
 
-@register("l6_generate_batch")
+@register("l6_generate_batch", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_PROMPTS}
+SELECT cluster, response, CASE WHEN response IS NULL THEN 'RuntimeError: no words to label' END AS error FROM gen
+""")
 def l6_generate_batch(spark, sf):
-    return L.generate(L.label_prompts(_cards_with_samples(spark, sf)), echo_model).select("cluster", "response", "error")
-
-
-@register("l7_parse_response")
+    return L.generate(L.label_prompts(_cards_with_samples(spark, sf)), extractive_generator) \
+        .select("cluster", "response", "error")
+
+
+@register("l7_parse_response", f"""
+WITH r AS (
+  SELECT CAST(doc_id AS INTEGER) AS cluster,
+         CASE doc_id % 4 WHEN 0 THEN '{L.LABEL_SECTION} ' || source || chr(10) || '{L.DESCRIPTION_SECTION}' || chr(10) || text
+              WHEN 1 THEN text WHEN 2 THEN 'x {L.LABEL_SECTION}' || lang ELSE '{L.DESCRIPTION_SECTION} ' || text END AS response
+  FROM documents),
+p AS (SELECT cluster, {_STRIP.format("response")} AS whole,
+             {_STRIP.format(f"regexp_extract(response, '(?s){L.LABEL_SECTION}@WS@*([^【]+)', 1)")} AS lab,
+             {_STRIP.format(f"regexp_extract(response, '(?s){L.DESCRIPTION_SECTION}@WS@*([^【]+)', 1)")} AS des FROM r)
+SELECT cluster, CASE WHEN lab <> '' THEN lab ELSE '{L.LABEL_PREFIX}' || CAST(cluster AS VARCHAR) END AS label,
+       CASE WHEN des <> '' THEN des ELSE substr(whole, 1, {L.DESCRIPTION_FALLBACK_CHARS}) END AS description FROM p
+""")
 def l7_parse_response(spark, sf):
-    g = L.generate(L.label_prompts(_cards_with_samples(spark, sf)), echo_model)
+    """Responses made of table columns: both sections, none, the label only, the description only."""
+    d, k = _docs(spark, sf), F.col("doc_id") % 4
+    response = F.when(k == 0, F.concat(F.lit(L.LABEL_SECTION + " "), F.col("source"),
+                                       F.lit("\n" + L.DESCRIPTION_SECTION + "\n"), F.col("text"))) \
+        .when(k == 1, F.col("text")).when(k == 2, F.concat(F.lit("x " + L.LABEL_SECTION), F.col("lang"))) \
+        .otherwise(F.concat(F.lit(L.DESCRIPTION_SECTION + " "), F.col("text")))
+    r = d.select(F.col("doc_id").cast("int").alias("cluster"), response.alias("response"))
     lab, desc = L.parse_response(F.col("cluster"), F.col("response"))
-    return g.where(F.col("response").isNotNull()).select("cluster", lab.alias("label"), desc.alias("description"))
+    return r.select("cluster", lab.alias("label"), desc.alias("description"))
 
 
-@register("l8_relabel")
+@register("l8_relabel", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_PROMPTS},
+first AS (
+  SELECT c.cluster, CASE WHEN g.response IS NULL THEN c.label ELSE substr(g.w, 1, {L.LABEL_MAX_TOKENS}) END AS label,
+         CASE WHEN g.response IS NULL THEN c.description ELSE CAST(length(g.prompt) AS VARCHAR) || ' chars of prompt' END AS description,
+         c.count, g.s, g.w
+  FROM cards c LEFT JOIN gen g USING (cluster)
+)
+SELECT cluster, CASE WHEN cluster NOT IN (1, 2, 3) THEN label
+         WHEN w = '' THEN '{L.LABEL_PREFIX}' || CAST(cluster AS VARCHAR) || '{L.RELABEL_FAILED_SUFFIX}'
+         ELSE '{L.LABEL_SECTION}' || chr(10) || substr(w, 1, {L.RELABEL_MAX_TOKENS}) || chr(10) || '{L.DESCRIPTION_SECTION}' || chr(10) ||
+              CAST(length('{_RP_PARTS[0]}' || label || '{_RP_PARTS[1]}' || s || '{_RP_PARTS[2]}' || w || '{_RP_PARTS[3]}') AS VARCHAR)
+              || ' chars of prompt' END AS label, description, count
+FROM first
+""")
 def l8_relabel(spark, sf):
-    cards = L.generated_cards(_cards_with_samples(spark, sf), echo_model)
-    out = L.relabel(cards, [1, 2, 3], echo_model)
+    cards = L.generated_cards(_cards_with_samples(spark, sf), extractive_generator)
+    out = L.relabel(cards, [1, 2, 3], extractive_generator)
     return out.select("cluster", "label", "description", "count")
 
 
+# ---------------------------------------------------------------------------
+# File status, files without the sheet, vocabulary fallback
+# ---------------------------------------------------------------------------
+
+from shoal.sources import workbook as WB  # noqa: E402
+
+_OTHER_SHEET = "作成例"
+
+
+def _conv_files(spark, sf):
+    """One file per conversation: with the target sheet, without it, or not readable."""
+    return read_table(spark, sf, "conversations").select("conv_id").distinct()
+
+
+@register("s4_file_status", f"""
+WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS file,
+       CASE conv_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'skipped' ELSE 'error' END AS status,
+       CASE WHEN conv_id % 3 = 0 THEN n END AS record_count,
+       CASE conv_id % 3
+         WHEN 1 THEN replace(replace('{WB.MISSING_SHEET}', '{{file}}', CAST(conv_id AS VARCHAR)), '{{sheet}}', '{G.TARGET_SHEET}')
+         WHEN 2 THEN replace(replace('{WB.READ_ERROR}', '{{file}}', CAST(conv_id AS VARCHAR)), '{{error}}', 'BadZipFile') END AS message
+FROM c
+""")
+def s4_file_status(spark, sf):
+    k, file = F.col("conv_id") % 3, F.col("conv_id").cast("string").alias("file")
+    decoded = _conv_files(spark, sf).select(
+        F.when(k == 2, F.lit("error")).otherwise(F.lit("sheets")).alias("kind"), file,
+        F.when(k == 2, F.lit("BadZipFile")).when(k == 1, F.lit(_OTHER_SHEET))
+        .otherwise(F.lit(_OTHER_SHEET + "\t" + G.TARGET_SHEET)).alias("message"))
+    records = read_table(spark, sf, "conversations").where(k == 0).select(F.col("conv_id").cast("string").alias("source_file"))
+    return WB.file_status(WB.WorkbookScan(decoded), records)
+
+
+@register("j7_files_without_sheet", """
+SELECT DISTINCT CAST(conv_id AS VARCHAR) AS file FROM conversations WHERE conv_id % 3 <> 0
+""")
+def j7_files_without_sheet(spark, sf):
+    files = _conv_files(spark, sf).select(F.col("conv_id").cast("string").alias("file"))
+    sheet = F.when(F.col("file").cast("bigint") % 3 == 0, F.lit(G.TARGET_SHEET)).otherwise(F.lit(_OTHER_SHEET))
+    cells = B.conv_cells(spark, sf).withColumn("sheet", sheet)
+    return G.files_without_sheet(files, cells)
+
+
+@register("t6_tfidf_fallback", """
+WITH t AS (SELECT doc_id AS record_id, 'w' || CAST(doc_id AS VARCHAR) AS term FROM documents),
+v AS (SELECT term FROM t ORDER BY term LIMIT 500)
+SELECT record_id, term, CAST(1.0 AS DOUBLE) AS weight FROM t JOIN v USING (term)
+""")
+def t6_tfidf_fallback(spark, sf):
+    """Every text is one word of its own, so no term is in two documents: the fallback vocabulary applies."""
+    d = _docs(spark, sf).select(F.col("doc_id").alias("record_id"),
+                                F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("document_text"))
+    return FT.tfidf_long(d).withColumn("weight", F.round("weight", 6))
+
+
 # ---------------------------------------------------------------------------
 # S6, T10
 # ---------------------------------------------------------------------------
@@ -1239,9 +1412,9 @@ from shoal.sources.tables import append_sources  # noqa: E402
 
 @register("s6_append_files", f"""
 WITH {B.ORACLE_RECORDS}, {B.ORACLE_CONV_CELLS}, {_ORACLE_SCORES}, {_ORACLE_GRID}
-SELECT record_id, store, category_name, 'documents' AS source FROM records
+SELECT record_id * 2 AS record_id, store, category_name, 'documents' AS source FROM records
 UNION ALL
-SELECT record_id, store, category_name, 'workbooks' AS source FROM grecs
+SELECT record_id * 2 + 1, store, category_name, 'workbooks' AS source FROM grecs
 """)
 def s6_append_files(spark, sf):
     docs = B.doc_records(spark, sf).select("record_id", "store", "category_name", F.lit("documents").alias("source"))
@@ -1252,10 +1425,13 @@ def s6_append_files(spark, sf):
 
 @register("t10_cjk_runs", f"""
 SELECT doc_id AS record_id, CAST(len(r) AS INTEGER) AS n_runs, array_to_string(r, ' ') AS runs
-FROM (SELECT doc_id, regexp_extract_all(text, '{TX.CJK_RUN}') AS r FROM documents)
+FROM (SELECT doc_id, regexp_extract_all(translate(text, 'aeiounrt', 'アイウエオ研修店'), '{TX.CJK_RUN}') AS r FROM documents)
 """)
 def t10_cjk_runs(spark, sf):
-    r = _docs(spark, sf).select(F.col("doc_id").alias("record_id"), TX.cjk_runs("text").alias("r"))
+    """Some letters are turned into kana and kanji first, so that texts hold runs."""
+    r = _docs(spark, sf).select(F.col("doc_id").alias("record_id"),
+                                F.translate("text", "aeiounrt", "アイウエオ研修店").alias("t")) \
+        .select("record_id", TX.cjk_runs("t").alias("r"))
     return r.select("record_id", F.size("r").alias("n_runs"), F.array_join("r", " ").alias("runs"))
 
 
@@ -1280,7 +1456,7 @@ def m2a_knn_cosine(spark, sf):
 
 
 _ORACLE_KNN2 = """
-pts AS (SELECT record_id, x, y FROM points),
+pts AS (SELECT record_id, x, y FROM epoints),
 d2 AS (SELECT a.record_id, b.record_id AS neighbor_id,
               sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
        FROM pts a CROSS JOIN pts b),
@@ -1325,6 +1501,7 @@ FROM assignments
 """)
 def m5_noise_rule(spark, sf):
     """M5 rule on a labelling: fall back to k-means when noise > 50 % (strict)."""
-    a = B.emb_assignments(spark, sf)
-    s = a.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cluster") == -1).alias("n_noise"))
-    return s.withColumn("fallback", F.col("n_noise") > F.col("n") * F.lit(0.5))
+    s = R.n_clusters_noise(B.doc_assignments(spark, sf)).first()
+    n = B.doc_assignments(spark, sf).count()
+    return spark.createDataFrame([(n, s["n_noise"], CL.too_much_noise(s["n_noise"], n))],
+                                 "n bigint, n_noise bigint, fallback boolean")

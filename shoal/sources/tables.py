@@ -29,9 +29,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def append_sources(frames: list[DataFrame]) -> DataFrame:
-    """Concatenate separately read record sources (by column name)."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def append_sources(frames: list[DataFrame], id_col: str = "record_id") -> DataFrame:
+    """Concatenate separately read record sources (by column name), with ids that stay distinct.
+
+    The ``i``-th of ``n`` sources gets the ids ``id * n + i``: no two sources share one, and the
+    order within a source is kept.
+    """
+    n = len(frames)
+    own = [f.withColumn(id_col, F.col(id_col) * n + i) for i, f in enumerate(frames)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
 
 
 RoleSpec = str | Column | None
@@ -80,16 +86,3 @@ class Roles:
         doc = (self._expr(self.document_text, None) if self.document_text is not None
                else T.document_text("category_name", "summary", "detail"))
         return out.withColumn("document_text", doc.cast("string"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work over the cluster when the scan gave too few splits.
-
-    A large input already has many splits and is returned unchanged (no extra
-    shuffle); a small file with one row group would otherwise tokenise every
-    document in a single task.
-    """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
-        return df.repartition(parallelism)
-    return df

@@ -10,12 +10,12 @@ output instead of duplicating it.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoal.operators import grid as G
+from shoal.session import ensure_checkpoint_dir
 from shoal.sources import workbook as W
 
 BATCH_ID_SHIFT = 40  # record_id = batch_id << 40 | (file ordinal * 1000 + row)
@@ -23,15 +23,13 @@ BATCH_ID_SHIFT = 40  # record_id = batch_id << 40 | (file ordinal * 1000 + row)
 
 def _write_batch(output: str, params: G.GridParams):
     def run(files: DataFrame, batch_id: int) -> None:
-        decoded = files.select("path", "content").mapInPandas(W._decode_batches, W.DECODED_SCHEMA) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        scan = W.WorkbookScan(decoded)
+        ensure_checkpoint_dir(files.sparkSession)
+        scan = W.decode_files(files, params.sheet, params.last_extracted_row)
         recs = G.extract_records(scan.cells, scan.merges, params)
         recs = recs.withColumn("record_id", F.col("record_id") + F.lit(batch_id << BATCH_ID_SHIFT))
         recs.write.mode("overwrite").parquet(f"{output}/records/batch_id={batch_id}")
         W.file_status(scan, recs, params.sheet).write.mode("overwrite") \
             .parquet(f"{output}/file_status/batch_id={batch_id}")
-        decoded.unpersist()
     return run
 
 

@@ -40,7 +40,7 @@ def test_analyser_words(spark):
 
     def tok(texts):
         return [[(w, "名詞") for w in t.split()] for t in texts]
-    out = FT.analyser_words(df, tok).first()["words"]
+    out = FT.analyser_words(df, lambda: tok).first()["words"]
     assert out == ["研修", "店舗"]
 
 
@@ -54,11 +54,60 @@ def test_generation_fallback_and_parse(spark):
         if "- x" in prompt:
             return "【ラベル】 新ラベル\n【特徴説明】 説明文"
         raise RuntimeError("down")
-    out = {r["cluster"]: r for r in L.generated_cards(cards, gen).collect()}
+    out = {r["cluster"]: r for r in L.generated_cards(cards, lambda: gen).collect()}
     assert (out[1]["label"], out[1]["description"]) == ("新ラベル", "説明文")
     assert out[2]["label"] == "クラスタ 2"
-    re = {r["cluster"]: r["label"] for r in L.relabel(cards, [1, 2], gen).collect()}
+    re = {r["cluster"]: r["label"] for r in L.relabel(cards, [1, 2], lambda: gen).collect()}
     assert re[2] == "クラスタ 2 (v2)" and re[1].startswith("【ラベル】")
     free = spark.createDataFrame([(4, "free text")], "cluster int, response string")
     lab, desc = L.parse_response(F.col("cluster"), F.col("response"))
     assert free.select(lab, desc).first()[:] == ("クラスタ 4", "free text")
+
+
+def _records(spark, n, parts):
+    rows = [(i, f"研修 店舗 販売 group{i % 3} word{i % 5} more{i % 7}") for i in range(n)]
+    return spark.createDataFrame(rows, "record_id long, document_text string").repartition(parts)
+
+
+def test_generator_runs_once_for_each_prompt(spark):
+    """Whatever the number of splits, later uses of the cards call no model."""
+    from shoal.operators import report as R
+    from shoal.plans.pipeline import PipelineConfig, fit
+
+    for parts in (1, 16):
+        calls = spark.sparkContext.accumulator(0)
+
+        def make(calls=calls):
+            def answer(prompt, max_tokens):
+                calls.add(1)
+                return "【ラベル】 L\n【特徴説明】 D"
+            return answer
+        res = fit(_records(spark, 60, parts), PipelineConfig(k=4, restarts=1, word_pattern=r"\w+", make_generator=make))
+        assert calls.value == 4
+        R.report_cards(res.cards).collect()
+        R.annotation_table(res.points.join(res.assignments, "record_id"), res.cards).collect()
+        assert calls.value == 4 and {r["label"] for r in res.cards.collect()} == {"L"}
+
+
+def test_cards_from_analyser_words(spark):
+    from shoal.plans.pipeline import PipelineConfig, fit
+
+    def make():
+        return lambda texts: [[(w.upper(), "名詞") for w in t.split() if w.startswith("word")] for t in texts]
+    res = fit(_records(spark, 40, 4), PipelineConfig(k=2, restarts=1, make_tokenizer=make))
+    words = {w for r in res.cards.collect() for w in r["frequent_words"]}
+    assert words == {f"WORD{i}" for i in range(5)}
+
+
+def test_long_and_vector_fallback_agree(spark):
+    df = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "gamma")], "record_id long, document_text string")
+    assert sorted((r["term"], r["weight"]) for r in FT.tfidf_long(df).collect()) == [("alpha", 1.0), ("beta", 1.0), ("gamma", 1.0)]
+
+
+def test_crosstab_counts_nulls_and_fills_zeros(spark):
+    from shoal.operators import report as R
+    df = spark.createDataFrame([("a", "x"), ("a", None), (None, "x")], "r string, c string")
+    wide = {r["r"]: (r["x"], r["null"], r["y"]) for r in R.crosstab(df, "r", "c", ["x", "null", "y"]).collect()}
+    assert wide == {"a": (1, 1, 0), None: (1, 0, 0)}
+    long = {(r["r"], r["c"]): r["n"] for r in R.crosstab_long(df, "r", "c", ["x", "null"]).collect()}
+    assert long == {("a", "x"): 1, ("a", "null"): 1, (None, "x"): 1, (None, "null"): 0}
