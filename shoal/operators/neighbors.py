@@ -1,6 +1,7 @@
 """Exact k nearest neighbours (M2a cosine, M4a core distance, M4b mutual reachability).
 
-Points are hashed into blocks of about ``block_size``; each (query block,
+2-D points use :func:`knn_plane`, which visits only near blocks.  For vectors,
+points are hashed into blocks of about ``block_size``; each (query block,
 reference block) pair meets in one cogroup where NumPy keeps the ``k``
 closest references of every query point (ties by id).  A point
 therefore emits at most ``k`` rows per block pair, never one row per pair,
@@ -14,9 +15,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.session import ensure_checkpoint_dir
+
 BLOCK_SIZE = 2048
 _EMPTY = {"record_id": "int64", "neighbor_id": "int64", "dist": "float64"}
 
@@ -77,21 +80,132 @@ def knn(points: DataFrame, k: int, coords: list[str] | None = None, vector_col:
             .select("record_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", "dist"))
 
 
-def core_distances(points: DataFrame, min_samples: int = 3, n_rows: int | None = None) -> DataFrame:
+# -- 2-D points: blocks along a space-filling curve -----------------------------------
+
+#: Blocks of a group whose common box is tested before their own.
+BOX_GROUP = 256
+_CURVE_BITS = 16
+
+
+def _curve(x: Column, y: Column, box) -> Column:
+    """Position on the Z-order curve: the bits of both scaled coordinates, interleaved."""
+    top = (1 << _CURVE_BITS) - 1
+
+    def scaled(c, lo, hi):
+        return F.round((c - F.lit(lo)) / F.lit((hi - lo) or 1.0) * top).cast("bigint")
+
+    def spread(v):                                            # a bit at every second place
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return v
+    return spread(scaled(x, box["x0"], box["x1"])) + 2 * spread(scaled(y, box["y0"], box["y1"]))
+
+
+def _nearest(q: np.ndarray, qid: np.ndarray, r: np.ndarray, rid: np.ndarray, k: int, include_self: bool):
+    """``(row of q, id, distance)`` of the ``k`` nearest references of each query, ties by id; ``rid`` is sorted."""
+    for i in range(0, len(q), 1024):
+        a, ids = q[i:i + 1024], qid[i:i + 1024]
+        d = np.sqrt((a[:, None, 0] - r[None, :, 0]) ** 2 + (a[:, None, 1] - r[None, :, 1]) ** 2)
+        if not include_self:
+            d[ids[:, None] == rid[None, :]] = np.inf
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(a)), at.shape[1])
+        dist = d[rows, at.ravel()]
+        ok = np.isfinite(dist)
+        yield rows[ok] + i, rid[at.ravel()[ok]], dist[ok]
+
+
+def _found(q: pd.DataFrame, r: pd.DataFrame, k: int, include_self: bool) -> pd.DataFrame:
+    r = r.sort_values("record_id", kind="stable")
+    qid, rid = q["record_id"].to_numpy(), r["record_id"].to_numpy()
+    parts = list(_nearest(q[["x", "y"]].to_numpy(float), qid, r[["x", "y"]].to_numpy(float), rid, k, include_self))
+    rows, ids, dist = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, int),) * 3
+    return pd.DataFrame({"record_id": qid[rows].astype("int64"), "neighbor_id": ids.astype("int64"), "dist": dist.astype(float)})
+
+
+def knn_plane(points: DataFrame, k: int, include_self: bool = True, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """``(record_id, rank, neighbor_id, dist)``: the exact ``k`` nearest points of every 2-D point, ties by id.
+
+    Points are dealt to blocks along a space-filling curve.  The nearest points in a
+    point's own block bound the distance of its true neighbours; it then visits
+    only the other blocks whose box is within that bound, so its copies follow the
+    shape of the data, not the number of blocks.  The driver holds one box for each
+    ``block_size`` points.
+    """
+    spark = points.sparkSession
+    ensure_checkpoint_dir(spark)
+    pts = points.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("x").cast("double").alias("x"),
+                        F.col("y").cast("double").alias("y"))
+    box = pts.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+                  F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if not box["n"]:
+        return spark.createDataFrame([], "record_id long, rank int, neighbor_id long, dist double")
+    blocks = math.ceil(box["n"] / block_size)
+    dealt = pts.repartitionByRange(blocks, _curve(F.col("x"), F.col("y"), box), "record_id") \
+        .withColumn("block", F.spark_partition_id()).checkpoint()
+    boxes = dealt.groupBy("block").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
+                                       F.max("y").alias("y1")).orderBy("block").toPandas()
+    shared = spark.sparkContext.broadcast(boxes.to_numpy(float))
+
+    found = "record_id long, neighbor_id long, dist double"
+    own = dealt.groupBy("block").applyInPandas(lambda g: _found(g, g, k, include_self), found).checkpoint()
+    bound = own.groupBy("record_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("c")) \
+        .select(F.col("record_id").alias("_id"), F.when(F.col("c") >= k, F.col("r")).alias("r"))
+    asking = dealt.join(bound, F.col("record_id") == F.col("_id"), "left").drop("_id")
+
+    def visits(batches):
+        b = shared.value
+        starts = np.arange(0, len(b), BOX_GROUP)
+        outer = np.stack([np.minimum.reduceat(b[:, 1], starts), np.maximum.reduceat(b[:, 2], starts),
+                          np.minimum.reduceat(b[:, 3], starts), np.maximum.reduceat(b[:, 4], starts)], 1)
+
+        def near(p, boxes, r):
+            dx = np.maximum(np.maximum(boxes[:, 0] - p[:, :1], p[:, :1] - boxes[:, 1]), 0)
+            dy = np.maximum(np.maximum(boxes[:, 2] - p[:, 1:], p[:, 1:] - boxes[:, 3]), 0)
+            return np.sqrt(dx * dx + dy * dy) <= r[:, None]
+
+        for pdf in batches:
+            p = pdf[["x", "y"]].to_numpy(float)
+            r = pdf["r"].fillna(np.inf).to_numpy(float) * (1 + 1e-12)      # a box may touch the bound
+            out = []
+            groups = near(p, outer, r)
+            for g in groups.any(0).nonzero()[0]:
+                rows = groups[:, g].nonzero()[0]
+                at, which = near(p[rows], b[starts[g]:starts[g] + BOX_GROUP, 1:], r[rows]).nonzero()
+                v = pdf.iloc[rows[at]][["record_id", "x", "y", "block"]].copy()
+                v["target"] = b[starts[g] + which, 0].astype("int32")
+                out.append(v[v["target"] != v["block"]])
+            if out:
+                yield pd.concat(out)[["target", "record_id", "x", "y"]]
+
+    asked = asking.mapInPandas(visits, "target int, record_id long, x double, y double")
+    refs = dealt.select(F.col("block").alias("target"), "record_id", "x", "y")
+    more = asked.groupBy("target").cogroup(refs.groupBy("target")).applyInPandas(
+        lambda q, r: _found(q, r, k, include_self), found)
+    w = Window.partitionBy("record_id").orderBy("dist", "neighbor_id")
+    return (own.unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("record_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", "dist"))
+
+
+def core_distances(points: DataFrame, min_samples: int = 3, block_size: int = BLOCK_SIZE) -> DataFrame:
     """``(record_id, core)``: distance to the ``min_samples``-th nearest point, self counted."""
-    nn = knn(points, min_samples, include_self=True, n_rows=n_rows)
+    nn = knn_plane(points, min_samples, block_size=block_size)
     return nn.groupBy("record_id").agg(F.max("dist").alias("core"))
 
 
 def mutual_reachability(points: DataFrame, min_samples: int = 3, k: int | None = None,
-                        n_rows: int | None = None) -> DataFrame:
+                        block_size: int = BLOCK_SIZE) -> DataFrame:
     """M4b over the k-NN candidate edges: ``(record_id, neighbor_id, mreach)`` with
-    mreach = max(core a, core b, distance)."""
-    core = core_distances(points, min_samples, n_rows)
-    nn = knn(points, k or min_samples, include_self=False, n_rows=n_rows)
+    mreach = max(core a, core b, distance).  Cores and edges come from one search."""
+    k = k or min_samples
+    nn = knn_plane(points, max(min_samples, k + 1), block_size=block_size).checkpoint()
+    core = nn.where(F.col("rank") <= min_samples).groupBy("record_id").agg(F.max("dist").alias("core"))
+    w = Window.partitionBy("record_id").orderBy("rank")
+    edges = nn.where(F.col("record_id") != F.col("neighbor_id")).withColumn("_i", F.row_number().over(w)) \
+        .where(F.col("_i") <= k)
     a = core.select("record_id", F.col("core").alias("core_a"))
     b = core.select(F.col("record_id").alias("neighbor_id"), F.col("core").alias("core_b"))
-    j = nn.join(a, "record_id").join(b, "neighbor_id")
+    j = edges.join(a, "record_id").join(b, "neighbor_id")
     return j.select("record_id", "neighbor_id", F.greatest("core_a", "core_b", "dist").alias("mreach"))
 
 
@@ -127,13 +241,13 @@ def spanning_forest(points: DataFrame, min_samples: int = 3, block_size: int = B
     strict order (w, a, b), so the tree is unique and each round at least
     halves the components.  Components merge by pointer jumping over the
     (small) component table; the point state is checkpointed every round.
+    Raises if ``max_rounds`` rounds leave more than one component.
     """
-    from shoal.session import ensure_checkpoint_dir
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     n = points.count()
     blocks = max(1, math.ceil(n / block_size))
-    core = core_distances(points, min_samples, n)
+    core = core_distances(points, min_samples)
     state = points.select("record_id", "x", "y").join(core, "record_id") \
         .withColumn("comp", F.col("record_id")).checkpoint()
     found: list[DataFrame] = []
@@ -169,6 +283,9 @@ def spanning_forest(points: DataFrame, min_samples: int = 3, block_size: int = B
                 break
         state = state.join(par.withColumnRenamed("comp", "c0"), F.col("comp") == F.col("c0"), "left") \
             .select("record_id", "x", "y", "core", F.coalesce("parent", "comp").alias("comp")).checkpoint()
+    else:
+        if state.select("comp").distinct().limit(2).count() > 1:
+            raise RuntimeError(f"spanning_forest: not settled after {max_rounds} rounds")
     if not found:
         return spark.createDataFrame([], "a long, b long, w double")
     out = found[0]

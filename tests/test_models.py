@@ -46,6 +46,9 @@ def test_knn_across_blocks_matches_brute_force(spark):
                                "record_id long, x double, y double")
     got = {(r["record_id"], r["rank"]): (r["neighbor_id"], r["dist"])
            for r in NB.knn(df, 4, include_self=False, block_size=100).collect()}
+    plane = {(r["record_id"], r["rank"]): (r["neighbor_id"], r["dist"])
+             for r in NB.knn_plane(df, 4, include_self=False, block_size=100).collect()}
+    assert plane == got
     d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     for i in range(len(pts)):
@@ -82,3 +85,22 @@ def test_spanning_forest_matches_kruskal(spark):
     assert len(got) == len(pts) - 1
     assert set(got) == set(want)
     assert all(abs(got[e] - want[e]) < 1e-12 for e in want)
+
+
+def test_plane_search_visits_near_blocks_only(spark, monkeypatch):
+    """Clusters, outliers and a mass of equal points: exact, and the visits grow with the points."""
+    import numpy as np
+
+    from shoal.operators import neighbors as NB
+    monkeypatch.setattr(NB, "BOX_GROUP", 4)
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(size=(400, 2)), rng.normal(size=(300, 2)) * 0.01 + 50, np.full((60, 2), 7.5),
+                          rng.uniform(-500, 500, (15, 2))])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "record_id long, x double, y double")
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2))
+    got = {(r["record_id"], r["rank"]): (r["neighbor_id"], r["dist"]) for r in NB.knn_plane(df, 3, block_size=50).collect()}
+    for i in range(len(pts)):
+        order = sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:3]
+        assert [got[i, k][0] for k in (1, 2, 3)] == order
+    assert NB.knn_plane(df.limit(0), 3).count() == 0
+    assert NB.knn_plane(df.limit(2), 3).count() == 4
