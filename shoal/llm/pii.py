@@ -88,6 +88,7 @@ _LOOK_ALIKES = {
 }
 _DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
                 "seven": "7", "eight": "8", "nine": "9"}
+_LETTER_DIGITS = str.maketrans("OoIl|", "00111")
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 
@@ -108,18 +109,23 @@ def look_alikes() -> dict[int, str]:
 
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _DIGIT = "|".join(_DIGIT_WORDS)
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s+dot\s+)"
+_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s+dot\s+|\s+\.\s*|\s*\.\s+)"
 # Endings after which "name at host dot ending" in plain words is taken for an address.
 _ENDING = "com|org|net|edu|gov|info|biz|io|co|dev|app|eu|de|fr|es|it|nl|ch|at|uk|us|ca|example|test"
-#: The disguises; plain words count as @ only before a host with a known ending.
+#: The disguises; plain words and spaced signs count as @ and . only in a host with a known ending, and
+#: letters count as digits only beside digits.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|&#0*64;|&commat;|(?<=[A-Za-z0-9])\s+at\s+(?=(?:[A-Za-z0-9-]+{_DOT})+(?:{_ENDING})\b))"
-    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|&#0*46;|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9]))"
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|&#0*64;|&commat;"
+    rf"|(?<=[A-Za-z0-9])(?:\s+at\s+|\s+@\s*|@\s+)(?=(?:[A-Za-z0-9-]+(?:{_DOT}|\.))+(?:{_ENDING})\b))"
+    rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|&#0*46;|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])"
+    rf"|(?<=[A-Za-z0-9])(?:\s+\.\s*|\.\s+)(?=(?:{_ENDING})\b))"
     rf"|\b(?P<digits>(?:{_DIGIT})(?:[\s-]+(?:{_DIGIT}))*)\b"
+    r"|(?P<letters>(?<=[0-9])[OoIl|]+(?=[0-9 .)-]|$)|(?<![A-Za-z0-9])[OoIl|]+(?=[0-9]|\.[0-9])"
+    r"|(?<=[0-9OIl]\.)[OoIl|]{1,3}(?=\.|[^A-Za-z0-9]|$))"
     rf"|(?P<plus>\bplus\s+(?=[0-9]|(?:{_DIGIT})\b))"
     rf"|(?P<gone>[{_INVISIBLE}]+)", re.IGNORECASE)
 #: A cheap look for anything that the second transducer rewrites.
-_TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|&#|&commat;|\s(?:dot|plus)\s|\b(?:{_DIGIT})\b|[{_INVISIBLE}]",
+_TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|&#|&commat;|\s(?:dot|plus)\s|\s@|@\s|\s\.|[0-9]\.?[oil|]|[oil|]\.?[0-9]|\b(?:{_DIGIT})\b|[{_INVISIBLE}]",
                       re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+", re.IGNORECASE)
 
@@ -133,7 +139,9 @@ class Rewritten:
         for m in _DISGUISE.finditer(source):
             kind = m.lastgroup
             new = {"at": "@", "dot": ".", "plus": "+", "gone": ""}.get(kind)
-            if new is None:
+            if kind == "letters":
+                new = m[0].translate(_LETTER_DIGITS)
+            elif new is None:
                 new = "".join(_DIGIT_WORDS[w.lower()] for w in _WORD.findall(m[0]))
             parts += [source[last:m.start()], new]
             size += m.start() - last

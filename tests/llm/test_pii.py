@@ -60,6 +60,10 @@ def test_plain_spans_match_the_patterns(text):
     ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
     ("ip one nine two dot one six eight dot one dot one here", "ip", "one nine two dot one six eight dot one dot one"),
     ("ip 10[.]0[.]0[.]1 here", "ip", "10[.]0[.]0[.]1"),
+    ("mail john @ example . com now", "email", "john @ example . com"),
+    ("ip 192.168.O.l ok", "ip", "192.168.O.l"),
+    ("card 4111 1111 1111 l111 end", "card", "4111 1111 1111 l111"),
+    ("call +44 2O 7946 O958 now", "phone", "+44 2O 7946 O958"),
 ])
 def test_disguises_map_back_to_their_source(text, kind, found):
     _, more = P.spans_of(text)
@@ -67,7 +71,8 @@ def test_disguises_map_back_to_their_source(text, kind, found):
     assert P.redacted(text) == text.replace(found, f"[{kind.upper()}]")
 
 
-@pytest.mark.parametrize("text", ["look at the dot on one page", "meet at noon dot. at home", "one two three", "a [dot] b", LONG])
+@pytest.mark.parametrize("text", ["look at the dot on one page", "meet at noon dot. at home", "one two three", "a [dot] b", LONG,
+                                  "He lives at home. Com is", "see 5l of 2O. I am", "John at example. com"])
 def test_plain_prose_has_no_spans(text):
     base, more = P.spans_of(text)
     assert not any(base.values()) and not more
