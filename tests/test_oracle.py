@@ -1,7 +1,7 @@
 """Every registered query with oracle SQL matches DuckDB at sf0.01 (the driver's rule)."""
 import pytest
 
-from shoal.plans.compare import compare, duck_connect
+from tests.compare import compare, duck_connect
 from shoal.plans.queries import ORACLE, QUERIES
 from tests.conftest import SF01
 

@@ -1,7 +1,7 @@
 """Partition invariance: the same result at 1 and 8 shuffle partitions."""
 import pytest
 
-from shoal.plans.compare import rows_of_spark
+from tests.compare import rows_of_spark
 from shoal.plans.queries import QUERIES
 from tests.conftest import SF01
 
