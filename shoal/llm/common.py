@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.session import ensure_checkpoint_dir, ship_package
@@ -78,6 +78,25 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % 5 == 0
 
 
+def first_by_hash(rows: DataFrame, group: str, h: str, most: dict, ties: list[str]) -> DataFrame:
+    """At most ``most[g]`` rows of each group ``g``: those with the smallest 64-bit hash ``h``, then by ``ties``.
+
+    A group's count says below which hash one and a half times as many rows are to be
+    expected, so the window that picks the exact ones sees no more than that,
+    whatever the group's size; other groups than those in ``most`` are left out.
+    """
+    unit = F.shiftrightunsigned(h, 11) / float(1 << 53)
+    counts = {r[group]: r["count"] for r in rows.where(F.col(group).isin(list(most))).groupBy(group).count().collect()}
+    bound = F.lit(-1.0)
+    for g, n in counts.items():
+        bound = F.when(F.col(group) == g, F.lit(min(1.0, (1.5 * most[g] + 100) / n))).otherwise(bound)
+    number = F.row_number().over(Window.partitionBy(group).orderBy(unit, *ties))
+    limit = F.lit(0)
+    for g in counts:
+        limit = F.when(F.col(group) == g, F.lit(most[g])).otherwise(limit)
+    return rows.where(unit < bound).withColumn("_i", number).where(F.col("_i") <= limit).drop("_i")
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``(node, component)`` for undirected ``edges(a, b)``: component is the smallest node reachable.
 

@@ -17,20 +17,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import documents, held_out, map_arrow, prepare, table
+from shoal.llm.common import documents, first_by_hash, held_out, map_arrow, prepare, table
 
 #: Gram sizes, buckets, vector length.
 GRAMS, BUCKETS, DIM = (3, 4, 5), 1 << 16, 8
 #: Bytes of a passage (a text's last one may be shorter).
 PASSAGE = 1024
 #: Training reads at most so many documents labelled 0 and 1.
-TRAIN_ROWS = (6000, 2000)
+TRAIN_ROWS = (4000, 1500)
 #: Passages of a training document that are sent to the driver: up to this many, spread over the whole text.
-TRAIN_PASSAGES = 32
-EPOCHS, BATCH, RATE, SEED = 8, 64, 0.02, 11
+TRAIN_PASSAGES = 24
+EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 11
 #: Bytes hashed at once.
 BYTES_AT_ONCE = 1 << 20
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
@@ -115,8 +115,23 @@ def bags(text: bytes | None) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(b, n) for b, n in out if len(b)]
 
 
-def train(rows: list[tuple[list[tuple[np.ndarray, np.ndarray]], int]], epochs: int = EPOCHS, batch: int = BATCH,
-          rate: float = RATE, seed: int = SEED) -> Model:
+@dataclass
+class Sample:
+    """One training document: the buckets and counts of its passages one after another, each passage's length, the label."""
+
+    buckets: np.ndarray        # 16 bits
+    counts: np.ndarray         # 8 bits
+    sizes: np.ndarray
+    label: int
+
+
+def sample(found: list[tuple[np.ndarray, np.ndarray]], label: int) -> Sample:
+    return Sample(np.concatenate([b for b, _ in found] or [[]]).astype(np.uint16),
+                  np.minimum(np.concatenate([n for _, n in found] or [[]]), 255).astype(np.uint8),
+                  np.array([len(b) for b, _ in found], np.int64), label)
+
+
+def train(rows: list[Sample], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Model:
     """Fit to documents given as the bags of their passages, and labels 0 or 1.
 
     The highest passage of a document stands for it and is chosen anew in each
@@ -126,25 +141,24 @@ def train(rows: list[tuple[list[tuple[np.ndarray, np.ndarray]], int]], epochs: i
     rng = np.random.default_rng(seed)
     E = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     w, b = (rng.standard_normal(DIM) * 0.5).astype(np.float32), np.zeros(1, np.float32)
-    rows = [r for r in rows if r[0]]
-    labels = np.array([y for _, y in rows], np.float32)
+    rows = [r for r in rows if len(r.sizes)]
+    labels = np.array([r.label for r in rows], np.float32)
     if len(set(labels.tolist())) < 2:
         return Model(E * 0, w, 6.0 if len(labels) and labels[0] else -6.0, False)
     params = [E, w, b]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    flat_b = [np.concatenate([p[0] for p in bag]) for bag, _ in rows]
-    flat_n = [np.concatenate([p[1] / p[1].sum() for p in bag]).astype(np.float32) for bag, _ in rows]
-    sizes = [np.array([len(p[0]) for p in bag]) for bag, _ in rows]
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for i in range(0, len(rows), batch):
             pick = order[i:i + batch]
             step += 1
-            bucket, share = np.concatenate([flat_b[k] for k in pick]), np.concatenate([flat_n[k] for k in pick])
-            size = np.concatenate([sizes[k] for k in pick])
+            bucket = np.concatenate([rows[k].buckets for k in pick]).astype(np.int32)
+            size = np.concatenate([rows[k].sizes for k in pick])
             start = np.cumsum(size) - size
-            per = np.array([len(sizes[k]) for k in pick])
+            share = np.concatenate([rows[k].counts for k in pick]).astype(np.float32)
+            share /= np.repeat(np.add.reduceat(share, start), size)
+            per = np.array([len(rows[k].sizes) for k in pick])
             doc = np.cumsum(per) - per
             z = np.add.reduceat((E @ w)[bucket] * share, start)
             top = np.array([d + int(np.argmax(z[d:d + n])) for d, n in zip(doc.tolist(), per.tolist())])
@@ -176,24 +190,25 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     prepare(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)) \
         .groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    first = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-    chosen = known.withColumn("i", F.row_number().over(first)).where(F.col("i") <= F.when(F.col("y") == 1, most[1]).otherwise(most[0])).select("doc_id", "y")
+    known = known.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
+    chosen = first_by_hash(known, "y", "h", {0: most[0], 1: most[1]}, ["doc_id"]).select("doc_id", "y")
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")) \
         .join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_some(bags(t)) for t in b.column(2).to_pylist()]
+            found = [sample(_some(bags(t)), 0) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([[x[0].astype("<u2").tobytes() for x in f] for f in found], pa.list_(pa.binary())),
-                 pa.array([[np.minimum(x[1], 255).astype("<u1").tobytes() for x in f] for f in found], pa.list_(pa.binary()))],
-                ["doc_id", "y", "b", "n"])
+                [b.column(0), b.column(1), pa.array([x.buckets.astype("<u2").tobytes() for x in found], pa.binary()),
+                 pa.array([x.counts.tobytes() for x in found], pa.binary()),
+                 pa.array([x.sizes.tolist() for x in found], pa.list_(pa.int64()))],
+                ["doc_id", "y", "b", "n", "sizes"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = map_arrow(src, run, f"doc_id {kind}, y int, b array<binary>, n array<binary>").collect()
-    rows = [([(np.frombuffer(b, "<u2").astype(np.int32), np.frombuffer(n, "<u1")) for b, n in zip(r["b"], r["n"])], r["y"])
-            for r in sorted(got, key=lambda r: (r["doc_id"], r["y"], r["b"]))]
-    return train(rows)
+    got = map_arrow(src, run, f"doc_id {kind}, y int, b binary, n binary, sizes array<bigint>").toArrow()
+    key = sorted(range(got.num_rows), key=lambda i: (got["doc_id"][i].as_py(), got["y"][i].as_py(), got["b"][i].as_py()))
+    return train([Sample(np.frombuffer(got["b"][i].as_py(), "<u2"), np.frombuffer(got["n"][i].as_py(), np.uint8),
+                         np.array(got["sizes"][i].as_py(), np.int64), got["y"][i].as_py()) for i in key])
 
 
 def _some(found: list) -> list:
