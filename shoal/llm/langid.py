@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.common import documents, held_out, map_arrow, prepare
+from shoal.llm.common import documents, first_by_hash, held_out, map_arrow, prepare
 
 #: Units of each direction; bytes that a state is carried over.
 UNITS, SEGMENT = 8, 128
@@ -195,8 +195,7 @@ def training_rows(docs: DataFrame, text: str = "text", lang: str = "lang", doc_i
     langs = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGS + 1).collect()]
     if len(langs) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} values of {lang}")
-    first = Window.partitionBy("lang").orderBy("h", "w")
-    chosen = rows.withColumn("i", F.row_number().over(first)).where(F.col("i") <= per_lang)
+    chosen = first_by_hash(rows, "lang", "h", dict.fromkeys(langs, per_lang), ["w"])
     return [(bytes(r["w"]), r["lang"]) for r in chosen.select("w", "lang").collect()]
 
 
