@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.common import materialise
+from shoal.llm.common import attach, materialise
 
 #: The characters deleted before texts are compared: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\f\r"
@@ -118,7 +118,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", blo
     best = F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"),
                           F.col("doc_id").alias("c"), F.col("uid").alias("d")))
     groups = ids.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), best.alias("_k"))
-    return ids.join(groups, ["n_blocks", "name"]).select(
+    groups = groups.withColumn("_members", F.col("group_size"))
+    return attach(ids, groups, ["n_blocks", "name"], "_members").select(
         "doc_id", F.col("_k.c").alias("keep_id"), "group_size", (F.col("uid") == F.col("_k.d")).alias("kept"),
         "text_sha256")
 
