@@ -388,8 +388,8 @@ def repeated_stretches(texts: DataFrame, length: int) -> DataFrame:
 
     # cores of several kinds: one run of each kind is fetched and sorted
     mixed = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")) \
-        .where("g > 1 AND least = 1").select("core", "g")
-    asked = materialise(kinds.join(mixed, "core").select("core", "g", "n", "one.uid", "one.at"), "op9-asked")
+        .where("g > 1 AND least = 1").select("core", "g", F.col("g").alias("members"))
+    asked = materialise(attach(kinds, mixed, ["core"], "members").select("core", "g", "n", "one.uid", "one.at"), "op9-asked")
     by_doc = asked.groupBy("uid").agg(F.collect_list(F.struct("core", "g", "n", "at")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
