@@ -109,27 +109,41 @@ def look_alikes() -> dict[int, str]:
 
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _DIGIT = "|".join(_DIGIT_WORDS)
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s+dot\s+|\s+\.\s*|\s*\.\s+)"
+# A dot with a space after it only ends a sentence; see ``gap`` below for the one exception.
+_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s+dot\s+|\s+\.\s*)"
 # Endings after which "name at host dot ending" in plain words is taken for an address.
-_ENDING = "com|org|net|edu|gov|info|biz|io|co|dev|app|eu|de|fr|es|it|nl|ch|at|uk|us|ca|example|test"
+_REAL = "com|org|net|edu|gov|info|biz|io|co|dev|app|eu|de|fr|es|it|nl|ch|at|uk|us|ca"
+_ENDING = _REAL + "|example|test"
+_HOST = rf"(?:[A-Za-z0-9-]+(?:{_DOT}|\.))+(?:{_ENDING})\b"
+_ENTITY = r"&#0*64;|&commat;"
 #: The disguises; plain words and spaced signs count as @ and . only in a host with a known ending, and
-#: letters count as digits only beside digits.
+#: letters count as digits only beside digits.  ``host. com`` has a dot only right after an at sign, if the
+#: host has no ending yet and the one to come is not capitalised like the first word of a sentence.
 _DISGUISE = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|&#0*64;|&commat;"
-    rf"|(?<=[A-Za-z0-9])(?:\s+at\s+|\s+@\s*|@\s+)(?=(?:[A-Za-z0-9-]+(?:{_DOT}|\.))+(?:{_ENDING})\b))"
+    rf"(?P<gap>(?:{_OPEN}(?:at|@){_CLOSE}|{_ENTITY}|\s*@\s*)"
+    rf"(?P<host>[A-Za-z0-9-]+(?:(?:{_DOT}|\.)(?!(?:{_REAL})\.\s)[A-Za-z0-9-]+)*)\.\s+"
+    rf"(?P<ending>(?-i:{_ENDING}|{_ENDING.upper()}))\b)"
+    rf"|(?P<at>{_OPEN}(?:at|@){_CLOSE}|{_ENTITY}|(?<=[A-Za-z0-9])(?:\s+at\s+|\s+@\s*|@\s+)(?={_HOST}))"
     rf"|(?P<dot>{_OPEN}(?:dot|\.){_CLOSE}|&#0*46;|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])"
-    rf"|(?<=[A-Za-z0-9])(?:\s+\.\s*|\.\s+)(?=(?:{_ENDING})\b))"
+    rf"|(?<=[A-Za-z0-9])\s+\.\s*(?=(?:{_ENDING})\b))"
     rf"|\b(?P<digits>(?:{_DIGIT})(?:[\s-]+(?:{_DIGIT}))*)\b"
     r"|(?P<letters>(?<=[0-9])[OoIl|]+(?=[0-9 .)-]|$)|(?<![A-Za-z0-9])[OoIl|]+(?=[0-9]|\.[0-9])"
     r"|(?<=[0-9OIl]\.)[OoIl|]{1,3}(?=\.|[^A-Za-z0-9]|$))"
     rf"|(?P<plus>\bplus\s+(?=[0-9]|(?:{_DIGIT})\b))"
     rf"|(?P<gone>[{_INVISIBLE}]+)", re.IGNORECASE)
-#: A cheap look for anything that the second transducer rewrites.
-_TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|&#|&commat;|\s(?:dot|plus)\s|\s@|@\s|\s\.|[0-9]\.?[oil|]|[oil|]\.?[0-9]|\b(?:{_DIGIT})\b|[{_INVISIBLE}]",
-                      re.IGNORECASE)
+_DOTS = re.compile(rf"{_DOT}|\.", re.IGNORECASE)
+#: A cheap look for anything that the second transducer rewrites: a text without a match, and without an @,
+#: has none of ``_DISGUISE``.  Each branch there has a part here that it can't do without.
+_TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|dot|\.)\s*[\])}}>]|&(?:#|commat;)|\s(?:dot\s|\.|at\s+{_HOST})|\bplus\s|[0-9][oil|]"
+                      rf"|[oil|]\.?[0-9]|[0-9oil]\.[oil|]{{1,3}}(?![A-Za-z0-9])|\b(?:{_DIGIT})\b|[{_INVISIBLE}]", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+", re.IGNORECASE)
 
 
+def may_rewrite(t: str) -> bool:
+    """False only for texts that the second transducer leaves as they are."""
+    return "@" in t or _TRIGGER.search(t) is not None
+
+
 class Rewritten:
     """A rewritten text and, for each change, where it starts and ends here and in the source."""
 
@@ -139,7 +153,9 @@ class Rewritten:
         for m in _DISGUISE.finditer(source):
             kind = m.lastgroup
             new = {"at": "@", "dot": ".", "plus": "+", "gone": ""}.get(kind)
-            if kind == "letters":
+            if kind == "gap":
+                new = f"@{_DOTS.sub('.', m['host'])}.{m['ending']}"
+            elif kind == "letters":
                 new = m[0].translate(_LETTER_DIGITS)
             elif new is None:
                 new = "".join(_DIGIT_WORDS[w.lower()] for w in _WORD.findall(m[0]))
@@ -177,7 +193,7 @@ def base_spans(t: str) -> dict[str, list[Span]]:
 def added_spans(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Source spans of the identifiers that only the rewritten text shows."""
     plain = t if t.isascii() else t.translate(look_alikes())
-    if plain == t and not _TRIGGER.search(plain):
+    if plain == t and not may_rewrite(plain):
         return {}
     seen = Rewritten(plain)
     if seen.text == t:

@@ -71,6 +71,35 @@ def test_disguises_map_back_to_their_source(text, kind, found):
     assert P.redacted(text) == text.replace(found, f"[{kind.upper()}]")
 
 
+# Without a trigger of their own: found in a text with nothing else to rewrite, and the same beside an unrelated trigger.
+PHRASES = [("write to john.smith at example.com", "email", "john.smith at example.com"),
+           ("call:plus 49 30 1234567", "phone", "plus 49 30 1234567"),
+           ("plus 49 30 1234567", "phone", "plus 49 30 1234567"),
+           ("(plus 49 30 1234567)", "phone", "plus 49 30 1234567"),
+           ("john@example. com", "email", "john@example. com"),
+           ("mail john [at] mail . example. com", "email", "john [at] mail . example. com"),
+           ("john at mail.example.com. It is", "email", "john at mail.example.com"),
+           ("john@example.com. It is", None, None), ("john@example.com. it is", None, None),
+           ("John at example. com", None, None), ("He lives @ home. Com is", None, None)]
+
+
+@pytest.mark.parametrize("text, kind, found", PHRASES)
+@pytest.mark.parametrize("trigger", ["", " / one", " / a dot b", " / 3l", " / a .", " / x\u200by", " / @"])
+def test_an_unrelated_trigger_changes_no_spans(text, kind, found, trigger):
+    _, more = P.spans_of(text + trigger)
+    assert {k: [text[a:b] for a, b in v] for k, v in more.items()} == ({kind: [found]} if kind else {})
+
+
+SEEDS = ["at", "dot", "plus", "AT", ".", "@", " ", "\n", "\u2003", "[", ")", "<", "&#", "&#064;", "&commat;", "46;", "com", "example", "It",
+         "one", "Seven", "o", "l", "|", "İ", "ı", "ſ", "0", "7", "a", "-", ",", "\u200b", "é"]
+
+
+@given(st.lists(st.sampled_from(SEEDS), max_size=12).map("".join))
+@settings(max_examples=5000, deadline=None)
+def test_a_text_without_a_trigger_has_nothing_to_rewrite(text):
+    assert P.may_rewrite(text) or not P._DISGUISE.search(text)
+
+
 @pytest.mark.parametrize("text", ["look at the dot on one page", "meet at noon dot. at home", "one two three", "a [dot] b", LONG,
                                   "He lives at home. Com is", "see 5l of 2O. I am", "John at example. com"])
 def test_plain_prose_has_no_spans(text):
