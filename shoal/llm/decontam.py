@@ -1,22 +1,23 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: CGK embedding, sampled keys, exact edit verification.
 
 Texts become word sequences.  The CGK embedding of a window walks over its
 words: step j writes the current word, and a random bit that j and the word
-decide says whether to go on to the next.  Two windows at edit distance d walk
-apart and meet again, so their embeddings differ in few places.  A key is made of a
-few sampled places; windows of documents and items that share a key in one of
-several independent walks are compared exactly by edit distance.
-
-Items are indexed at each of their words, documents are windowed at every
-``stride``-th, so a copied item meets an aligned window wherever it starts.
-Items go in blocks of bounded size against all documents; nothing is shuffled.
+decide says whether to go on to the next.  A key is made of a few sampled
+places of the embedding, so equal windows always share their key.
+
+Every window of an item and of a document has a key.  Windows are so short that
+the edits a match may have, wherever they stand, leave some windows of the item
+as they are; an item that shares at least that many keys with a document is
+compared exactly by edit distance.  So no match is missed, at any distance up to
+the limit.  Items go in blocks of bounded size against all documents; nothing
+is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, log
+from math import ceil
 from zlib import crc32
 
 import numpy as np
@@ -28,10 +29,10 @@ from shoal.llm.common import documents, map_arrow, prepare, table
 
 #: Largest edit distance of a match, as a share of the item's words.
 MAX_EDIT = 0.2
-#: The walks are repeated until a window pair at ``DESIGN_EDIT`` shares a key with this chance.
-RECALL, DESIGN_EDIT = 0.95, 0.1
-#: Sampled places in a key.
-PLACES = 6
+#: The share of edited words that the search is made for: all that a match may have.
+DESIGN_EDIT = MAX_EDIT
+#: Sampled places in a key at most; windows of four words and less have them all, so few other windows share a key.
+PLACES = 12
 #: UTF-8 bytes of items that are sent to the tasks at once.
 BLOCK_BYTES = 1 << 20
 #: Words that one step works on at once.
@@ -49,35 +50,32 @@ def words(text: bytes | None) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Shape:
-    """Windows of ``length`` words, one at every ``stride``-th word of a document."""
+    """Windows of ``length`` words; a key samples ``places`` of the walk's steps."""
 
     length: int
-    stride: int
+    places: int
 
     @property
     def steps(self) -> int:
-        return 2 * self.length
+        return 3 * self.length
 
-    @property
-    def repeats(self) -> int:
-        """Walks needed for ``RECALL``: an edit is taken to change four of the places."""
-        share = min(0.9, 4 * DESIGN_EDIT * self.length / self.steps)
-        hit = (1 - share) ** min(PLACES, self.length)
-        return max(2, ceil(log(1 - RECALL) / log(1 - hit)))
+
+def shape_of(n_words: int, most: int) -> Shape:
+    """The longest windows of which ``most`` edits leave one as it is: ``most + 1`` of them fit in the item side by side."""
+    length = next(k for k in (12, 8, 4, 3, 2, 1) if k <= max(1, n_words // (most + 1)))
+    return Shape(length, min(PLACES, 3 * length))
 
 
-def shape_of(n_words: int) -> Shape:
-    """Items of 15 words and more share windows of 12; shorter ones have windows of nearly their size."""
-    if n_words >= 15:
-        return Shape(12, 4)
-    return Shape(next(k for k in (12, 8, 5, 3, 2, 1) if k <= n_words), 1)
+def left_over(n_words: int, most: int, shape: Shape) -> int:
+    """Windows of an item that ``most`` edits leave as they are, at least: an edit changes ``length`` of them."""
+    return max(1, n_words - shape.length + 1 - most * shape.length)
 
 
-def keys(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shape, walk: int) -> np.ndarray:
+def keys(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shape, walk: int = 0) -> np.ndarray:
     """The 64-bit key of the window at each start; words from ``ends`` on read as padding."""
     rng = np.random.default_rng([1, shape.length, walk])
     odd = np.uint32(rng.integers(1 << 31) * 2 + 1)
-    places = set(rng.choice(shape.steps, min(PLACES, shape.length), replace=False).tolist())
+    places = set(rng.choice(shape.steps, shape.places, replace=False).tolist())
     coin = ids * odd
     at, stop = starts.copy(), np.minimum(starts + shape.length, ends)
     last = max(0, len(ids) - 1)
@@ -94,48 +92,51 @@ def keys(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shape, wa
 
 
 class Index:
-    """The keys of a block of items, by window shape and walk."""
+    """The keys of a block of items, by window shape, for matches of up to ``max_edit`` of an item's words."""
 
-    def __init__(self, items: list[tuple[object, bytes]]) -> None:
+    def __init__(self, items: list[tuple[object, bytes]], max_edit: float = MAX_EDIT) -> None:
+        if not 0 <= max_edit < 1:
+            raise ValueError("max_edit must be at least 0 and under 1")
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
-        self.tables: dict[Shape, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.most = [int(max_edit * len(w)) for w in self.words]
+        self.need = np.zeros(len(items), np.int64)
+        self.tables: dict[Shape, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         by_shape: dict[Shape, list[int]] = {}
         for k, w in enumerate(self.words):
             if len(w):
-                by_shape.setdefault(shape_of(len(w)), []).append(k)
+                shape = shape_of(len(w), self.most[k])
+                self.need[k] = left_over(len(w), self.most[k], shape)
+                by_shape.setdefault(shape, []).append(k)
         for shape, members in by_shape.items():
             flat = np.concatenate([self.words[k] for k in members])
-            ends = np.cumsum([len(self.words[k]) for k in members])
-            item = np.repeat(members, [len(self.words[k]) for k in members])
-            start = np.arange(len(flat))
-            end = np.repeat(ends, [len(self.words[k]) for k in members])
-            offset = start - (end - [len(self.words[k]) for k in item])
-            fits = start + shape.length <= end
-            start, end, item, offset = start[fits], end[fits], item[fits], offset[fits]
-            for r in range(shape.repeats):
-                key = keys(flat, start, end, shape, r)
-                order = np.argsort(key, kind="stable")
-                seen = np.zeros(1 << 20, bool)
-                seen[(key >> np.uint64(44)).astype(np.int64)] = True
-                self.tables.setdefault(shape, []).append((key[order], item[order], offset[order], seen))
-
-    def candidates(self, ids: np.ndarray, doc: np.ndarray, ends: np.ndarray, begins: np.ndarray) -> set[tuple[int, int, int]]:
-        """``(document, item, word where the item would begin)`` for every shared key."""
-        found: set[tuple[int, int, int]] = set()
-        at = np.arange(len(ids))
-        for shape, walks in self.tables.items():
-            starts = at[(at - begins) % shape.stride == 0]
-            stops = ends[starts]
-            for r, (key, item, offset, seen) in enumerate(walks):
-                k = keys(ids, starts, stops, shape, r)
-                near = np.flatnonzero(seen[(k >> np.uint64(44)).astype(np.int64)])
-                lo, hi = np.searchsorted(key, k[near], "left"), np.searchsorted(key, k[near], "right")
-                for n, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    s = int(starts[n])
-                    for e in range(a, b):
-                        found.add((int(doc[s]), int(item[e]), s - int(offset[e])))
-        return found
+            lens = [len(self.words[k]) for k in members]
+            item, end, begin = (np.repeat(x, lens) for x in (members, np.cumsum(lens), np.cumsum(lens) - lens))
+            start = np.flatnonzero(np.arange(len(flat)) + shape.length <= end)
+            key = keys(flat, start, end[start], shape)
+            order = np.argsort(key, kind="stable")
+            seen = np.zeros(1 << 20, bool)
+            seen[(key >> np.uint64(44)).astype(np.int64)] = True
+            self.tables[shape] = (key[order], item[start][order], (start - begin[start])[order], seen)
+
+    def candidates(self, ids: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(document, item, word where the item would begin)``, sorted, for the keys that a document and an item
+        share, if these are of as many windows of the item as a match leaves."""
+        n_items, longest = len(self.ids), max(map(len, self.words), default=0) + 1
+        at, found = np.arange(len(ids)), []
+        for shape, (key, item, offset, seen) in self.tables.items():
+            k = keys(ids, at, ends, shape)
+            near = np.flatnonzero(seen[(k >> np.uint64(44)).astype(np.int64)])
+            lo, hi = np.searchsorted(key, k[near], "left"), np.searchsorted(key, k[near], "right")
+            n = hi - lo
+            here = np.repeat(near, n)
+            there = np.arange(len(here)) + np.repeat(lo - (np.cumsum(n) - n), n)
+            pair, off = doc[here] * n_items + item[there], offset[there]
+            pairs, shared = np.unique(np.unique(pair * longest + off) // longest, return_counts=True)
+            enough = np.isin(pair, pairs[shared >= self.need[pairs % n_items]])
+            found += zip((pair[enough] // n_items).tolist(), (pair[enough] % n_items).tolist(),
+                         (here[enough] - off[enough]).tolist())
+        return sorted(set(found))
 
 
 def edit_in(pattern: list[int], text: list[int], most: int) -> tuple[int, int]:
@@ -165,7 +166,7 @@ def edit_in(pattern: list[int], text: list[int], most: int) -> tuple[int, int]:
     return best, end
 
 
-def find(index: Index, texts: list[bytes | None], max_edit: float = MAX_EDIT) -> list[tuple[int, int, int, int]]:
+def find(index: Index, texts: list[bytes | None]) -> list[tuple[int, int, int, int]]:
     """``(text, item, distance, word where the match ends)``: the best match of each text and item."""
     out: dict[tuple[int, int], tuple[int, int]] = {}
     first = 0
@@ -177,19 +178,22 @@ def find(index: Index, texts: list[bytes | None], max_edit: float = MAX_EDIT) ->
         lens = np.array([len(p) for p in parts])
         ids = np.concatenate(parts)
         stop = np.cumsum(lens)
-        doc, ends, begins = np.repeat(np.arange(len(parts)), lens), np.repeat(stop, lens), np.repeat(stop - lens, lens)
-        tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, k, s in sorted(index.candidates(ids, doc, ends, begins)):
-            pattern = index.words[k]
-            most = int(max_edit * len(pattern))
-            lo, hi = max(int(stop[d] - lens[d]), s - most - 4), min(int(stop[d]), s + len(pattern) + most + 4)
-            done = tried.setdefault((d, k), [])
-            if done and lo >= done[-1][0] and hi <= done[-1][1]:
-                continue
-            done.append((lo, hi))
-            dist, end = edit_in(pattern.tolist(), ids[lo:hi].tolist(), most)
-            if dist <= most and dist < out.get((first + d, k), (most + 1, 0))[0]:
-                out[first + d, k] = (dist, lo + end - int(stop[d] - lens[d]))
+        doc, ends = np.repeat(np.arange(len(parts)), lens), np.repeat(stop, lens)
+        spots: dict[tuple[int, int], list[list[int]]] = {}      # runs of words to compare; those that overlap go together
+        for d, k, s in index.candidates(ids, doc, ends):
+            reach = index.most[k] + 4
+            lo, hi = max(int(stop[d] - lens[d]), s - reach), min(int(stop[d]), s + len(index.words[k]) + reach)
+            runs = spots.setdefault((d, k), [])
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = max(hi, runs[-1][1])
+            else:
+                runs.append([lo, hi])
+        for (d, k), runs in spots.items():
+            pattern, most = index.words[k].tolist(), index.most[k]
+            for lo, hi in runs:
+                dist, end = edit_in(pattern, ids[lo:hi].tolist(), most)
+                if dist <= most and dist < out.get((first + d, k), (most + 1, 0))[0]:
+                    out[first + d, k] = (dist, lo + end - int(stop[d] - lens[d]))
         first += len(parts)
     return [(d, k, *v) for (d, k), v in sorted(out.items())]
 
@@ -224,9 +228,9 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
         index = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            idx = Index(index.value)
+            idx = Index(index.value, max_edit)
             for b in batches:
-                hit = find(idx, b.column(1).to_pylist(), max_edit)
+                hit = find(idx, b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array([h[0] for h in hit], pa.int64())),
                      pa.array([idx.ids[h[1]] for h in hit]).cast(_arrow(iids)),
@@ -256,10 +260,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         index = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            idx = Index(index.value)
+            idx = Index(index.value, max_edit)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[h[0] for h in find(idx, b.column(at).cast(pa.binary()).to_pylist(), max_edit)]] = False
+                keep[[h[0] for h in find(idx, b.column(at).cast(pa.binary()).to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
         out = map_arrow(out, run, plain)

@@ -78,6 +78,30 @@ def test_recall_of_edited_copies_against_brute_force():
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def edited(rng, words, edits):
+    """A copy with just so many edits, spread evenly: the worst case for windows."""
+    at = {int((i + 0.5) * len(words) / edits) for i in range(edits)}
+    out = []
+    for i, w in enumerate(words):
+        kind = rng.randrange(3) if i in at else None
+        out += [w] if kind is None else [f"changed{i}"] if kind == 0 else [w, f"added{i}"] if kind == 1 else []
+    return out
+
+
+def test_recall_at_the_largest_distance_for_every_item_length():
+    rng = random.Random(5)
+    for n in [*range(1, 41), 59, 60, 97, 200]:
+        items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for _ in range(40)]
+        fill = lambda: [f"w{rng.randrange(3000)}" for _ in range(rng.randint(0, 30))]
+        docs = [[*fill(), *edited(rng, i, int(D.MAX_EDIT * n)), *fill()] for i in items]
+        index = D.Index([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+        got = {(d, k): dist for d, k, dist, _ in D.find(index, [" ".join(w).encode() for w in docs])}
+        ids = [D.words(" ".join(w).encode()).tolist() for w in docs]
+        want = {(d, k): dist for k, p in enumerate(index.words) for d in range(len(docs))
+                if (dist := D.edit_in(p.tolist(), ids[d], int(D.MAX_EDIT * n))[0]) <= int(D.MAX_EDIT * n)}
+        assert all((i, i) in want for i in range(len(items))) and got == want, n
+
+
 def test_a_window_has_one_key_wherever_it_stands():
     ids = np.random.default_rng(0).integers(1, 50, 200).astype(np.uint32)
     shape = D.Shape(12, 4)
