@@ -56,17 +56,19 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp bigint)`` for every row; null texts count as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE,
+                 key: Column | None = None) -> DataFrame:
+    """``(doc_id, fp bigint)`` for every row, and ``key`` (a string) if given; null texts count as empty."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["doc_id", "fp", "key"][:b.num_columns])
 
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return map_arrow(src, run, f"doc_id {kind}, fp bigint")
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"),
+                      *([] if key is None else [key.alias("key")]))
+    return map_arrow(src, run, f"doc_id {kind}, fp bigint" + ("" if key is None else ", key string"))
 
 
 def _lanes(max_bits: int) -> int:
@@ -195,6 +197,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return map_arrow(dealt, run, "a bigint, b bigint")
 
 
+def _rooted(rows: DataFrame, first: Column, max_bits: int) -> DataFrame:
+    """``(fp, first, n, root)`` for the distinct fingerprints of ``rows``: ``first`` is an aggregate of a
+    fingerprint's rows, ``n`` their number, ``root`` the same for all that are linked."""
+    fps = materialise(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "op1-distinct")
+    comp = components(links(fps.select("fp"), max_bits))
+    return materialise(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", "n", F.coalesce("component", "fp").alias("root")), "op1-roots")
+
+
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE,
                    max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``.
@@ -206,12 +217,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     empty table an empty result.  Only the two named columns are read.
     """
     rows = materialise(fingerprints(docs, text, doc_id, width), "op1-fp")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")),
-                      "op1-distinct")
-    comp = components(links(fps.select("fp"), max_bits))
-    placed = materialise(fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", "n", F.coalesce("component", "fp").alias("root")), "op1-roots")
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    placed = _rooted(rows, F.min("doc_id"), max_bits)
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
     ids = attach(placed, least, ["root"], "members").select("fp", "component_id", "n")
     return attach(rows, ids, ["fp"], "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -219,17 +226,21 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE,
                   max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents that stay, with all their columns: of each linked group the smallest ``doc_id``.
+    """The documents that stay, with all their columns: exactly one row of each linked group.
 
-    Rows of one ``doc_id`` are one document, of which one row stays; rows without an
-    id stay only where their whole group has none, one for each group of equal fingerprints.
+    It is the row with the smallest ``doc_id``, null last; among rows of one id, or
+    without any, that with the smallest fingerprint, then the smallest hash of its
+    text.  Rows of one id whose texts are in different groups are different
+    documents.  Rows of the same id and text are one document.
     """
-    groups = simhash_groups(docs, text, doc_id, width, max_bits)
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key")).distinct()
-    rows = docs.select(key.alias("_key"), F.struct("*").alias("_row"))
-    return rows.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    key = F.md5(F.concat_ws(",", part(F.md5(F.col(text).cast("binary"))), part(F.col(doc_id).cast("string"))).cast("binary"))
+    rows = materialise(fingerprints(docs, text, doc_id, width, key), "op1-fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "key")
+    stay = _rooted(rows, F.min(order), max_bits).groupBy("root").agg(F.min("first").alias("first")) \
+        .select(F.col("first.key").alias("_key"))
+    wide = docs.select(key.alias("_key"), F.struct("*").alias("_row"))
+    return wide.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -86,6 +86,20 @@ def test_dedup_keeps_one_row_of_each_group(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "4", "7", "None", "8", "9", "11"])
 
 
+def test_dedup_with_null_ids_and_one_id_on_two_texts(spark):
+    texts = ["the first text is about ships and the sea", "the second one tells of mountains in winter",
+             "a third speaks about bread, salt and wine", "a fourth is on the history of small towns"]
+    docs = edge_docs(spark, [(None, texts[0], "en", "a"), (None, texts[1], "en", "a"), (None, texts[1], "en", "a"),
+                             (None, texts[2], "en", "a"), (5, texts[2], "en", "a"),          # a copy with an id: this stays
+                             (5, texts[3], "en", "a"), (7, texts[3].upper(), "en", "a"), (5, texts[3], "en", "a"),
+                             (9, None, "en", "a"), (None, "", "en", "a")])
+    fp = {i: S.fingerprint(t.encode()) for i, t in enumerate(texts)}
+    assert all((fp[i] ^ fp[j]).bit_count() > S.MAX_BITS for i in fp for j in range(i))
+    kept = [(r["doc_id"], r["text"]) for r in S.simhash_dedup(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, None)]))
+    assert S.simhash_dedup(docs.limit(0)).count() == 0
+
+
 def test_equal_texts_share_a_class(spark):
     got = {r["doc_id"]: r["component_id"] for r in S.simhash_groups(simple_docs(spark, ["same text here"] * 300 + ["else"])).collect()}
     assert set(got.values()) == {0, 300} and got[300] == 300
