@@ -169,8 +169,8 @@ def kd_leaves(groups: DataFrame, n_leaves: int) -> DataFrame:
     return _side(leaves, groups, len(spans)).drop("node")
 
 
-def shard_groups(rows: DataFrame, n_shards: int) -> tuple[DataFrame, dict[str, int]]:
-    """``(gkey, piece, shard)`` for ``rows(doc_id, gkey, size, dims)``, and the groups that go in pieces.
+def large_groups(rows: DataFrame, n_shards: int) -> dict[str, int]:
+    """The groups of ``rows(gkey, size)`` that go in pieces, and in how many.
 
     A group over a shard's bytes cannot stay whole if shards are to be equal: it
     goes in pieces of about a quarter shard.  There are fewer such groups than
@@ -179,21 +179,25 @@ def shard_groups(rows: DataFrame, n_shards: int) -> tuple[DataFrame, dict[str, i
     total = rows.agg(F.sum("size")).first()[0] or 0
     target = total / max(1, n_shards)
     large = rows.groupBy("gkey").agg(F.sum("size").alias("b")).where(F.col("b") > target).collect() if total else []
-    pieces = {r["gkey"]: ceil(4 * r["b"] / target) for r in large}
+    return {r["gkey"]: ceil(4 * r["b"] / target) for r in large}
+
+
+def shard_groups(rows: DataFrame, n_shards: int, pieces: dict[str, int]) -> DataFrame:
+    """``(gkey, piece, shard)`` for ``rows(gkey, size, dims)``, which need a ``uid`` if any group goes in ``pieces``."""
     rows = with_piece(rows, pieces)
     n_dims = rows.select(F.max(F.size("dims"))).first()[0] or 0
     groups = rows.groupBy("gkey", "piece").agg(F.sum("size").alias("bytes"), *[
         F.min(F.element_at("dims", d + 1)).alias(f"d{d}") for d in range(n_dims)])
     groups = groups.select("gkey", "piece", "bytes", F.array(*[f"d{d}" for d in range(n_dims)]).cast(
         "array<bigint>").alias("dims"), F.shiftrightunsigned(F.xxhash64("gkey", "piece"), 2).alias("tie"))
-    return kd_leaves(groups, n_shards).select("gkey", "piece", F.col("leaf").alias("shard")), pieces
+    return kd_leaves(groups, n_shards).select("gkey", "piece", F.col("leaf").alias("shard"))
 
 
 def with_piece(rows: DataFrame, pieces: dict[str, int]) -> DataFrame:
-    """Add ``piece``: 0, or for a listed group a number that its ``doc_id`` decides."""
+    """Add ``piece``: 0, or for a listed group a number that the row's own ``uid`` decides, which must be stored."""
     piece = F.lit(0).cast("bigint")
     for g, n in pieces.items():
-        piece = F.when(F.col("gkey") == g, F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(piece)
+        piece = F.when(F.col("gkey") == g, F.pmod(F.xxhash64("uid"), F.lit(n))).otherwise(piece)
     return rows.withColumn("piece", piece.cast("bigint"))
 
 
@@ -238,7 +242,8 @@ def kd_shard(docs: DataFrame, n_shards: int | None = None, target_bytes: int | N
     rows = materialise(rows, "op10-rows")
     if n_shards is None:
         n_shards = max(1, ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    shards, pieces = shard_groups(rows, n_shards)
+    pieces = large_groups(rows, n_shards)
+    shards = shard_groups(rows, n_shards, pieces)
     placed = with_piece(rows, pieces).join(shards, ["gkey", "piece"]).select("uid", "doc_id", "size", "text_crc32", "shard")
     return numbered(placed, "shard", ["doc_id", "uid"], "op10-slots").drop("uid")
 
@@ -258,9 +263,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, text: str = "text", doc
     t = F.coalesce(F.col(text), F.lit(""))
     own = [F.col(c) for c in docs.columns if c != "shard"]
     wide = docs.withColumn("_size", (F.octet_length(t) + 1).cast("bigint")).select(
-        F.struct(*own).alias("_row"), F.col(doc_id).alias("doc_id"), F.col("_size").alias("size"),
+        F.struct(*own).alias("_row"), F.col("_size").alias("size"),
         F.sha2(t.cast("binary"), 256).alias("gkey"),
         F.array(*[c.cast("bigint") for c in dims.values()]).alias("dims"))
-    rows = materialise(wide.select("doc_id", "size", "gkey", "dims"), "op10-rows")
-    shards, pieces = shard_groups(rows, n_shards)
+    rows = materialise(wide.select("size", "gkey", "dims"), "op10-rows")
+    pieces = large_groups(rows, n_shards)
+    if pieces:                          # rows of one group go apart by their numbers, which must stay as they are
+        wide = materialise(wide.withColumn("uid", F.monotonically_increasing_id()), "op10-wide")
+        rows = wide.select("uid", "size", "gkey", "dims")
+    shards = shard_groups(rows, n_shards, pieces)
     return with_piece(wide, pieces).join(shards, ["gkey", "piece"]).select("_row.*", "shard")
