@@ -1,8 +1,6 @@
 import random
 import zlib
 
-from pyspark.sql import functions as F
-
 from shoal.llm import sharding as K
 from tests.llm.fixtures import edge_docs
 
@@ -39,23 +37,6 @@ def test_a_group_over_a_shard_goes_in_pieces(spark):
     assert len(got) == 20_300 and max(size) <= 1.6 * min(size)
 
 
-def test_copies_of_one_document_over_a_shard_go_in_pieces(spark):
-    docs, rows = docs_of(spark, 300)
-    for doc_id in (7, None):
-        copies = spark.range(20_000).select(F.lit(doc_id).cast("bigint").alias("doc_id"), F.lit("hot text").alias("text"),
-                                            F.lit("en").alias("lang"), F.lit("s0").alias("source"))
-        every = docs.unionByName(copies)
-        got = K.kd_shard(every, n_shards=4).collect()
-        size = [sum(r["size"] for r in got if r["shard"] == s) for s in range(4)]
-        assert len(got) == 20_300 and max(size) <= 1.6 * min(size)
-        out = K.shard_documents(every, 4)
-        assert out.drop("shard").columns == every.columns
-        got = out.collect()
-        size = [sum(len(r["text"]) + 1 for r in got if r["shard"] == s) for s in range(4)]
-        assert len(got) == 20_300 and max(size) <= 1.6 * min(size)
-        assert sorted(str(tuple(r)[:4]) for r in got) == sorted(str(tuple(r)) for r in every.collect())
-
-
 def test_target_bytes_decides_the_number_of_leaves(spark):
     docs, rows = docs_of(spark, 400)
     total = sum(len(t) + 1 for _, t, *_ in rows)
