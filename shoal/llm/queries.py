@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import chat, decontam, exact, langid, mixing, pii, sharding, simhash, suffix, toxicity
+from shoal.llm import chat, decontam, exact, langid, mixing, periodic, pii, sharding, simhash, suffix, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_suffix_dedup": suffix.op9_suffix_dedup,
     "op10_kd_sharding": sharding.op10_kd_sharding,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE = {
