@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoal.llm import chat, decontam, exact, langid, mixing, periodic, pii, sharding, simhash, suffix, toxicity, whitening
+from shoal.llm import chat, decontam, exact, langid, lm, mixing, periodic, pii, sharding, simhash, suffix, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix.op9_suffix_dedup,
     "op10_kd_sharding": sharding.op10_kd_sharding,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_lm_scoring": lm.op12_lm_scoring,
     "op13_whitening": whitening.op13_whitening,
 }
 

@@ -117,11 +117,11 @@ def _ranges(vectors: DataFrame) -> tuple[int, int, list[int], list[int]]:
 
     found = map_arrow(vectors, run, "width bigint, d bigint, n bigint, low bigint, high bigint") \
         .groupBy("width", "d").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    most = found.where("d = 0").orderBy(F.desc("n"), F.desc("width")).select("width").first()
+    of = F.sort_array(F.collect_list(F.struct("d", "low", "high")))               # one entry for each dimension
+    most = found.groupBy("width").agg(F.max("n").alias("n"), of.alias("of")).orderBy(F.desc("n"), F.desc("width")).first()
     if most is None:
         return 0, 0, [], []
-    rows = found.where(F.col("width") == most["width"]).orderBy("d").collect()    # one row for each dimension
-    return most["width"], rows[0]["n"], [r["low"] for r in rows], [r["high"] for r in rows]
+    return most["width"], most["n"], [r["low"] for r in most["of"]], [r["high"] for r in most["of"]]
 
 
 def _counted(vectors: DataFrame, width: int, low: list[int], bits: list[int]) -> tuple[list[int], list[list[int]]]:
