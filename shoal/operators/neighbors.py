@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.operators.spanning import blocks_for, spanning_tree
 from shoal.session import ensure_checkpoint_dir
 
 BLOCK_SIZE = 2048
@@ -130,7 +131,7 @@ def knn_plane(points: DataFrame, k: int, include_self: bool = True, block_size:
     point's own block bound the distance of its true neighbours; it then visits
     only the other blocks whose box is within that bound, so its copies follow the
     shape of the data, not the number of blocks.  The driver holds one box for each
-    ``block_size`` points.
+    block; beyond ``spanning.MOST_BLOCKS`` blocks these grow instead of their number.
     """
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
@@ -140,7 +141,7 @@ def knn_plane(points: DataFrame, k: int, include_self: bool = True, block_size:
                   F.min("y").alias("y0"), F.max("y").alias("y1")).first()
     if not box["n"]:
         return spark.createDataFrame([], "record_id long, rank int, neighbor_id long, dist double")
-    blocks = math.ceil(box["n"] / block_size)
+    blocks = blocks_for(box["n"], block_size)
     dealt = pts.repartitionByRange(blocks, _curve(F.col("x"), F.col("y"), box), "record_id") \
         .withColumn("block", F.spark_partition_id()).checkpoint()
     boxes = dealt.groupBy("block").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
@@ -149,6 +150,9 @@ def knn_plane(points: DataFrame, k: int, include_self: bool = True, block_size:
 
     found = "record_id long, neighbor_id long, dist double"
     own = dealt.groupBy("block").applyInPandas(lambda g: _found(g, g, k, include_self), found).checkpoint()
+    w = Window.partitionBy("record_id").orderBy("dist", "neighbor_id")
+    if blocks == 1:                                           # nothing lies elsewhere
+        return own.withColumn("rank", F.row_number().over(w).cast("int")).select("record_id", "rank", "neighbor_id", "dist")
     bound = own.groupBy("record_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("c")) \
         .select(F.col("record_id").alias("_id"), F.when(F.col("c") >= k, F.col("r")).alias("r"))
     asking = dealt.join(bound, F.col("record_id") == F.col("_id"), "left").drop("_id")
@@ -182,7 +186,6 @@ def knn_plane(points: DataFrame, k: int, include_self: bool = True, block_size:
     refs = dealt.select(F.col("block").alias("target"), "record_id", "x", "y")
     more = asked.groupBy("target").cogroup(refs.groupBy("target")).applyInPandas(
         lambda q, r: _found(q, r, k, include_self), found)
-    w = Window.partitionBy("record_id").orderBy("dist", "neighbor_id")
     return (own.unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("record_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", "dist"))
 
@@ -211,84 +214,8 @@ def mutual_reachability(points: DataFrame, min_samples: int = 3, k: int | None =
 
 # -- M4c: minimum spanning forest of the mutual-reachability graph -----------------
 
-def _block_min_edge(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-    """Per query point: its cheapest edge to a point of another component
-    (weight = max(core a, core b, distance); ties by the other point's id)."""
-    if q.empty or r.empty:
-        return pd.DataFrame({"record_id": pd.Series([], dtype="int64"), "comp": pd.Series([], dtype="int64"),
-                             "nb": pd.Series([], dtype="int64"), "nb_comp": pd.Series([], dtype="int64"),
-                             "w": pd.Series([], dtype="float64")})
-    r = r.sort_values("rid", kind="stable")
-    d = np.sqrt((q["x"].to_numpy()[:, None] - r["rx"].to_numpy()[None, :]) ** 2
-                + (q["y"].to_numpy()[:, None] - r["ry"].to_numpy()[None, :]) ** 2)
-    w = np.maximum(np.maximum(q["core"].to_numpy()[:, None], r["rcore"].to_numpy()[None, :]), d)
-    w = np.where(q["comp"].to_numpy()[:, None] == r["rcomp"].to_numpy()[None, :], np.inf, w)
-    j = np.argmin(w, axis=1)  # first minimum = smallest id (references sorted by id)
-    best = w[np.arange(len(q)), j]
-    keep = np.isfinite(best)
-    return pd.DataFrame({"record_id": q["record_id"].to_numpy()[keep].astype("int64"),
-                         "comp": q["comp"].to_numpy()[keep].astype("int64"),
-                         "nb": r["rid"].to_numpy()[j][keep].astype("int64"),
-                         "nb_comp": r["rcomp"].to_numpy()[j][keep].astype("int64"),
-                         "w": best[keep]})
-
-
 def spanning_forest(points: DataFrame, min_samples: int = 3, block_size: int = BLOCK_SIZE,
                     max_rounds: int = 64) -> DataFrame:
-    """The minimum spanning tree of the mutual-reachability graph, ``(a, b, w)`` with a < b.
-
-    Borůvka rounds: every component takes its cheapest outgoing edge under the
-    strict order (w, a, b), so the tree is unique and each round at least
-    halves the components.  Components merge by pointer jumping over the
-    (small) component table; the point state is checkpointed every round.
-    Raises if ``max_rounds`` rounds leave more than one component.
-    """
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = points.count()
-    blocks = max(1, math.ceil(n / block_size))
-    core = core_distances(points, min_samples)
-    state = points.select("record_id", "x", "y").join(core, "record_id") \
-        .withColumn("comp", F.col("record_id")).checkpoint()
-    found: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if state.select("comp").distinct().limit(2).count() <= 1:
-            break
-        blk = F.pmod(F.xxhash64("record_id"), F.lit(blocks))
-        seq = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        q = state.select("record_id", "x", "y", "core", "comp", blk.alias("qb"), seq.alias("rb"))
-        r = state.select(F.col("record_id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"),
-                         F.col("core").alias("rcore"), F.col("comp").alias("rcomp"), blk.alias("rb"), seq.alias("qb"))
-        cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(
-            _block_min_edge, "record_id long, comp long, nb long, nb_comp long, w double")
-        key = F.struct("w", F.least("record_id", "nb").alias("a"), F.greatest("record_id", "nb").alias("b"),
-                       F.col("nb_comp").alias("other"))
-        chosen = cand.groupBy("comp").agg(F.min(key).alias("e")).select(
-            "comp", "e.w", "e.a", "e.b", "e.other").checkpoint()
-        found.append(chosen.select("a", "b", "w"))
-        # parent pointers; a mutual pick (2-cycle) makes the smaller id the root
-        par = chosen.select("comp", F.col("other").alias("parent"))
-        back = par.select(F.col("comp").alias("parent"), F.col("parent").alias("pp"))
-        par = par.join(back, "parent", "left").select(
-            "comp", F.when((F.col("pp") == F.col("comp")) & (F.col("comp") < F.col("parent")), F.col("comp"))
-            .otherwise(F.col("parent")).alias("parent")).checkpoint()
-        while True:
-            hop = par.select(F.col("comp").alias("parent"), F.col("parent").alias("grand"))
-            nxt = par.join(hop, "parent", "left").select(
-                "comp", F.coalesce("grand", "parent").alias("parent")).checkpoint()
-            changed = nxt.join(par.withColumnRenamed("parent", "old"), "comp") \
-                .where(F.col("parent") != F.col("old")).limit(1).count()
-            par = nxt
-            if not changed:
-                break
-        state = state.join(par.withColumnRenamed("comp", "c0"), F.col("comp") == F.col("c0"), "left") \
-            .select("record_id", "x", "y", "core", F.coalesce("parent", "comp").alias("comp")).checkpoint()
-    else:
-        if state.select("comp").distinct().limit(2).count() > 1:
-            raise RuntimeError(f"spanning_forest: not settled after {max_rounds} rounds")
-    if not found:
-        return spark.createDataFrame([], "a long, b long, w double")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.dropDuplicates(["a", "b"])
+    """The minimum spanning tree of the mutual-reachability graph, ``(a, b, w)`` with a < b,
+    the one under the order (w, a, b): see :mod:`shoal.operators.spanning`."""
+    return spanning_tree(points, min_samples, block_size, max_rounds).edges()
