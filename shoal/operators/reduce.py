@@ -1,4 +1,4 @@
-"""Reduction of feature vectors to 2-D points (M1 PCA; M2 falls back to it).
+"""Reduction of feature vectors to 2-D points (M1 PCA; M2 neighbour-graph layout, which falls back to it).
 
 PCA is Spark ML's: the covariance is a distributed tree aggregate of a
 ``d x d`` matrix, with ``d`` bounded by the vocabulary cap (or the embedding
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.session import ensure_checkpoint_dir
+
 
 def pca2(features: DataFrame, features_col: str = "features", n_rows: int | None = None,
          keep: tuple[str, ...] = ()) -> DataFrame:
@@ -46,11 +48,32 @@ def pca2(features: DataFrame, features_col: str = "features", n_rows: int | None
 
 
 def layout2(features: DataFrame, features_col: str = "features", n_rows: int | None = None,
-            keep: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """M2 entry point: the neighbour-graph layout is not built, so this applies
-    the reference's own fallback (M2d) and says so.
+            keep: tuple[str, ...] = (), method: str = "pca", neighbours: int = 15, min_dist: float = 0.1,
+            seed: int = 42) -> tuple[DataFrame, str]:
+    """M2: ``(points, method used)``; ``method`` is ``"pca"`` or ``"neighbours"``.
 
-    Returns ``(points, method)``; ``method`` is ``"pca"``.
+    The neighbour-graph layout (cosine neighbours, M2a to M2c) starts at the PCA
+    points.  Fewer than 2 neighbours, or a graph without edges, give way to PCA (M2d).
     """
     n = n_rows if n_rows is not None else features.count()
-    return pca2(features, features_col, n, keep), "pca"
+    placed = pca2(features, features_col, n, keep)
+    k = min(neighbours, n - 1)
+    if method == "pca" or k < 2:
+        return placed, "pca"
+    if method != "neighbours":
+        raise ValueError(f"unknown layout {method!r}")
+    from pyspark.ml.functions import vector_to_array
+
+    from shoal.operators.layout import fuzzy_graph, layout_epochs
+    from shoal.operators.neighbors import knn
+
+    ensure_checkpoint_dir(features.sparkSession)
+    kind = features.schema[features_col].dataType.simpleString()
+    vector = vector_to_array(features_col) if kind == "vector" else F.col(features_col)
+    rows = features.select("record_id", vector.alias("v"))
+    graph = fuzzy_graph(knn(rows, k - 1, vector_col="v", metric="cosine", include_self=False, n_rows=n), k).checkpoint()
+    if graph.isEmpty():
+        return placed, "pca"
+    placed = placed.checkpoint()
+    moved = layout_epochs(graph, placed.select("record_id", "x", "y"), min_dist=min_dist, seed=seed)
+    return (placed.drop("x", "y").join(moved, "record_id") if keep else moved), "neighbours"

@@ -35,6 +35,9 @@ class PipelineConfig:
     seed: int = 42
     min_cluster_size: int = 5
     min_samples: int = 3
+    layout: str = "pca"                 # or "neighbours": the neighbour-graph layout
+    neighbours: int = 15
+    min_dist: float = 0.1
     silhouette: str = "squared_euclidean"   # O(n*k); "euclidean" is the all-pairs score, by explicit choice
     num_partitions: int | None = None   # deal the records anew where the scan has too few splits
     tfidf: FT.TfidfParams = field(default_factory=FT.TfidfParams)
@@ -52,15 +55,13 @@ class FitResult:
     run_stats: DataFrame     # one row (M8)
     cards: DataFrame         # one row per cluster (L4)
     features_kind: str
+    layout: str              # the layout used: "pca" or "neighbours"
 
 
 def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitResult:
     spark = records.sparkSession
     ensure_checkpoint_dir(spark)
     require_min_rows(records, 3)
-    if config.use_density:
-        raise NotImplementedError(
-            "hierarchical density clustering (M4) is not built yet; use k-means (use_density=False)")
     if config.num_partitions:
         records = records.repartition(config.num_partitions)
     n = records.count()
@@ -69,9 +70,11 @@ def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitRes
                                      text_col="document_text", params=config.tfidf, keep=text)
     # read by the projection's three passes and by the cards
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    placed, _ = RD.layout2(feats, n_rows=n, keep=text)
+    placed, layout = RD.layout2(feats, n_rows=n, keep=text, method=config.layout, neighbours=config.neighbours,
+                                min_dist=config.min_dist, seed=config.seed)
     points = placed.select("record_id", "x", "y").checkpoint()
-    run = C.kmeans(points, config.k, config.restarts, config.seed, n_rows=n)
+    run = C.cluster_points(points, config.use_density, config.k, config.restarts, config.seed,
+                           config.min_cluster_size, config.min_samples, n)
     labelled = run.label(points).checkpoint()
     assignments = labelled.select("record_id", "cluster")
     sil = None
@@ -86,7 +89,7 @@ def fit(records: DataFrame, config: PipelineConfig = PipelineConfig()) -> FitRes
                             with_samples=config.make_generator is not None)
     cards = L.generated_cards(cards, config.make_generator).checkpoint()
     feats.unpersist()
-    return FitResult(points, assignments, stats, cards, kind)
+    return FitResult(points, assignments, stats, cards, kind, layout)
 
 
 def assignments_with_points(res: FitResult) -> DataFrame:

@@ -1439,7 +1439,10 @@ def t10_cjk_runs(spark, sf):
 # Exact nearest neighbours
 # ---------------------------------------------------------------------------
 
+from shoal.operators import density as DN  # noqa: E402
+from shoal.operators import layout as LY  # noqa: E402
 from shoal.operators import neighbors as NB  # noqa: E402
+from shoal.operators import spanning as SP  # noqa: E402
 
 
 @register("m2a_knn_cosine", """
@@ -1487,12 +1490,102 @@ def m4b_mutual_reach(spark, sf):
     return m.select("record_id", "neighbor_id", F.round("mreach", 6).alias("mreach"))
 
 
-@register("m4c_min_span_forest")
+# The spanning tree and the density clusters, edge by edge in one recursion over the candidate edges.
+_ORACLE_TREE = """gpts AS MATERIALIZED (SELECT row_number() OVER (ORDER BY record_id) AS i, record_id, x, y FROM epoints),
+gd AS (SELECT p.i AS u, q.i AS v, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM gpts p CROSS JOIN gpts q),
+gcore AS (SELECT u, max(d) AS core FROM (SELECT u, d, row_number() OVER (PARTITION BY u ORDER BY d, v) AS r FROM gd) WHERE r <= 3 GROUP BY u),
+gboth AS MATERIALIZED (SELECT gd.u, gd.v, greatest(cu.core, cv.core, gd.d) AS w
+          FROM gd JOIN gcore cu ON cu.u = gd.u JOIN gcore cv ON cv.u = gd.v WHERE gd.u <> gd.v),
+gm AS MATERIALIZED (SELECT u AS a, v AS b, w FROM gboth WHERE u < v),
+-- an edge is not in the tree if a third point is closer to both ends
+gout AS MATERIALIZED (SELECT DISTINCT gm.a, gm.b FROM gm JOIN gboth p ON p.u = gm.a AND p.w < gm.w JOIN gboth q ON q.u = gm.b AND q.v = p.v AND q.w < gm.w),
+gcand AS MATERIALIZED (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS k FROM gm ANTI JOIN gout USING (a, b)),
+"""
+
+# For each label its size, cluster, sum of 1 / distance of the points that left, and best choice below.
+_ORACLE_CLUSTERS = """gstart AS MATERIALIZED (SELECT list(i ORDER BY i) AS lab, list(CAST(1 AS BIGINT) ORDER BY i) AS sz, list(CAST(NULL AS VARCHAR) ORDER BY i) AS cl,
+                  list(CAST(0 AS DOUBLE) ORDER BY i) AS lam, list(CAST('-infinity' AS DOUBLE) ORDER BY i) AS inn,
+                  list(CAST(NULL AS VARCHAR) ORDER BY i) AS att, list(record_id ORDER BY i) AS ids FROM gpts),
+gwalk AS (
+  SELECT CAST(0 AS BIGINT) AS k, lab, sz, cl, lam, inn, att, ids, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b,
+         CAST(NULL AS DOUBLE) AS w, CAST([] AS STRUCT(cluster VARCHAR, parent VARCHAR, size BIGINT, stability DOUBLE, take BOOLEAN)[]) AS closed
+  FROM gstart
+  UNION ALL
+  SELECT k,
+         CASE WHEN same THEN lab ELSE list_transform(lab, lambda x: CASE WHEN x = hi THEN lo ELSE x END) END,
+         CASE WHEN same THEN sz ELSE list_transform(sz, lambda x, j: CASE WHEN j = lo THEN sx + sy ELSE x END) END,
+         CASE WHEN same THEN cl ELSE list_transform(cl, lambda x, j: CASE WHEN j = lo THEN zc ELSE x END) END,
+         CASE WHEN same THEN lam ELSE list_transform(lam, lambda x, j: CASE WHEN j = lo THEN zl ELSE x END) END,
+         CASE WHEN same THEN inn ELSE list_transform(inn, lambda x, j: CASE WHEN j = lo THEN zi ELSE x END) END,
+         CASE WHEN same OR zc IS NULL THEN att ELSE list_transform(att, lambda x, j: CASE WHEN x IS NULL AND (lab[j] = lo OR lab[j] = hi) THEN zc ELSE x END) END,
+         ids, CASE WHEN same THEN NULL ELSE a END, CASE WHEN same THEN NULL ELSE b END, w,
+         CASE WHEN NOT same AND cx IS NOT NULL AND cy IS NOT NULL THEN
+           [{'cluster': cx, 'parent': name, 'size': sx, 'stability': lx - sx * l, 'take': lx - sx * l >= ix},
+            {'cluster': cy, 'parent': name, 'size': sy, 'stability': ly - sy * l, 'take': ly - sy * l >= iy}] ELSE [] END
+  FROM (
+    SELECT *, CASE WHEN cx IS NOT NULL AND cy IS NOT NULL THEN name ELSE coalesce(cx, cy, CASE WHEN sx + sy >= 5 THEN name END) END AS zc,
+           CASE WHEN (cx IS NULL) = (cy IS NULL) THEN (sx + sy) * l WHEN cx IS NOT NULL THEN lx + sy * l ELSE ly + sx * l END AS zl,
+           CASE WHEN cx IS NOT NULL AND cy IS NOT NULL THEN greatest(lx - sx * l, ix) + greatest(ly - sy * l, iy)
+                WHEN cx IS NOT NULL THEN ix WHEN cy IS NOT NULL THEN iy ELSE CAST('-infinity' AS DOUBLE) END AS zi
+    FROM (
+      SELECT *, sz[lo] AS sx, sz[hi] AS sy, cl[lo] AS cx, cl[hi] AS cy, lam[lo] AS lx, lam[hi] AS ly, inn[lo] AS ix, inn[hi] AS iy
+      FROM (
+        SELECT g.k + 1 AS k, lab, sz, cl, lam, inn, att, ids, c.a, c.b, c.w, 1 / c.w AS l, lab[c.a] = lab[c.b] AS same,
+               least(lab[c.a], lab[c.b]) AS lo, greatest(lab[c.a], lab[c.b]) AS hi, ids[c.a] || ':' || ids[c.b] AS name
+        FROM gwalk g JOIN gcand c ON c.k = g.k + 1)))
+),
+glast AS (SELECT * FROM gwalk ORDER BY k DESC LIMIT 1),
+gclosed AS (SELECT c.* FROM (SELECT unnest(closed) AS c FROM gwalk)
+            UNION ALL SELECT cl[1], NULL, sz[1], lam[1], false FROM glast WHERE cl[1] IS NOT NULL),
+gcover AS (SELECT cluster, CAST(NULL AS VARCHAR) AS cover FROM gclosed WHERE parent IS NULL
+           UNION ALL SELECT c.cluster, coalesce(p.cover, CASE WHEN c.take THEN c.cluster END) FROM gclosed c JOIN gcover p ON p.cluster = c.parent),
+gspot AS (SELECT unnest(ids) AS record_id, unnest(att) AS cluster FROM glast),
+gfound AS (SELECT s.record_id, g.cover AS cluster FROM gspot s LEFT JOIN gcover g USING (cluster)),
+gnumber AS (SELECT cluster, row_number() OVER (ORDER BY min(record_id)) - 1 AS number FROM gfound WHERE cluster IS NOT NULL GROUP BY cluster)
+"""
+
+
+@register("m4c_min_span_forest", f"""
+WITH RECURSIVE {B.ORACLE_RECORDS}, {_ORACLE_TREE} {_ORACLE_CLUSTERS}
+SELECT ids[a] AS a, ids[b] AS b, round(w, 6) AS w FROM gwalk WHERE a IS NOT NULL
+""")
 def m4c_min_span_forest(spark, sf):
     t = NB.spanning_forest(B.emb_points(spark, sf), 3)
     return t.select("a", "b", F.round("w", 6).alias("w"))
 
 
+@register("m4d_condense_select", f"""
+WITH RECURSIVE {B.ORACLE_RECORDS}, {_ORACLE_TREE} {_ORACLE_CLUSTERS}
+SELECT c.cluster, c.parent, c.size, round(c.stability, 6) AS stability, coalesce(g.cover, '') = c.cluster AS taken
+FROM gclosed c JOIN gcover g USING (cluster)
+""")
+def m4d_condense_select(spark, sf):
+    """The condensed tree of the embeddings' points: every cluster with its parent, size, stability and whether it is taken."""
+    tree = SP.spanning_tree(B.emb_points(spark, sf), 3)
+    return DN.condensed_tree(tree, 5)[0].withColumn("stability", F.round("stability", 6))
+
+
+@register("m4_density", f"""
+WITH RECURSIVE {B.ORACLE_RECORDS}, {_ORACLE_TREE} {_ORACLE_CLUSTERS}
+SELECT record_id, CAST(coalesce(number, -1) AS INTEGER) AS cluster FROM gfound LEFT JOIN gnumber USING (cluster)
+""")
+def m4_density(spark, sf):
+    return DN.density(B.emb_points(spark, sf)).assignments
+
+
+@register("m5_noise_fallback", f"""
+WITH RECURSIVE {B.ORACLE_RECORDS}, {_ORACLE_TREE} {_ORACLE_CLUSTERS},
+st AS (SELECT count(*) AS n, count(*) FILTER (WHERE cluster IS NULL) AS noise, count(DISTINCT cluster) AS k FROM gfound)
+SELECT 'hdbscan' AS method, CASE WHEN noise > n * 0.5 THEN 'kmeans' ELSE 'hdbscan' END AS method_effective,
+       CAST(CASE WHEN noise > n * 0.5 THEN 8 ELSE k END AS INTEGER) AS n_clusters,
+       CAST(CASE WHEN noise > n * 0.5 THEN 0 ELSE noise END AS BIGINT) AS n_noise FROM st
+""")
+def m5_noise_fallback(spark, sf):
+    """Density clustering of the embeddings' points, with the switch to k-means on the measured noise."""
+    run = CL.cluster_points(B.emb_points(spark, sf).checkpoint(), use_density=True)
+    return run.run_stats(spark, None).drop("silhouette")
+
+
 @register("m5_noise_rule", f"""
 WITH {B.ORACLE_RECORDS}
 SELECT count(*) AS n, count(*) FILTER (WHERE cluster = -1) AS n_noise,
@@ -1505,3 +1598,47 @@ def m5_noise_rule(spark, sf):
     n = B.doc_assignments(spark, sf).count()
     return spark.createDataFrame([(n, s["n_noise"], CL.too_much_noise(s["n_noise"], n))],
                                  "n bigint, n_noise bigint, fallback boolean")
+
+
+# ---------------------------------------------------------------------------
+# The neighbour graph and its layout
+# ---------------------------------------------------------------------------
+
+NEIGHBOURS = 15
+
+
+def _emb_near(spark, sf):
+    emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding")
+    return NB.knn(emb, NEIGHBOURS - 1, vector_col="embedding", metric="cosine", include_self=False)
+
+
+@register("m2b_fuzzy_graph", f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id AS i, b.id AS j, 1 - list_cosine_similarity(a.v, b.v) AS d FROM e a CROSS JOIN e b WHERE a.id <> b.id),
+r AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM d) WHERE rk <= {NEIGHBOURS - 1}),
+rho AS MATERIALIZED (SELECT i, coalesce(min(CASE WHEN d > 0 THEN d END), 0) AS rho, sum(greatest(d, 0)) / {NEIGHBOURS} AS mean FROM r GROUP BY i),
+gaps AS MATERIALIZED (SELECT r.i, list(greatest(r.d - rho.rho, 0) ORDER BY rk) AS g FROM r JOIN rho USING (i) GROUP BY r.i),
+half AS (
+  SELECT i, g, 0 AS n, CAST(0 AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, CAST(1 AS DOUBLE) AS mid FROM gaps
+  UNION ALL
+  SELECT i, g, n + 1, nlo, nhi, CASE WHEN nhi IS NULL THEN mid * 2 ELSE (nlo + nhi) / 2 END
+  FROM (SELECT i, g, n, mid, CASE WHEN over THEN lo ELSE mid END AS nlo, CASE WHEN over THEN mid ELSE hi END AS nhi
+        FROM (SELECT *, list_sum(list_transform(g, lambda x: exp(-x / mid))) > log2({NEIGHBOURS}) AS over FROM half))
+  WHERE n < {LY.HALVINGS}
+),
+sc AS (SELECT half.i, greatest(half.mid, {LY.LEAST_SCALE} * rho.mean) AS s, rho.rho FROM half JOIN rho USING (i) WHERE n = {LY.HALVINGS}),
+w AS (SELECT r.i, r.j, exp(-greatest(r.d - sc.rho, 0) / sc.s) AS w FROM r JOIN sc USING (i)),
+p AS (SELECT least(i, j) AS a, greatest(i, j) AS b, coalesce(max(CASE WHEN i < j THEN w END), 0) AS x,
+             coalesce(max(CASE WHEN i > j THEN w END), 0) AS y FROM w GROUP BY ALL)
+SELECT a, b, round(x + y - x * y, 6) AS w FROM p
+""")
+def m2b_fuzzy_graph(spark, sf):
+    g = LY.fuzzy_graph(_emb_near(spark, sf), NEIGHBOURS)
+    return g.select("a", "b", F.round("w", 6).alias("w"))
+
+
+@register("m2c_layout_epochs")
+def m2c_layout_epochs(spark, sf):
+    """The layout of the embeddings from their neighbour graph, started at two fixed projections."""
+    pts = LY.layout_epochs(LY.fuzzy_graph(_emb_near(spark, sf), NEIGHBOURS).checkpoint(), B.emb_points(spark, sf))
+    return pts.select("record_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
