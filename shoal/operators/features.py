@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions import text as TX
+from shoal.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -63,17 +64,38 @@ def ngrams(tokens: Column, n_max: int = 2) -> Column:
     return F.concat(*out) if len(out) > 1 else tokens
 
 
+def tokens(df: DataFrame, text_col: str = "document_text", id_col: str = "record_id",
+           keep: tuple[str, ...] = ()) -> DataFrame:
+    """T1 + P6: ``(record_id, _tok ARRAY<STRING>)`` per document, and the columns in ``keep``."""
+    src = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_text"), *keep)
+    return src.select("record_id", *keep, TX.word_tokens(TX.blank_to_space(F.col("_text"))).alias("_tok"))
+
+
 def terms(df: DataFrame, text_col: str = "document_text", id_col: str = "record_id",
           ngram_max: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """T1 + T2 + P6: ``(record_id, terms ARRAY<STRING>)`` per document, and the columns in ``keep``.
 
     The token array is projected once, then the n-grams read that column.
     """
-    src = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("_text"), *keep)
-    toks = src.select("record_id", *keep, TX.word_tokens(TX.blank_to_space(F.col("_text"))).alias("_tok"))
+    toks = tokens(df, text_col, id_col, keep)
     return toks.select("record_id", *keep, ngrams(F.col("_tok"), ngram_max).alias("terms"))
 
 
+def _only(toks: DataFrame, words: list[str]) -> DataFrame:
+    """Tokens outside ``words`` become null in their place (a hash set in the row, no join)."""
+    return toks.withColumn("_tok", F.transform("_tok", lambda t: F.when(t.isin(words), t)))
+
+
+def _whole(a: Column) -> Column:
+    return F.filter(a, lambda t: t.isNotNull())
+
+
+def _bigrams(tok: Column) -> Column:
+    """The bigrams of neighbouring tokens that are both there (null marks a token left out)."""
+    m = F.greatest(F.size(tok) - 1, F.lit(0))
+    return F.zip_with(F.slice(tok, 1, m), F.slice(tok, 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def with_term_counts(term_df: DataFrame, terms_col: str = "terms", out_col: str = "tc") -> DataFrame:
     """Add per-document ``ARRAY<STRUCT<term, tf>>`` counted inside the row (no shuffle).
 
@@ -111,40 +133,73 @@ def term_stats(term_df: DataFrame) -> DataFrame:
 
 # -- T3 / T4 / T6 -------------------------------------------------------------
 
+#: Up to so many frequent words serve to prune bigrams (a literal set in the plan); beyond, all bigrams are counted.
+MOST_PRUNING = 20_000
+
+
+def _within(params: TfidfParams, n_docs: int) -> Column:
+    """The document frequencies allowed."""
+    most = params.max_df * n_docs if isinstance(params.max_df, float) else params.max_df
+    if most < params.min_df:
+        raise EmptyVocabulary("max_df corresponds to fewer documents than min_df")
+    return (F.col("df") >= params.min_df) & (F.col("df") <= F.lit(most))
+
+
+def _top(stats: DataFrame, params: TfidfParams) -> DataFrame:
+    return stats.orderBy(F.col("ctf").desc(), F.col("term").asc()).limit(params.max_features)
+
+
 def vocabulary(term_df: DataFrame, n_docs: int, params: TfidfParams = TfidfParams()) -> DataFrame:
     """T3 + T4: terms with ``min_df <= df <= max_df * N``, top ``max_features`` by
-    corpus frequency (ties by term), indexed in term order: ``(idx, term, df)``."""
-    max_doc_count = params.max_df * n_docs if isinstance(params.max_df, float) else params.max_df
-    if max_doc_count < params.min_df:
-        raise EmptyVocabulary("max_df corresponds to fewer documents than min_df")
-    st = term_stats(term_df).where((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(max_doc_count)))
-    top = st.orderBy(F.col("ctf").desc(), F.col("term").asc()).limit(params.max_features)
-    return top.select("term", "df")
+    corpus frequency (ties by term): ``(term, df)``.  Counts every term."""
+    return _top(term_stats(term_df).where(_within(params, n_docs)), params).select("term", "df")
+
+
+def pruned_vocabulary(toks: DataFrame, n_docs: int, params: TfidfParams = TfidfParams()) -> DataFrame:
+    """The rows of :func:`vocabulary` for words and bigrams, without counting all bigrams.
+
+    Words are counted first.  If ``max_features`` of them are allowed, the last
+    one's frequency is a bound that every term of the vocabulary reaches.  A
+    bigram occurs at most as often as either of its words, so one with a word
+    below the bound can't be in: only bigrams of frequent words are counted
+    and shuffled, and the vocabulary is the same.
+    """
+    allowed = _within(params, n_docs)
+    if params.ngram_max != 2:
+        return vocabulary(toks.select("record_id", ngrams(F.col("_tok"), params.ngram_max).alias("terms")), n_docs, params)
+    ensure_checkpoint_dir(toks.sparkSession)
+    words = term_stats(toks.select("record_id", F.col("_tok").alias("terms"))).checkpoint()
+    best = _top(words.where(allowed), params)
+    last = best.agg(F.count(F.lit(1)).alias("n"), F.min("ctf").alias("ctf")).first()
+    bound = max(params.min_df, last["ctf"] if last["n"] >= params.max_features else 0)
+    often = [r["term"] for r in words.where(F.col("ctf") >= bound).select("term").limit(MOST_PRUNING + 1).collect()]
+    kept = toks if len(often) > MOST_PRUNING else _only(toks, often)
+    pairs = kept.select("record_id", "_tok").select("record_id", _whole(_bigrams(F.col("_tok"))).alias("terms"))
+    return _top(best.unionByName(term_stats(pairs).where(allowed)), params).select("term", "df")
 
 
 def fit_vocabulary(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams()):
-    """T3/T4 with the T6 fallback; returns ``(term_df, vocab list, df list, n_docs, used_fallback)``.
+    """T3/T4 with the T6 fallback; returns ``(vocab list, df list, n_docs, used_fallback)``.
 
     The vocabulary (at most ``max_features`` rows) is the one driver-side
     result; it configures the JVM-side vectoriser.
     """
-    tdf = terms(df, text_col, ngram_max=params.ngram_max)
+    toks = tokens(df, text_col)
     n_docs = df.count()
     rows = []
     try:
-        rows = vocabulary(tdf, n_docs, params).collect()
+        rows = pruned_vocabulary(toks, n_docs, params).collect()
     except EmptyVocabulary:
         rows = []
     fallback = False
     if not rows:
         fallback = True
-        tdf = terms(df, text_col, ngram_max=1)
         p2 = TfidfParams(max_features=params.fallback_max_features, ngram_max=1, min_df=1, max_df=1.0)
-        rows = vocabulary(tdf, n_docs, p2).collect()
+        rows = vocabulary(toks.select("record_id", F.col("_tok").alias("terms")), n_docs, p2).collect()
         if not rows:
             raise EmptyVocabulary("empty vocabulary: the documents contain no tokens")
     rows = sorted(rows, key=lambda r: r["term"])
-    return tdf, [r["term"] for r in rows], [int(r["df"]) for r in rows], n_docs, fallback
+    return [r["term"] for r in rows], [int(r["df"]) for r in rows], n_docs, fallback
 
 
 def smooth_idf(df_count: int, n_docs: int) -> float:
@@ -155,21 +210,20 @@ def smooth_idf(df_count: int, n_docs: int) -> float:
 # -- T5 / T7 ------------------------------------------------------------------
 
 def tfidf_long(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams()) -> DataFrame:
-    """T5 long form ``(record_id, term, weight)``, with the T6 fallback of the vector path.
+    """T5 long form ``(record_id, term, weight)``, with the T6 fallback: the vectors' entries, no shuffle.
 
-    Term counts come from the row; the vocabulary (at most ``max_features``
-    rows, so a proven broadcast size) is hash-joined; the L2 norm is a window
-    on the document, i.e. one shuffle of the kept weights only.
+    A document's counts, weights and norm are taken in its row; the vocabulary
+    (at most ``max_features`` terms) is a literal array.
     """
-    from pyspark.sql import Window
+    from pyspark.ml.functions import vector_to_array
 
-    tdf, words, dfs, n, _ = fit_vocabulary(df, text_col, params)
-    vocab = df.sparkSession.createDataFrame(
-        [(w, smooth_idf(d, n)) for w, d in zip(words, dfs)], "term string, idf double")
-    w = doc_term_freqs(tdf).join(F.broadcast(vocab), "term").select(
-        "record_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("record_id")))
-    return w.select("record_id", "term", (F.col("w") / norm).alias("weight"))
+    model = fit_tfidf(df, text_col, params)
+    entries = model.transform(df, text_col).select("record_id", vector_to_array("features").alias("_v"))
+    words = F.array(*map(F.lit, model.vocabulary))
+    pairs = F.filter(F.zip_with("_v", words, lambda w, t: F.struct(t.alias("term"), w.alias("weight"))), lambda e: e["weight"] > 0)
+    # explode_outer: an inner explode would repeat the vectors for an inferred size filter
+    return entries.select("record_id", pairs.alias("_p")).select("record_id", F.explode_outer("_p").alias("e")) \
+        .where(F.col("e").isNotNull()).select("record_id", "e.term", "e.weight")
 
 
 @dataclass
@@ -189,16 +243,29 @@ class TfidfModel:
         from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
         from pyspark.ml.linalg import Vectors
 
-        tdf = terms(df, text_col, id_col, ngram_max=self.ngram_max, keep=keep)
+        tdf = self._terms(tokens(df, text_col, id_col, keep), keep)
         cv = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="terms", outputCol="_tf")
         ep = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w")
         nz = Normalizer(p=2.0, inputCol="_w", outputCol=output_col)
         return nz.transform(ep.transform(cv.transform(tdf))).select("record_id", *keep, output_col)
 
+    def _terms(self, toks: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        """The terms that may be in the vocabulary: n-grams are only joined where all their words are in some term of it."""
+        if self.ngram_max > 2:
+            return toks.select("record_id", *keep, ngrams(F.col("_tok"), self.ngram_max).alias("terms"))
+        tok = F.col("_tok")
+        some = _only(toks, _words_of(self.vocabulary)).select("record_id", *keep, "_tok")
+        every = _whole(tok) if self.ngram_max == 1 else F.concat(_whole(tok), _whole(_bigrams(tok)))
+        return some.select("record_id", *keep, every.alias("terms"))
+
+
+def _words_of(vocabulary: list[str]) -> list[str]:
+    return sorted({w for t in vocabulary for w in t.split(" ")})
+
 
 def fit_tfidf(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams()) -> TfidfModel:
     """Fit the vocabulary and idf; T7 via :meth:`TfidfModel.transform`."""
-    _, vocab, dfs, n_docs, fallback = fit_vocabulary(df, text_col, params)
+    vocab, dfs, n_docs, fallback = fit_vocabulary(df, text_col, params)
     return TfidfModel(vocab, [smooth_idf(d, n_docs) for d in dfs], n_docs, fallback,
                       1 if fallback else params.ngram_max)
 

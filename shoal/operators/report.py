@@ -169,14 +169,22 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     return dist.join(stores, "cluster")
 
 
-def crosstab(df: DataFrame, row_col: str, col_col: str, values: list[str]) -> DataFrame:
+#: Column for the values that a crosstab doesn't list.
+OTHER_COLUMN = "other values"
+
+
+def crosstab(df: DataFrame, row_col: str, col_col: str, values: list[str], rest: bool = False) -> DataFrame:
     """Zero-filled counts of ``row_col`` x ``col_col``, one column per listed value.
 
-    A null column value is counted under ``NULL_COLUMN`` if that is listed; values not
-    listed are left out.  Where the values aren't known, use :func:`crosstab_long`.
+    A null column value is counted under ``NULL_COLUMN`` if that is listed.  With
+    ``rest``, values not listed are counted under ``OTHER_COLUMN`` and all rows under
+    ``total``; without, they are left out.  Where the values aren't known, use :func:`crosstab_long`.
     """
     col = F.coalesce(F.col(col_col).cast("string"), F.lit(NULL_COLUMN))
-    return df.groupBy(row_col).agg(*[F.count_if(col == v).alias(v) for v in values])
+    counts = [F.count_if(col == v).alias(v) for v in values]
+    if rest:
+        counts += [F.count_if(~col.isin(values)).alias(OTHER_COLUMN), F.count(F.lit(1)).alias("total")]
+    return df.groupBy(row_col).agg(*counts)
 
 
 def crosstab_long(df: DataFrame, row_col: str, col_col: str, values: list[str] | None = None) -> DataFrame:

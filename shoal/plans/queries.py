@@ -553,11 +553,23 @@ LANGS = ["de", "en", "es", "fr"]
 
 @register("a7_crosstab_category", f"""
 WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_LABELLED}
-SELECT cluster_label, {", ".join(f"count(*) FILTER (category_name = '{v}') AS {v}" for v in LANGS)}
+SELECT cluster_label, {", ".join(f"count(*) FILTER (category_name = '{v}') AS {v}" for v in LANGS)},
+       count(*) FILTER (category_name IS NULL) AS "{R.NULL_COLUMN}",
+       count(*) FILTER (category_name NOT IN ({_sql_list(LANGS)})) AS "{R.OTHER_COLUMN}", count(*) AS total
 FROM lab GROUP BY cluster_label
 """)
 def a7_crosstab_category(spark, sf):
-    return R.crosstab(_labelled(spark, sf), "cluster_label", "category_name", LANGS)
+    """Every row is counted: null and all other values have columns of their own, and the columns add up to ``total``."""
+    return R.crosstab(_labelled(spark, sf), "cluster_label", "category_name", [*LANGS, R.NULL_COLUMN], rest=True)
+
+
+@register("a7_crosstab_found", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_WORDS}, {_ORACLE_SAMPLES}, {_ORACLE_CARDS}, {_ORACLE_LABELLED}
+SELECT cluster_label, coalesce(category_name, '{R.NULL_COLUMN}') AS category_name, count(*) AS n FROM lab GROUP BY ALL
+""")
+def a7_crosstab_found(spark, sf):
+    """The long form over the values that the data hold."""
+    return R.crosstab_long(_labelled(spark, sf), "cluster_label", "category_name")
 
 
 @register("a8_cluster_counts_only", f"""
@@ -800,7 +812,7 @@ SELECT term, df FROM vocab
 """)
 def t4_vocab_top(spark, sf):
     d = _doc_recs(spark, sf)
-    return FT.vocabulary(FT.terms(d), d.count())
+    return FT.pruned_vocabulary(FT.tokens(d), d.count())
 
 
 @register("t5_tfidf", f"""
@@ -1391,16 +1403,20 @@ def j7_files_without_sheet(spark, sf):
     return G.files_without_sheet(files, cells)
 
 
-@register("t6_tfidf_fallback", """
-WITH t AS (SELECT doc_id AS record_id, 'w' || CAST(doc_id AS VARCHAR) AS term FROM documents),
-v AS (SELECT term FROM t ORDER BY term LIMIT 500)
-SELECT record_id, term, CAST(1.0 AS DOUBLE) AS weight FROM t JOIN v USING (term)
+@register("t6_tfidf_fallback", f"""
+WITH {B.ORACLE_RECORDS},
+tok AS (SELECT record_id, unnest(regexp_extract_all(lower(document_text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM docrec),
+tf AS (SELECT record_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+st AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM tf GROUP BY term),
+v AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM docrec)) / (1.0::DOUBLE + df)) + 1 AS idf FROM st ORDER BY ctf DESC, term LIMIT 500),
+w AS (SELECT record_id, term, tf * idf AS w FROM tf JOIN v USING (term))
+SELECT record_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY record_id)), 6) AS weight FROM w
 """)
 def t6_tfidf_fallback(spark, sf):
-    """Every text is one word of its own, so no term is in two documents: the fallback vocabulary applies."""
-    d = _docs(spark, sf).select(F.col("doc_id").alias("record_id"),
-                                F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("document_text"))
-    return FT.tfidf_long(d).withColumn("weight", F.round("weight", 6))
+    """The fallback over the whole texts: a least document frequency that no term reaches leaves the first vocabulary empty."""
+    d = _doc_recs(spark, sf)
+    t = FT.tfidf_long(d, params=FT.TfidfParams(min_df=d.count() + 1, max_df=10 ** 12))
+    return t.withColumn("weight", F.round("weight", 6))
 
 
 # ---------------------------------------------------------------------------
