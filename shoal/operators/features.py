@@ -20,6 +20,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,20 +185,22 @@ def fit_vocabulary(df: DataFrame, text_col: str = "document_text", params: Tfidf
     The vocabulary (at most ``max_features`` rows) is the one driver-side
     result; it configures the JVM-side vectoriser.
     """
-    toks = tokens(df, text_col)
-    n_docs = df.count()
-    rows = []
+    toks = tokens(df, text_col).persist(StorageLevel.MEMORY_AND_DISK)       # read by the counts of words and of bigrams
     try:
-        rows = pruned_vocabulary(toks, n_docs, params).collect()
-    except EmptyVocabulary:
+        n_docs = toks.count()
         rows = []
-    fallback = False
-    if not rows:
-        fallback = True
-        p2 = TfidfParams(max_features=params.fallback_max_features, ngram_max=1, min_df=1, max_df=1.0)
-        rows = vocabulary(toks.select("record_id", F.col("_tok").alias("terms")), n_docs, p2).collect()
-        if not rows:
-            raise EmptyVocabulary("empty vocabulary: the documents contain no tokens")
+        try:
+            rows = pruned_vocabulary(toks, n_docs, params).collect()
+        except EmptyVocabulary:
+            rows = []
+        fallback = not rows
+        if fallback:
+            p2 = TfidfParams(max_features=params.fallback_max_features, ngram_max=1, min_df=1, max_df=1.0)
+            rows = vocabulary(toks.select("record_id", F.col("_tok").alias("terms")), n_docs, p2).collect()
+            if not rows:
+                raise EmptyVocabulary("empty vocabulary: the documents contain no tokens")
+    finally:
+        toks.unpersist()
     rows = sorted(rows, key=lambda r: r["term"])
     return [r["term"] for r in rows], [int(r["df"]) for r in rows], n_docs, fallback
 
@@ -219,7 +222,7 @@ def tfidf_long(df: DataFrame, text_col: str = "document_text", params: TfidfPara
 
     model = fit_tfidf(df, text_col, params)
     entries = model.transform(df, text_col).select("record_id", vector_to_array("features").alias("_v"))
-    words = F.array(*map(F.lit, model.vocabulary))
+    words = F.split(F.lit("\n".join(model.vocabulary)), "\n")                # one literal once folded; a term has no line break
     pairs = F.filter(F.zip_with("_v", words, lambda w, t: F.struct(t.alias("term"), w.alias("weight"))), lambda e: e["weight"] > 0)
     # explode_outer: an inner explode would repeat the vectors for an inferred size filter
     return entries.select("record_id", pairs.alias("_p")).select("record_id", F.explode_outer("_p").alias("e")) \

@@ -111,3 +111,33 @@ def test_crosstab_counts_nulls_and_fills_zeros(spark):
     assert wide == {"a": (1, 1, 0), None: (1, 0, 0)}
     long = {(r["r"], r["c"]): r["n"] for r in R.crosstab_long(df, "r", "c", ["x", "null"]).collect()}
     assert long == {("a", "x"): 1, ("a", "null"): 1, (None, "x"): 1, (None, "null"): 0}
+
+
+def test_pruned_vocabulary_is_the_whole_one(spark):
+    """Counting only bigrams of frequent words changes nothing, for small and large vocabularies, ties included."""
+    from shoal.operators import features as FT
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS record_id", "text AS document_text")
+    toks, n = FT.tokens(docs), docs.count()
+    for most in (5, 60, 400, 10 ** 6):
+        for min_df in (1, 3):
+            p = FT.TfidfParams(max_features=most, min_df=min_df)
+            assert FT.pruned_vocabulary(toks, n, p).collect() == FT.vocabulary(FT.terms(docs), n, p).collect()
+
+
+def test_crosstab_columns_add_up(spark):
+    from shoal.operators import report as R
+    df = spark.createDataFrame([("x", "a"), ("x", None), ("y", "q"), ("y", "b"), ("y", "z")], "r string, c string")
+    got = {r["r"]: r.asDict() for r in R.crosstab(df, "r", "c", ["a", "b", R.NULL_COLUMN], rest=True).collect()}
+    assert got["y"] == {"r": "y", "a": 0, "b": 1, R.NULL_COLUMN: 0, R.OTHER_COLUMN: 2, "total": 3}
+    assert all(sum(v for k, v in r.items() if k not in ("r", "total")) == r["total"] for r in got.values())
+
+
+def test_fit_with_density_and_neighbour_layout(spark):
+    from shoal.plans.pipeline import PipelineConfig, fit
+    words = ["apple pear plum cherry", "engine wheel brake clutch", "river lake ocean stream"]
+    rows = [(i, " ".join([words[i % 3]] * 3) + f" extra{i % 7} note{i % 5}") for i in range(60)]
+    records = spark.createDataFrame(rows, "record_id long, document_text string")
+    res = fit(records, PipelineConfig(use_density=True, layout="neighbours", word_pattern=r"\p{L}+", restarts=2))
+    stats = res.run_stats.first()
+    assert res.layout == "neighbours" and stats["method"] == "hdbscan" and res.points.count() == 60
+    assert stats["n_clusters"] >= 2 and res.cards.count() >= stats["n_clusters"]
