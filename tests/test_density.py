@@ -53,7 +53,7 @@ def test_labels_are_those_of_the_definition(spark, name, monkeypatch):
     monkeypatch.setattr(D, "FAN", 2)                          # several levels of groups
     pts = CASES[name]
     df = frame(spark, pts)
-    for least, samples, size in ((5, 3, 60), (8, 2, 2048))[:2 if name in ("nested", "copies") else 1]:
+    for least, samples, size in ((5, 3, 90), (8, 2, 2048))[:2 if name in ("nested", "copies") else 1]:
         tree = S.spanning_tree(df, samples, block_size=size)
         got = D.numbered(D.condensed_tree(tree, least)[1])
         assert [r["cluster"] for r in got.orderBy("record_id").collect()] == labels_of(pts, least, samples)
@@ -103,7 +103,8 @@ def test_noise_fallback_switches_to_kmeans(spark):
     grouped = C.cluster_points(frame(spark, blobs(1)), use_density=True, restarts=2)
     assert (grouped.method, grouped.method_effective) == ("hdbscan", "hdbscan") and grouped.n_clusters >= 3
     rng = np.random.default_rng(6)
-    sparse = np.concatenate([rng.uniform(-100, 100, (60, 2)), rng.normal(size=(12, 2)) * 0.01, rng.normal(size=(12, 2)) * 0.01 + 5])
+    far = 20 * 1.3 ** np.arange(40)                           # each farther out than the last two are apart: they leave one by one
+    sparse = np.concatenate([rng.normal(size=(12, 2)) * 0.01, rng.normal(size=(12, 2)) * 0.01 + 5, np.c_[far, -far]])
     assert sum(c < 0 for c in labels_of(sparse, 5, 3)) * 2 > len(sparse)
     run = C.cluster_points(frame(spark, sparse), use_density=True, k=4, restarts=2)
     assert (run.method, run.method_effective, run.n_clusters, run.n_noise) == ("hdbscan", "kmeans", 4, 0)
