@@ -11,6 +11,10 @@ combined by a two-level aggregate.
 ``squared_euclidean`` is Spark's ``ClusteringEvaluator`` score: exact for
 squared distances, O(n * k) work, for clusterings too large for the
 all-pairs score.  It is a different number, named as such.
+
+``euclidean_tree`` is the reference's score from a tree of blocks
+(:mod:`shoal.operators.silhouette_tree`): near blocks exactly, far ones within a
+proven bound, which :func:`silhouette_within` returns.
 """
 
 from __future__ import annotations
@@ -88,4 +92,17 @@ def silhouette(points: DataFrame, method: str = "euclidean", block_size: int = B
         ev = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster", metricName="silhouette",
                                  distanceMeasure="squaredEuclidean")
         return float(ev.evaluate(v.withColumn("cluster", F.col("cluster").cast("double"))))
+    if method == "euclidean_tree":
+        return silhouette_within(valid, n_clusters=n_clusters)[0]
     return float(silhouette_samples(valid, block_size, n).agg(F.avg("s")).first()[0])
+
+
+def silhouette_within(points: DataFrame, tolerance: float = 0.01, n_clusters: int | None = None) -> tuple[float, float] | None:
+    """``(mean silhouette, bound)``: the euclidean score lies within ``bound``; None where :func:`silhouette` is None."""
+    from shoal.operators.silhouette_tree import silhouette_bounds
+
+    st = silhouette_bounds(points, tolerance).agg(F.avg("s").alias("s"), F.avg("bound").alias("b"), F.count(F.lit(1)).alias("n"),
+                                                  F.count_distinct("cluster").alias("k")).first()
+    if st["k"] < 2 or st["n"] <= (n_clusters if n_clusters is not None else st["k"]):
+        return None
+    return float(st["s"]), float(st["b"])

@@ -38,7 +38,7 @@ class PipelineConfig:
     layout: str = "pca"                 # or "neighbours": the neighbour-graph layout
     neighbours: int = 15
     min_dist: float = 0.1
-    silhouette: str = "squared_euclidean"   # O(n*k); "euclidean" is the all-pairs score, by explicit choice
+    silhouette: str = "squared_euclidean"   # O(n*k); "euclidean" is the all-pairs score, "euclidean_tree" the same within a bound
     num_partitions: int | None = None   # deal the records anew where the scan has too few splits
     tfidf: FT.TfidfParams = field(default_factory=FT.TfidfParams)
     word_pattern: str = TX.CJK_RUN      # label words; T10 default
