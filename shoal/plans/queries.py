@@ -846,6 +846,7 @@ def t7_assemble_features(spark, sf):
 from shoal.operators import cluster as CL  # noqa: E402
 from shoal.operators import evaluate as EV  # noqa: E402
 from shoal.operators import reduce as RD  # noqa: E402
+from shoal.operators import silhouette_tree as ST  # noqa: E402
 from shoal.plans import pipeline as PL  # noqa: E402
 
 
@@ -875,6 +876,91 @@ def m7_fit(spark, sf):
                     _joined("frequent_words"), "count")
 
 
+# the covariance times itself, divided by the trace: after 16 times its first component alone is left
+_SQUARED = """SELECT t + 1, list_transform(m, lambda r: list_transform(m, lambda k: list_dot_product(r, k) / list_sum(list_transform(m, lambda z: list_dot_product(z, z)))))"""
+# the row as a unit vector whose largest loading is positive
+_SIGNED = """SELECT list_transform(r, lambda z: z / sqrt(list_dot_product(r, r)) * sign(r[list_position(list_transform(r, lambda q: abs(q)), list_max(list_transform(r, lambda q: abs(q))))])) AS v"""
+
+
+@register("m1_pca2_embeddings", f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT i, avg(v) AS mu FROM e GROUP BY i),
+c AS (SELECT e.id, e.i, e.v - m.mu AS v FROM e JOIN means m USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS s FROM c a JOIN c b USING (id) GROUP BY ALL),
+mat AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM cov GROUP BY i)),
+one AS (SELECT 0 AS t, m FROM mat UNION ALL
+        {_SQUARED}
+        FROM one WHERE t < 16),
+v1 AS ({_SIGNED}
+       FROM (SELECT unnest(m) AS r FROM one WHERE t = 16) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+left2 AS (SELECT list_transform(m, lambda r, a: list_transform(r, lambda z, b: z - v[a] * v[b] * list_dot_product(v, list_transform(m, lambda k: list_dot_product(k, v))))) AS m
+          FROM mat, v1),
+two AS (SELECT 0 AS t, m FROM left2 UNION ALL
+        {_SQUARED}
+        FROM two WHERE t < 16),
+v2 AS ({_SIGNED}
+       FROM (SELECT unnest(m) AS r FROM two WHERE t = 16) ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+rows AS (SELECT id, list(v ORDER BY i) AS r FROM c GROUP BY id)
+SELECT id AS record_id, round(list_dot_product(r, v1.v), 6) AS x, round(list_dot_product(r, v2.v), 6) AS y FROM rows, v1, v2
+""")
+def m1_pca2_embeddings(spark, sf):
+    from pyspark.ml.functions import array_to_vector
+    emb = read_table(spark, sf, "embeddings")
+    feats = emb.select(F.col("vec_id").cast("bigint").alias("record_id"),
+                       array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return RD.pca2(feats).select("record_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def _cost(points, centres):
+    return CL.assign_nearest(points, centres).agg(F.sum("d2")).first()[0]
+
+
+@register("m3_kmeans_checks", """
+SELECT count(*) AS points, CAST(8 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS wrong_labels, TRUE AS settled, TRUE AS best_of_restarts
+FROM embeddings
+""")
+def m3_kmeans_checks(spark, sf):
+    """What holds for any right k-means: each point has the label of the nearest centre, another Lloyd step
+    hardly lowers the cost and never raises it, and more restarts never cost more than one."""
+    from shoal.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    pts = B.emb_points(spark, sf).checkpoint()
+    run, single = CL.kmeans(pts, k=8), CL.kmeans(pts, k=8, restarts=1)
+
+    def centres(r):
+        return [(i, float(c[0]), float(c[1])) for i, c in enumerate(r.model.clusterCenters())]
+    cost, once = _cost(pts, centres(run)), _cost(pts, centres(single))
+    after = _cost(pts, CL.centres_of(CL.lloyd_step(pts, centres(run))))
+    # centres lie apart by far more than the digits in which two computations of a distance may differ
+    near = CL.assign_nearest(pts, centres(run)).select("record_id", F.col("cluster").alias("nearest"))
+    return run.assignments.join(near, "record_id").agg(
+        F.count(F.lit(1)).alias("points"), F.count_distinct("cluster").alias("clusters"),
+        F.count_if(F.col("cluster") != F.col("nearest")).alias("wrong_labels"),
+        F.lit(cost * 0.99 <= after <= cost * (1 + 1e-9)).alias("settled"), F.lit(cost <= once * (1 + 1e-9)).alias("best_of_restarts"))
+
+
+@register("m7_fit_checks", """
+SELECT count(*) AS records, count(*) AS carded, CAST(8 AS BIGINT) AS clusters, TRUE AS centred, TRUE AS orthogonal,
+       TRUE AS first_is_wider, TRUE AS scored, CAST(0 AS BIGINT) AS wrong_sizes
+FROM documents
+""")
+def m7_fit_checks(spark, sf):
+    """What holds for any right fit: every record has one point and one label, points are centred and their coordinates
+    uncorrelated, the first one being the wider, and every card counts its cluster's records."""
+    res = _doc_fit(spark, sf)
+    labelled = res.points.join(res.assignments, "record_id")
+    seen = labelled.agg(F.count_distinct("record_id").alias("n"), F.count(F.lit(1)).alias("rows"), F.avg("x").alias("mx"),
+                        F.avg("y").alias("my"), F.corr("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy")).first()
+    score = res.run_stats.first()["silhouette"]
+    sizes = res.assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return res.cards.select("cluster", "count").join(sizes, "cluster", "full").agg(
+        F.lit(seen["n"] if seen["n"] == seen["rows"] else -1).cast("bigint").alias("records"), F.sum("count").alias("carded"),
+        F.count("size").alias("clusters"), F.lit(max(abs(seen["mx"]), abs(seen["my"])) < 1e-9).alias("centred"),
+        F.lit(abs(seen["r"]) < 1e-6).alias("orthogonal"), F.lit(seen["vx"] >= seen["vy"]).alias("first_is_wider"),
+        F.lit(score is not None and -1 <= score <= 1).alias("scored"),
+        F.count_if(~F.col("count").eqNullSafe(F.col("size"))).alias("wrong_sizes"))
+
+
 def _emb_points(spark, sf):
     return B.emb_points(spark, sf).join(B.emb_assignments(spark, sf), "record_id")
 
@@ -912,8 +998,7 @@ def m3b_lloyd_step(spark, sf):
     return st.select("cluster", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "n")
 
 
-@register("m6_silhouette", f"""
-WITH {B.ORACLE_RECORDS},
+_ORACLE_SILHOUETTE = """
 pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM epoints p JOIN eassignments a USING (record_id) WHERE a.cluster >= 0),
 pair AS (SELECT i.record_id, i.cluster AS own, j.cluster, sum(sqrt((i.x - j.x) * (i.x - j.x) + (i.y - j.y) * (i.y - j.y))) AS s,
                 count(*) AS c
@@ -922,8 +1007,13 @@ per AS (SELECT record_id, max(CASE WHEN cluster = own THEN c END) AS oc,
                max(CASE WHEN cluster = own AND c > 1 THEN s / (c - 1) END) AS a,
                min(CASE WHEN cluster <> own THEN s / c END) AS b
         FROM pair GROUP BY record_id),
-sc AS (SELECT CASE WHEN oc <= 1 OR greatest(a, b) IS NULL OR greatest(a, b) = 0 THEN 0
+sc AS (SELECT record_id, CASE WHEN oc <= 1 OR greatest(a, b) IS NULL OR greatest(a, b) = 0 THEN 0
                    ELSE (b - a) / greatest(a, b) END AS s FROM per)
+"""
+
+
+@register("m6_silhouette", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_SILHOUETTE}
 SELECT round(avg(s), 6) AS silhouette, count(*) AS n FROM sc
 """)
 def m6_silhouette(spark, sf):
@@ -931,6 +1021,19 @@ def m6_silhouette(spark, sf):
     return s.agg(F.round(F.avg("s"), 6).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
+@register("m6_silhouette_tree", f"""
+WITH {B.ORACLE_RECORDS}, {_ORACLE_SILHOUETTE}
+SELECT record_id, round(s, 6) AS exact, TRUE AS within, TRUE AS narrow FROM sc
+""")
+def m6_silhouette_tree(spark, sf):
+    """Silhouettes by the tree of blocks beside the exact ones, which have to lie within the bound."""
+    pts = _emb_points(spark, sf).checkpoint()
+    tree = ST.silhouette_bounds(pts, tolerance=0.01, block_size=16).select("record_id", F.col("s").alias("near"), "bound")
+    both = EV.silhouette_samples(pts).join(tree, "record_id")
+    return both.select("record_id", F.round("s", 6).alias("exact"), (F.abs(F.col("s") - F.col("near")) <= F.col("bound") + 1e-9).alias("within"),
+                       (F.col("bound") < 0.1).alias("narrow"))
+
+
 _ORACLE_SQUARED = """
 pts AS (SELECT p.record_id, p.x, p.y, a.cluster FROM epoints p JOIN eassignments a USING (record_id) WHERE a.cluster >= 0),
 cs AS (SELECT cluster, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS sq FROM pts GROUP BY cluster),
