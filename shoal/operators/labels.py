@@ -125,16 +125,33 @@ def word_occurrences(df: DataFrame, text_col: str = "document_text", cluster_col
     return occ.where(keep)
 
 
-def word_counts(df: DataFrame, **kw) -> DataFrame:
+#: Positions that a record has room for where its id and a position make one number, and the number of a null id, before all others.
+_PLACES, _NO_ID = 1 << 32, -(1 << 63) - 1
+
+
+def word_counts(df: DataFrame, order_col: str = "record_id", **kw) -> DataFrame:
     """Occurrences of each word per cluster, with its first position.
 
     ``first`` is ``(order, pos)`` of the first occurrence in record order; it
-    breaks count ties the way an insertion-ordered counter does.
+    breaks count ties the way an insertion-ordered counter does.  Where ids are
+    whole numbers, the two are compared as one number: Spark keeps the least of a
+    number in a hash table, but sorts all occurrences for the least of a struct.
     """
-    occ = word_occurrences(df, **kw)
-    return occ.groupBy("cluster", "word").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("order", "pos")).alias("first"))
+    kind = df.schema[order_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        return word_occurrences(df, order_col=order_col, **kw).groupBy("cluster", "word").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct("order", "pos")).alias("first"))
+
+    def whole(n: int) -> Column:
+        return F.lit(str(n)).cast("decimal(20,0)")
+    base = (F.coalesce(F.col(order_col).cast("decimal(20,0)"), whole(_NO_ID)) * whole(_PLACES)).cast("decimal(30,0)")
+    occ = word_occurrences(df.withColumn("_base", base), order_col="_base", **kw)
+    counts = occ.groupBy("cluster", "word").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.col("order") + F.col("pos")).alias("_at"))
+    pos = F.pmod(F.col("_at"), whole(_PLACES))
+    record = F.nullif(((F.col("_at") - pos) / whole(_PLACES)).cast("decimal(20,0)"), whole(_NO_ID)).cast(kind)
+    return counts.select("cluster", "word", "n", F.struct(record.alias("order"), pos.cast("int").alias("pos")).alias("first"))
 
 
 def top_words(df: DataFrame, top_n: int = TOP_WORDS, tie: str = "first", **kw) -> DataFrame:
