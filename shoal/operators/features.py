@@ -105,7 +105,7 @@ def with_term_counts(term_df: DataFrame, terms_col: str = "terms", out_col: str
     O(n log n) per document.
     """
     keep = [c for c in term_df.columns if c != terms_col]
-    s = term_df.select(*keep, F.array_sort(F.col(terms_col)).alias("_s"))
+    s = term_df.select(*keep, F.sort_array(F.col(terms_col)).alias("_s"))
     prev = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("_s")), 1, F.size("_s"))
     flags = F.zip_with(F.col("_s"), prev, lambda a, b: b.isNull() | (a != b))
     starts = F.filter(F.transform(flags, lambda f, i: F.when(f, i + 1)), lambda x: x.isNotNull())

@@ -32,3 +32,10 @@ def test_strip_looks_at_the_ends_only(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", TX.strip_ws("t").alias("s"))
     assert "regexp" not in plan(df)
     assert {r["i"]: r["s"] for r in df.collect()} == {i: t if t is None else t.strip() for i, t in enumerate(texts)}
+
+
+def test_terms_are_sorted_natively(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["b"])], "record_id long, terms array<string>")
+    stats = FT.term_stats(df)
+    assert "array_sort" not in plan(stats)
+    assert {tuple(r) for r in stats.collect()} == {("a", 1, 1), ("b", 2, 3)}
