@@ -39,3 +39,39 @@ def test_terms_are_sorted_natively(spark):
     stats = FT.term_stats(df)
     assert "array_sort" not in plan(stats)
     assert {tuple(r) for r in stats.collect()} == {("a", 1, 1), ("b", 2, 3)}
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_a_block_asks_for_all_its_components_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.uniform(0, 1, (2, 300))
+    block = pd.DataFrame({"block": 0, "record_id": np.arange(300), "x": x, "y": y, "core": rng.uniform(0, 0.2, 300), "lb": 0.0,
+                          "comp": np.arange(300) // 2, "home": 0})
+    low = np.stack(np.meshgrid(np.arange(-4, 5), np.arange(-4, 5)), -1).reshape(-1, 2).astype(float)
+    low = np.concatenate([[[0, 0]], low[(low != 0).any(1)]])
+    boxes = np.column_stack([np.arange(81), low[:, 0], low[:, 0] + 1, low[:, 1], low[:, 1] + 1, np.full(81, 0.05), np.full(81, 0.3)])
+    whole, filled = np.arange(81) % 5 == 1, np.arange(81)
+    bounds = pd.DataFrame({"of_block": 0, "of_comp": np.arange(150), "u": rng.uniform(0, 0.6, 150)})
+    calls = []
+    real = SP.box_distance
+    monkeypatch.setattr(SP, "box_distance", lambda *a: calls.append(1) or real(*a))
+    got = SP._visits(Shared((boxes, whole, filled)))(block, bounds)
+    want = set()
+    for r in block.itertuples():
+        u = bounds["u"][r.comp]
+        for t, x0, x1, y0, y1, c0, _ in boxes[1:]:
+            d = np.hypot(max(x0 - r.x, r.x - x1, 0), max(y0 - r.y, r.y - y1, 0))
+            if r.core <= u and c0 <= u and d <= u and not (whole[int(t)] and filled[int(t)] == r.comp):
+                want.add((int(t), r.record_id))
+    assert {(t, i) for t, i in zip(got["target"], got["record_id"])} == want and want
+    assert len(calls) == 1
+
+
+def test_blocks_are_not_put_in_one_task(spark):
+    df = spark.range(100).select((F.col("id") % 20).alias("block"), "id")
+    out = SP.by_block(df, 20, "block").groupBy("block").applyInPandas(lambda g: g.assign(n=len(g)), "block long, id long, n long")
+    assert out.rdd.getNumPartitions() == 20 and {r["n"] for r in out.collect()} == {5}
