@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.operators.spanning import MOST_BLOCKS
+from shoal.operators.spanning import MOST_BLOCKS, by_block
 from shoal.session import ensure_checkpoint_dir
 
 #: Halvings of the scale's interval, and the least scale as a share of the mean distance.
@@ -213,7 +213,7 @@ def layout_epochs(graph: DataFrame, start: DataFrame, epochs: int = EPOCHS, exch
         seen = place.join(chosen, "record_id").select("record_id", "x", "y").orderBy("record_id").toPandas()
         shared = spark.sparkContext.broadcast((seen[["x", "y"]].to_numpy(float), seen["record_id"].to_numpy()))
         known = ends.join(place.select(F.col("record_id").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy")), "j")
-        place = place.groupBy("block").cogroup(known.groupBy("at")).applyInPandas(
+        place = by_block(place, blocks, "block").groupBy("block").cogroup(by_block(known, blocks, "at").groupBy("at")).applyInPandas(
             _turn(shared, first, last, epochs, ab, seed), "block int, record_id long, x double, y double").checkpoint()
     return place.select("record_id", "x", "y")
 

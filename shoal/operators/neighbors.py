@@ -1,12 +1,15 @@
 """Exact k nearest neighbours (M2a cosine, M4a core distance, M4b mutual reachability).
 
 2-D points use :func:`knn_plane`, which visits only near blocks.  For vectors,
-points are hashed into blocks of about ``block_size``; each (query block,
+points are hashed into blocks; each (query block,
 reference block) pair meets in one cogroup where NumPy keeps the ``k``
 closest references of every query point (ties by id).  A point
 therefore emits at most ``k`` rows per block pair, never one row per pair,
 and the final top-k per point is a ``row_number() <= k`` window group limit.
 The search is exact (no candidate cap); its work is O(n^2 / parallelism).
+Every point is copied once for each block, so there are only as many blocks as
+keep the machines busy (``SIDES``): what is shuffled then grows like the points, until
+blocks reach the size that a task's memory bounds (``BLOCK_ENTRIES``).
 """
 
 from __future__ import annotations
@@ -18,10 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.operators.spanning import blocks_for, spanning_tree
+from shoal.operators.spanning import blocks_for, by_block, spanning_tree
 from shoal.session import ensure_checkpoint_dir
 
-BLOCK_SIZE = 2048
+#: Points of a block at least, blocks up to which smaller blocks are preferred, and the numbers of a block's points at most.
+BLOCK_SIZE, SIDES, BLOCK_ENTRIES = 2048, 12, 1 << 22
+#: Distances computed at once.
+ENTRIES = 1 << 22
 _EMPTY = {"record_id": "int64", "neighbor_id": "int64", "dist": "float64"}
 
 
@@ -31,6 +37,23 @@ def _matrix(pdf: pd.DataFrame, cols: list[str], vector: bool) -> np.ndarray:
     return pdf[cols].to_numpy(dtype=np.float64)
 
 
+def _unit(a: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(a, axis=1, keepdims=True)
+    return a / np.where(size == 0, 1, size)
+
+
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` least entries of each row in order, of equal ones those of the first columns; no row is sorted whole."""
+    k = min(k, d.shape[1])
+    bound = np.partition(d, k - 1, axis=1)[:, k - 1:k]
+    rows, cols = (d <= np.where(np.isnan(bound), np.inf, bound)).nonzero()
+    order = np.lexsort((cols, d[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(len(d)))
+    take = np.arange(len(rows)) - first[rows] < k
+    return rows[take], cols[take]
+
+
 def _block_knn(k: int, metric: str, cols: list[str], rcols: list[str], vector: bool, include_self: bool):
     def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
@@ -38,20 +61,18 @@ def _block_knn(k: int, metric: str, cols: list[str], rcols: list[str], vector: b
         r = r.sort_values("rid", kind="stable")  # stable sorts below then break ties by id
         a, b = _matrix(q, cols, vector), _matrix(r, rcols, vector)
         if metric == "cosine":
-            na = np.linalg.norm(a, axis=1, keepdims=True)
-            nb = np.linalg.norm(b, axis=1, keepdims=True)
-            sim = (a / np.where(na == 0, 1, na)) @ (b / np.where(nb == 0, 1, nb)).T
-            d = 1.0 - sim
-        else:
-            d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+            a, b = _unit(a), _unit(b).T
         qid, rid = q["record_id"].to_numpy(), r["rid"].to_numpy()
-        if not include_self:
-            d = np.where(qid[:, None] == rid[None, :], np.inf, d)
-        kk = min(k, d.shape[1])
-        idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(len(q)), idx.shape[1])
-        cols_ = idx.reshape(-1)
-        dist = d[rows, cols_]
+        found = []
+        step = max(1, ENTRIES // len(r) // (1 if metric == "cosine" else len(cols)))
+        for i in range(0, len(q), step):
+            some = a[i:i + step]
+            d = 1.0 - some @ b if metric == "cosine" else np.sqrt(((some[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+            if not include_self:
+                d[qid[i:i + step, None] == rid[None, :]] = np.inf
+            rows, at = _least(d, k)
+            found.append((rows + i, at, d[rows, at]))
+        rows, cols_, dist = (np.concatenate(x) for x in zip(*found))
         keep = np.isfinite(dist)
         return pd.DataFrame({"record_id": qid[rows][keep].astype("int64"),
                              "neighbor_id": rid[cols_][keep].astype("int64"),
@@ -59,6 +80,12 @@ def _block_knn(k: int, metric: str, cols: list[str], rcols: list[str], vector: b
     return run
 
 
+def _sides(n: int, width: int, block_size: int) -> int:
+    """Blocks for ``n`` points of ``width`` numbers; both sides of the search have so many."""
+    most = max(block_size, BLOCK_ENTRIES // max(width, 1))
+    return max(1, min(math.ceil(n / block_size), SIDES), math.ceil(n / most))
+
+
 def knn(points: DataFrame, k: int, coords: list[str] | None = None, vector_col: str | None = None,
         metric: str = "euclidean", include_self: bool = True, block_size: int = BLOCK_SIZE,
         n_rows: int | None = None) -> DataFrame:
@@ -66,15 +93,17 @@ def knn(points: DataFrame, k: int, coords: list[str] | None = None, vector_col:
     (ties by neighbour id).  Pass 2-D ``coords`` or an array ``vector_col``."""
     vector = vector_col is not None
     cols = [vector_col] if vector else (coords or ["x", "y"])
-    n = n_rows if n_rows is not None else points.count()
-    blocks = max(1, math.ceil(n / block_size))
-    blk = F.pmod(F.xxhash64("record_id"), F.lit(blocks))
+    width = F.max(F.size(vector_col)) if vector else F.lit(len(cols))
+    has = points.agg(F.count(F.lit(1)).alias("n"), width.alias("width")).first()
+    blocks = _sides(n_rows if n_rows is not None else has["n"], has["width"] or 1, block_size)
+    blk = F.pmod(F.xxhash64("record_id"), F.lit(blocks)).cast("int")     # of the sequence's type, as both sides are dealt by hash
     seq = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     q = points.select("record_id", *cols, blk.alias("qb"), seq.alias("rb"))
     rcols = [f"r_{c}" for c in cols]
     r = points.select(F.col("record_id").alias("rid"), *[F.col(c).alias(rc) for c, rc in zip(cols, rcols)],
                       blk.alias("rb"), seq.alias("qb"))
-    cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(
+    pairs, key = blocks * blocks, ("qb", "rb")
+    cand = by_block(q, pairs, *key).groupBy(*key).cogroup(by_block(r, pairs, *key).groupBy(*key)).applyInPandas(
         _block_knn(k, metric, cols, rcols, vector, include_self), "record_id long, neighbor_id long, dist double")
     w = Window.partitionBy("record_id").orderBy("dist", "neighbor_id")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -149,7 +178,7 @@ def knn_plane(points: DataFrame, k: int, include_self: bool = True, block_size:
     shared = spark.sparkContext.broadcast(boxes.to_numpy(float))
 
     found = "record_id long, neighbor_id long, dist double"
-    own = dealt.groupBy("block").applyInPandas(lambda g: _found(g, g, k, include_self), found).checkpoint()
+    own = by_block(dealt, blocks, "block").groupBy("block").applyInPandas(lambda g: _found(g, g, k, include_self), found).checkpoint()
     w = Window.partitionBy("record_id").orderBy("dist", "neighbor_id")
     if blocks == 1:                                           # nothing lies elsewhere
         return own.withColumn("rank", F.row_number().over(w).cast("int")).select("record_id", "rank", "neighbor_id", "dist")
@@ -184,7 +213,7 @@ def knn_plane(points: DataFrame, k: int, include_self: bool = True, block_size:
 
     asked = asking.mapInPandas(visits, "target int, record_id long, x double, y double")
     refs = dealt.select(F.col("block").alias("target"), "record_id", "x", "y")
-    more = asked.groupBy("target").cogroup(refs.groupBy("target")).applyInPandas(
+    more = by_block(asked, blocks, "target").groupBy("target").cogroup(by_block(refs, blocks, "target").groupBy("target")).applyInPandas(
         lambda q, r: _found(q, r, k, include_self), found)
     return (own.unionByName(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("record_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", "dist"))

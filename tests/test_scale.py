@@ -75,3 +75,29 @@ def test_blocks_are_not_put_in_one_task(spark):
     df = spark.range(100).select((F.col("id") % 20).alias("block"), "id")
     out = SP.by_block(df, 20, "block").groupBy("block").applyInPandas(lambda g: g.assign(n=len(g)), "block long, id long, n long")
     assert out.rdd.getNumPartitions() == 20 and {r["n"] for r in out.collect()} == {5}
+
+
+def test_vectors_are_copied_few_times(spark):
+    assert NB._sides(2000, 64, 2048) == 1 and NB._sides(100_000, 64, 2048) == NB._sides(700_000, 64, 2048) == NB.SIDES
+    assert NB._sides(10_000_000, 64, 2048) == 153
+    rng = np.random.default_rng(1)
+    d = rng.integers(0, 6, (40, 30)).astype(float)
+    d[3, 4:] = np.nan
+    d[4] = np.inf
+    for k in (1, 5, 30, 40):
+        rows, cols = NB._least(d, k)
+        want = np.argsort(d, axis=1, kind="stable")[:, :k]
+        n = np.isfinite(np.take_along_axis(d, want, 1))
+        ok = np.isfinite(d[rows, cols])
+        assert list(zip(rows[ok], cols[ok])) == [(i, c) for i in range(40) for c, f in zip(want[i], n[i]) if f]
+
+
+def test_every_pair_of_vector_blocks_meets(spark):
+    v = np.random.default_rng(2).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "record_id long, v array<double>")
+    near = NB.knn(df, 5, vector_col="v", metric="cosine", include_self=False, block_size=40)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    assert {(r["record_id"], r["rank"]): r["neighbor_id"] for r in near.collect()} == {
+        (i, k + 1): int(j) for i in range(400) for k, j in enumerate(np.argsort(d[i])[:5])}
