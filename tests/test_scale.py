@@ -101,3 +101,10 @@ def test_every_pair_of_vector_blocks_meets(spark):
     np.fill_diagonal(d, np.inf)
     assert {(r["record_id"], r["rank"]): r["neighbor_id"] for r in near.collect()} == {
         (i, k + 1): int(j) for i in range(400) for k, j in enumerate(np.argsort(d[i])[:5])}
+
+
+def test_relabel_reads_the_texts_once(spark):
+    from shoal.plans.queries import QUERIES
+    from tests.conftest import SF001
+    assert "parquet" not in QUERIES["l8_relabel"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    assert QUERIES["l8_relabel"](spark, SF001).count() == 11
