@@ -3,8 +3,8 @@ external embeddings (T8, T9, T11).
 
 Plan shape, whatever the corpus size:
 
-* tokens, n-grams and per-document term counts are computed inside each row
-  (sort the term array, take run lengths) -- no shuffle;
+* tokens, n-grams and a document's different terms are computed inside each row
+  -- no shuffle;
 * document frequency and corpus frequency per term: one shuffle on ``term``
   with a map-side partial aggregate (hot terms combine before the shuffle);
 * the vocabulary is the top ``max_features`` terms (a TakeOrdered, at most
@@ -127,9 +127,16 @@ def doc_term_freqs(term_df: DataFrame) -> DataFrame:
 
 
 def term_stats(term_df: DataFrame) -> DataFrame:
-    """``(term, df, ctf)``: documents containing the term and total occurrences."""
-    return doc_term_freqs(term_df).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+    """``(term, df, ctf)``: documents containing the term and total occurrences.
+
+    A row gives each of its different terms once, then all its terms: the first
+    ones are counted as documents, the others as occurrences, in one hash table.
+    """
+    once = term_df.select("terms", F.array_distinct("terms").alias("_d"))
+    # outer explode + null filter, as in doc_term_freqs
+    each = once.select(F.size("_d").alias("_n"), F.posexplode_outer(F.concat("_d", "terms")).alias("_i", "term"))
+    return each.where(F.col("term").isNotNull()).groupBy("term").agg(
+        F.count_if(F.col("_i") < F.col("_n")).alias("df"), F.count_if(F.col("_i") >= F.col("_n")).alias("ctf"))
 
 
 # -- T3 / T4 / T6 -------------------------------------------------------------

@@ -29,3 +29,12 @@ def test_pushdown_and_pruning(spark):
 
 def test_top_k_per_group_is_a_group_limit(spark):
     assert "WindowGroupLimit" in _plan(spark, "w1_top_words")
+
+
+def test_terms_are_counted_without_sorting_them(spark):
+    """A row's terms are not sorted; repeated and null ids are rows like others, rows without terms count nothing."""
+    from shoal.operators import features as FT
+    rows = [(1, ["b", "a", "b"]), (1, ["a"]), (None, ["b"]), (None, []), (2, ["a b", "a", "a"])]
+    got = FT.term_stats(spark.createDataFrame(rows, "record_id long, terms array<string>"))
+    assert {tuple(r) for r in got.collect()} == {("a", 3, 4), ("b", 2, 3), ("a b", 1, 1)}
+    assert "sort_array" not in got._jdf.queryExecution().optimizedPlan().toString()
