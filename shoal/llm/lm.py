@@ -3,8 +3,10 @@
 The corpus gives the counts: words and subwords of all training documents, counted
 on Spark.  They fix which subwords have an output of their own, where the output
 biases start, and the shares of the subwords that have none.  The network (one
-attention layer, one hidden layer, a softmax of two levels) is trained in numpy on a
-bounded sample of windows.  In use a document's subwords, its end included, are
+attention layer, one hidden layer, a softmax of two levels) is trained in numpy: it
+starts from a bounded number of windows, then learns from every window of every
+training document, in the tasks that read them, whose states are averaged between
+rounds.  In use a document's subwords, its end included, are
 read in windows of ``WINDOW`` places that begin every ``STEP`` places; the masked
 attention of many windows is computed at once, and a window scores its last
 ``STEP`` places, so each subword is scored once and sees at least
@@ -15,13 +17,14 @@ their own.  The model is a distribution over all subwords: its probabilities sum
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +39,17 @@ WINDOW, STEP = 32, 28
 #: Vector length, hidden units, classes and subwords in a class, subwords with an input vector of their own.
 DIM, HIDDEN, CLASSES, MEMBERS, INPUTS = 16, 32, 32, 16, 4096
 SLOTS = CLASSES * MEMBERS
-#: Training reads at most so many windows, ``OF_A_TEXT`` of a document, or more where there are too few documents for that.
+#: Training starts from at most so many windows, ``OF_A_TEXT`` of a document, or more where there are too few documents for that.
 TRAIN_WINDOWS, OF_A_TEXT = 48_000, 4
 STEPS, BATCH, RATE, SEED, LOOK, PATIENCE = 3000, 128, 0.02, 5, 100, 3
+#: Then all training documents are dealt to so many rounds, of falling rates from this one on.
+ROUNDS, ROUND_RATE = 4, 0.004
+#: Input vectors in a row of what the tasks learned.
+VECTORS_A_ROW = 512
 #: A word with at least 1 / ``FREQUENT`` of the training tokens, of at most ``SHORT`` bytes, has its count broadcast (so at most ``FREQUENT`` words).
 FREQUENT, SHORT = 1 << 19, 64
 #: Words kept at once while counting, and remembered encodings.
-HELD, CACHE = 300_000, 200_000
+HELD, CACHE = 1_000_000, 200_000
 #: Windows computed at once, windows whose outputs are, and subwords from which on no further text joins a batch.
 WINDOWS_AT_ONCE, OUTPUTS_AT_ONCE, IDS_AT_ONCE = 64, 256, 1 << 14
 #: Attention scores and logits are held within this, up and down, so that no exponential over- or underflows.
@@ -56,6 +63,20 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def all_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row, as ``words_of`` gives them, and how many each text has."""
+    texts = pc.fill_null(texts, b"")
+    # the bytes as they are: strings are not checked to be UTF-8
+    texts = pa.StringArray.from_buffers(len(texts), texts.buffers()[1], texts.buffers()[2], offset=texts.offset)
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, number = found.flatten(), pc.list_value_length(found).to_numpy()
+    there = pc.binary_length(words).to_numpy() > 0                       # a space at either end leaves an empty word
+    if not there.all():
+        of = np.repeat(np.arange(len(number)), number)
+        words, number = words.filter(pa.array(there)), np.bincount(of[there], minlength=len(number))
+    return words.cast(pa.binary()), number.astype(np.int64)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32(doc_id as text) mod 10 is 0; a null id counts as the empty string."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -97,6 +118,22 @@ class Subwords:
         out.append(self.end)
         return out
 
+    def of_texts(self, different: list[bytes], at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in a row, each text's end included, and how many each has.
+
+        ``at`` names the words of all texts in ``different``, ``number`` says how many each text has.
+        """
+        found = [self.of_word(w) for w in different]
+        found.append((self.end,))
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))
+        tokens = np.full(len(at) + len(number), len(different), np.int64)
+        tokens[np.arange(len(at)) + np.repeat(np.arange(len(number)), number)] = at
+        each = length[tokens]
+        first = (np.cumsum(length) - length)[tokens] - (np.cumsum(each) - each)
+        places = np.cumsum(number + 1) - (number + 1)
+        return ids[np.repeat(first, each) + np.arange(int(each.sum()))], np.add.reduceat(each, places) if len(number) else number
+
 
 _LOADED: dict[int, Subwords] = {}
 
@@ -115,20 +152,25 @@ def subwords(ranks: bytes) -> Subwords:
 def word_counts(texts: DataFrame) -> DataFrame:
     """``(word binary, n)`` over ``texts(text binary)``; the empty word counts the texts' ends.  Counted in the tasks first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Array] = []
+        texts = many = 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            got = pa.chunked_array(held, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays([got.field("values"), got.field("counts").cast(pa.int64())], ["word", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(words_of(t))
-                held[b""] += 1
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
-        if held:
+            words, _ = all_words(b.column(0))
+            held.append(words)
+            texts, many = texts + b.num_rows, many + len(words)
+            if many > HELD:
+                yield out()
+                held.clear()
+                many = 0
+        if many:
             yield out()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([texts], pa.int64())], ["word", "n"])
 
     return map_arrow(texts, run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -200,6 +242,26 @@ def _setting(counts: np.ndarray, end: int) -> Model:
     return Model(slot.astype(np.int32), source.astype(np.int32), tail, p)
 
 
+def lay(model: Model, ids: np.ndarray, size: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of many texts: their input numbers, each text's first window, and the place of each id in the windows' rows.
+
+    A text's places lie in a row, ``STEP`` to a window; what its last window has beyond its end counts nothing.
+    """
+    number, before = -(-size // STEP), WINDOW - STEP
+    first = np.cumsum(number) - number
+    at = np.arange(len(ids)) + np.repeat(first * STEP - (np.cumsum(size) - size), size)
+    late = np.full(int(number.sum()) * STEP, model.source[end])
+    late[at[1:]] = model.source[ids[:-1]]
+    # the first id of a text follows an end; a text that fills its last window is followed by another's first place
+    late[first * STEP] = model.source[end]
+    late = late.reshape(-1, STEP)
+    x = np.empty((len(late), WINDOW), late.dtype)
+    x[:, before:] = late
+    x[1:, :before] = late[:-1, STEP - before:]
+    x[first, :before] = model.source[start]
+    return x, first, at
+
+
 _BACK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW)[:, None], 0, -np.inf).astype(np.float32)
 #: The same for the last ``STEP`` places, key by key.
 _AHEAD = np.ascontiguousarray(_BACK[WINDOW - STEP:].T)
@@ -311,6 +373,22 @@ def _gradients(p: dict, x: np.ndarray, slot: np.ndarray, counted: np.ndarray) ->
     return float(loss / n), g
 
 
+class _Adam:
+    """Steps of Adam on ``p`` in place."""
+
+    def __init__(self, p: dict):
+        self.p, self.step = p, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def __call__(self, g: dict, rate: float) -> None:
+        self.step += 1
+        for k, v in g.items():
+            first, second = self.first[k], self.second[k]
+            first += 0.1 * (v - first)
+            second += 0.01 * (v * v - second)
+            self.p[k] -= (rate / (1 - 0.9 ** self.step)) * first / (np.sqrt(second / (1 - 0.99 ** self.step)) + 1e-8)
+
+
 def train(model: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, steps: int = STEPS) -> list[float]:
     """Adam over random batches of windows; a tenth of them tells when to stop, and the best state there stays.  The losses there."""
     n = len(inputs)
@@ -332,18 +410,14 @@ def train(model: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.nda
         return total / max(many, 1)
 
     p = model.p
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    adam = _Adam(p)
     best, state, losses = look(), {k: v.copy() for k, v in p.items()}, []
     losses.append(best)
     worse = 0
     for step in range(1, steps + 1):
         at = rest[rng.integers(0, len(rest), min(BATCH, len(rest)))]
         _, g = _gradients(p, x[at], y[at], counted[at])
-        rate = RATE * min(1.0, step / 50) * (0.1 + 0.9 * (1 - step / steps))
-        for k, v in g.items():
-            first[k] += 0.1 * (v - first[k])
-            second[k] += 0.01 * (v * v - second[k])
-            p[k] -= (rate / (1 - 0.9 ** step)) * first[k] / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-8)
+        adam(g, RATE * min(1.0, step / 50) * (0.1 + 0.9 * (1 - step / steps)))
         if step % LOOK == 0 or step == steps:
             losses.append(look())
             worse = worse + 1 if losses[-1] >= best else 0
@@ -356,7 +430,7 @@ def train(model: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.nda
 
 
 def sample(texts: DataFrame, ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At most ``TRAIN_WINDOWS`` windows of ``texts(text binary, h bigint)``: inputs, ids to predict, and which places count.
+    """Where training starts: at most ``TRAIN_WINDOWS`` windows of ``texts(text binary, h bigint)``: inputs, ids to predict, and which places count.
 
     Documents are picked by the hash ``h``, windows of a document by a generator
     seeded with it; of more windows, those with the smallest hashes are taken.
@@ -393,32 +467,110 @@ def sample(texts: DataFrame, ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return inputs, targets, counted
 
 
+def learn(texts: DataFrame, ranks: bytes, model: Model) -> int:
+    """Trains on every window of ``texts(text binary, h bigint)``, each once; ``model`` is changed.  The number of windows.
+
+    Documents are dealt to ``ROUNDS`` rounds by the hash ``h``.  In a round each task
+    takes Adam steps over the windows of its own documents, from the state that the round began
+    with.  What the tasks changed is averaged on Spark: an input vector by how often it was read,
+    all else by windows.  The driver receives one state a round, whatever the input's size; which
+    documents share a task depends on how the input is partitioned, and with it the last digits.
+    """
+    spark = texts.sparkSession
+    fixed = spark.sparkContext.broadcast((ranks, model.slot, model.source, model.tail))
+    others = [k for k in model.p if k != "E"]
+    seen = 0
+
+    def total(rows: pa.Table) -> pa.Table:
+        """What the tasks learned of one row of numbers, summed in the order of the tasks."""
+        rows = rows.sort_by("task")
+        n, v = (np.sum([np.frombuffer(r, "<f8") for r in rows[c].to_pylist()], axis=0).astype("<f8").tobytes() for c in ("n", "v"))
+        return pa.table({"row": rows["row"][:1], "n": pa.array([n], pa.binary()), "v": pa.array([v], pa.binary())})
+
+    for number in range(ROUNDS):
+        state = spark.sparkContext.broadcast(model.p)
+        rate = ROUND_RATE * (1 - number / ROUNDS)
+
+        def run(batches: Iterator[pa.RecordBatch], number=number, rate=rate, state=state) -> Iterator[pa.RecordBatch]:
+            ranks, slots, source, tail = fixed.value
+            enc = subwords(ranks)
+            began = state.value
+            m = Model(slots, source, tail, {k: v.copy() for k, v in began.items()})
+            task = TaskContext.get().partitionId()
+            rng, adam, windows = np.random.default_rng((SEED, number, task)), _Adam(m.p), 0
+            read = np.zeros(INPUTS, np.int64)
+            waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def steps(all_of_them: bool) -> None:
+                x, y, counted = (np.concatenate(a) for a in zip(*waiting))
+                waiting.clear()
+                deal = rng.permutation(len(x))
+                cuts = list(range(0, len(x), BATCH)) if all_of_them else list(range(0, len(x) - BATCH + 1, BATCH))
+                for k in cuts:
+                    at = deal[k:k + BATCH]
+                    adam(_gradients(m.p, x[at], y[at], counted[at])[1],
+                         rate * min(1.0, (adam.step + 1) / 20) * len(at) / BATCH)
+                rest = deal[len(cuts) * BATCH:]
+                if len(rest):
+                    waiting.append((x[rest], y[rest], counted[rest]))
+
+            for b in batches:
+                words, many = all_words(b.column(0))
+                words = words.dictionary_encode()
+                ids, size = enc.of_texts(words.dictionary.to_pylist(), words.indices.to_numpy(), many)
+                if not len(size):
+                    continue
+                x, _, at = lay(m, ids, size, enc.start, enc.end)
+                y, counted = np.zeros(len(x) * STEP, slots.dtype), np.zeros(len(x) * STEP, bool)
+                y[at], counted[at] = slots[ids], True
+                waiting.append((x, y.reshape(-1, STEP), counted.reshape(-1, STEP)))
+                windows += len(x)
+                read += np.bincount(x.ravel(), minlength=INPUTS)
+                if sum(len(w[0]) for w in waiting) >= BATCH:
+                    steps(False)
+            if waiting:
+                steps(True)
+            if windows:
+                change = (m.p["E"].astype("<f8") - began["E"]) * read[:, None]
+                rows = [(i, read[k:k + VECTORS_A_ROW].astype("<f8"), change[k:k + VECTORS_A_ROW])
+                        for i, k in enumerate(range(0, INPUTS, VECTORS_A_ROW))]
+                rows.append((-1, np.array([windows], "<f8"),
+                             np.concatenate([(m.p[k].astype("<f8") - began[k]).ravel() for k in others]) * windows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
+                     pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
+                    ["task", "row", "n", "v"])
+
+        part = texts.where(F.pmod("h", F.lit(ROUNDS)) == number).select("text")
+        got = map_arrow(part, run, "task bigint, row bigint, n binary, v binary").groupBy("row").applyInArrow(
+            total, "row bigint, n binary, v binary").collect()
+        p = {k: v.copy() for k, v in model.p.items()}
+        for r in got:
+            n, v = np.frombuffer(r["n"], "<f8"), np.frombuffer(r["v"], "<f8")
+            if r["row"] >= 0:
+                at = slice(r["row"] * VECTORS_A_ROW, r["row"] * VECTORS_A_ROW + len(n))
+                p["E"][at] += (v.reshape(len(n), DIM) / np.maximum(n, 1)[:, None]).astype(np.float32)
+                continue
+            seen += int(n[0])
+            cuts = np.cumsum([p[k].size for k in others])[:-1]
+            for k, change in zip(others, np.split(v / n[0], cuts)):
+                p[k] += change.reshape(p[k].shape).astype(np.float32)
+        model.p = p
+        state.unpersist()
+    return seen
+
+
 # -- scores -------------------------------------------------------------------------
 
 def log10_p(model: Model, ids: np.ndarray, size: np.ndarray, start: int, end: int) -> np.ndarray:
     """The log10 probability of each text: ``ids`` are all texts' ids in a row, ``size`` (at least 1) how many each has."""
     if not len(size):
         return np.zeros(0)
-    number, before = -(-size // STEP), WINDOW - STEP
-    first = np.cumsum(number) - number                         # each text's first window
-    source, slots = model.source[ids], model.slot[ids]
-    # a text's places lie in a row, ``STEP`` to a window; what its last window has beyond its end counts nothing
-    late = np.full(int(number.sum()) * STEP, model.source[end])
-    slot = np.zeros(len(late), slots.dtype)
-    score = np.zeros(len(late))
-    used = np.zeros(len(late), bool)
-    i = 0
-    for f, n in zip((first * STEP).tolist(), size.tolist()):
-        late[f + 1:f + n] = source[i:i + n - 1]
-        slot[f:f + n] = slots[i:i + n]
-        score[f:f + n] = model.tail[ids[i:i + n]]
-        used[f:f + n] = True
-        i += n
-    late = late.reshape(-1, STEP)
-    x = np.empty((len(late), WINDOW), late.dtype)
-    x[:, before:] = late
-    x[1:, :before] = late[:-1, STEP - before:]
-    x[first, :before] = model.source[start]
+    x, first, at = lay(model, ids, size, start, end)
+    slot = np.zeros(len(x) * STEP, model.slot.dtype)
+    score = np.zeros(len(slot))
+    used = np.zeros(len(slot), bool)
+    slot[at], score[at], used[at] = model.slot[ids], model.tail[ids], True
     for i in range(0, len(x), OUTPUTS_AT_ONCE):
         some = range(i, min(i + OUTPUTS_AT_ONCE, len(x)), WINDOWS_AT_ONCE)
         h = np.concatenate([_hidden(model.p, x[k:min(k + WINDOWS_AT_ONCE, some.stop)]) for k in some])
@@ -438,7 +590,8 @@ class Trained:
     ends: int
     frequent: dict[bytes, int]
     counts: DataFrame
-    losses: list[float]
+    losses: list[float]         # where training started
+    windows: int                # learned from
 
 
 def _is_frequent(tokens: int) -> Column:
@@ -447,7 +600,7 @@ def _is_frequent(tokens: int) -> Column:
 
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_on: Column | None = None,
         vocabulary: str = VOCABULARY, steps: int = STEPS) -> Trained:
-    """Counts all training documents and trains the network on a sample of their windows.
+    """Counts all training documents and trains the network on all their windows.
 
     Training documents are those for which ``train_on`` holds, by default those not
     held out.  ``vocabulary`` is a file of byte-level BPE ranks (``base64 rank`` by line).
@@ -465,7 +618,8 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_on: C
     frequent = dict(zip(few["word"].to_pylist(), few["n"].to_pylist()))
     model = _setting(subword_counts(counts, ranks), subwords(ranks).end)
     losses = train(model, *sample(src, ranks), steps=steps)
-    return Trained(ranks, model, total["n"], total["v"], total["ends"], frequent, counts, losses)
+    windows = learn(src, ranks, model)
+    return Trained(ranks, model, total["n"], total["v"], total["ends"], frequent, counts, losses, windows)
 
 
 def _share(n, tokens: int, distinct: int):
@@ -497,38 +651,34 @@ def score(docs: DataFrame, trained: Trained, text: str = "text", doc_id: str = "
         logs = dict(zip(frequent, np.log10(_share(np.array(list(frequent.values()), float), tokens, distinct)).tolist()))
         end = float(np.log10(_share(ends, tokens, distinct)))
         for b in batches:
-            many, known, base, at, names, times = [], [], [], [0], [], []
-            ids: list[int] = []
-            size: list[int] = []
-            scores: list[np.ndarray] = []
-
-            def flush():
-                scores.append(log10_p(model, np.array(ids, np.int32), np.array(size, np.int32), enc.start, enc.end))
-                ids.clear()
-                size.clear()
-
-            for text in b.column(3).to_pylist():
-                words = words_of(text)
-                found = list(map(logs.get, words))
-                others = [w for w, log in zip(words, found) if log is None]
-                each = Counter(others)
-                names.extend(each)
-                times.extend(each.values())
-                many.append(len(words) + 1)
-                known.append(len(words) - len(others) + int(ends > 0))
-                base.append(end + sum(filter(None, found)))          # a share of 1 adds nothing
-                at.append(len(names))
-                size.append(-len(ids))
-                enc.of_words(words, ids)
-                size[-1] += len(ids)
-                if len(ids) >= IDS_AT_ONCE:
-                    flush()
-            flush()
+            words, number = all_words(b.column(3))
+            words = words.dictionary_encode()
+            at, names = words.indices.to_numpy(), words.dictionary
+            different = names.to_pylist()
+            found = list(map(logs.get, different))
+            frequently = np.array([log is not None for log in found], bool)
+            log = np.array([log or 0.0 for log in found], float)
+            doc = np.repeat(np.arange(len(number)), number)
+            few = ~frequently[at]
+            pairs, times = np.unique(doc[few] * len(different) + at[few], return_counts=True)
+            others = np.bincount(doc[few], minlength=len(number))
+            shares, upto = log[at].tolist(), np.cumsum(number).tolist()
+            base = [end + sum(shares[k - n:k]) for k, n in zip(upto, number.tolist())]
+            ids, size = enc.of_texts(different, at, number)
+            # texts of about IDS_AT_ONCE subwords at once
+            cuts, upto = [0], np.cumsum(size)
+            while cuts[-1] < len(size):
+                before = int(upto[cuts[-1] - 1]) if cuts[-1] else 0
+                cuts.append(min(int(np.searchsorted(upto, before + IDS_AT_ONCE)) + 1, len(size)))
+            scores = [log10_p(model, ids[upto[i] - size[i]:upto[k - 1]], size[i:k], enc.start, enc.end)
+                      for i, k in zip(cuts, cuts[1:])]
+            at = np.searchsorted(pairs, np.arange(len(number) + 1) * len(different))
+            names = names.take(pa.array(pairs % max(len(different), 1)))
             rest = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(times, pa.int64())], fields=list(rare)))
+                [names, pa.array(times, pa.int64())], fields=list(rare)))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(many, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(np.concatenate(scores)), rest],
+                [*b.columns[:3], pa.array(number + 1), pa.array(number - others + int(ends > 0)), pa.array(base, pa.float64()),
+                 pa.array(np.concatenate([np.zeros(0), *scores])), rest],
                 ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "others"])
 
     src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"),

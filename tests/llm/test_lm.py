@@ -170,3 +170,34 @@ def test_nothing_to_learn_from(spark):
     got = L.score(edge_docs(spark), t).collect()
     assert {r["base_score"] for r in got} == {0.0} and {r["n_known"] for r in got} == {0}
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+
+
+def test_words_of_all_texts():
+    import pyarrow as pa
+    texts = [b" A b\tC ", None, b"", b"   ", "Ü x\x0by\x0c É日本\r\n".encode(), b"\xff\xfe Q", b"a a a"]
+    words, number = L.all_words(pa.array(texts, pa.binary()))
+    assert words.to_pylist() == [w for t in texts for w in L.words_of(t)]
+    assert number.tolist() == [len(L.words_of(t)) for t in texts]
+
+
+def test_learns_from_every_window_of_every_training_document(spark, enc, monkeypatch):
+    """However few windows training starts from: all are learned from, and what only other documents teach is known."""
+    monkeypatch.setattr(L, "TRAIN_WINDOWS", 40)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    follow = dict(zip(words, rng.permutation(words)))
+
+    def text():
+        out = [str(rng.choice(words))]
+        while len(out) < 300:
+            out.append(follow[out[-1]])
+        return " ".join(out)
+    rows = [(i, text()) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    t = L.fit(docs, steps=20)
+    want = sum(-(-len(enc.of_words(L.words_of(x.encode()))) // L.STEP) for i, x in rows if zlib.crc32(str(i).encode()) % 10)
+    assert t.windows == want
+    monkeypatch.setattr(L, "learn", lambda *a: 0)
+    begun = L.fit(docs, steps=20)
+    a, b = ({r["doc_id"]: r["score"] for r in L.score(docs, x).where("held_out").collect()} for x in (t, begun))
+    assert sum(a.values()) > 0.99 * sum(b.values())
