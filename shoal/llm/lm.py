@@ -6,7 +6,8 @@ biases start, and the shares of the subwords that have none.  The network (one
 attention layer, one hidden layer, a softmax of two levels) is trained in numpy: it
 starts from a bounded number of windows, then learns from every window of every
 training document, in the tasks that read them, whose states are averaged between
-rounds.  In use a document's subwords, its end included, are
+rounds.  Texts are split and encoded once, into a written table of ids that training
+and scoring read.  In use a document's subwords, its end included, are
 read in windows of ``WINDOW`` places that begin every ``STEP`` places; the masked
 attention of many windows is computed at once, and a window scores its last
 ``STEP`` places, so each subword is scored once and sees at least
@@ -48,8 +49,8 @@ ROUNDS, ROUND_RATE = 4, 0.004
 VECTORS_A_ROW = 512
 #: A word with at least 1 / ``FREQUENT`` of the training tokens, of at most ``SHORT`` bytes, has its count broadcast (so at most ``FREQUENT`` words).
 FREQUENT, SHORT = 1 << 19, 64
-#: Words kept at once while counting, and remembered encodings.
-HELD, CACHE = 1_000_000, 200_000
+#: Words kept at once while counting, remembered encodings, and bytes of texts from which on no further batch is encoded with them.
+HELD, CACHE, TEXT_AT_ONCE = 3_000_000, 200_000, 1 << 22
 #: Windows computed at once, windows whose outputs are, and subwords from which on no further text joins a batch.
 WINDOWS_AT_ONCE, OUTPUTS_AT_ONCE, IDS_AT_ONCE = 64, 256, 1 << 14
 #: Attention scores and logits are held within this, up and down, so that no exponential over- or underflows.
@@ -94,6 +95,10 @@ class Subwords:
         self.start, self.size = self.end + 1, self.end + 1    # the start is never predicted
         self._encode = tiktoken.Encoding("words", pat_str=r"[\s\S]+",
                                          mergeable_ranks=table, special_tokens={}).encode_ordinary
+        # a word is encoded with a space before it and has none within
+        self._encode_words = tiktoken.Encoding("spaced", pat_str=r" [^ ]*", mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self._first = np.zeros(self.size, bool)
+        self._first[[i for t, i in table.items() if t[:1] == b" "]] = True
         self._known: dict[bytes, tuple[int, ...]] = {}
 
     def of_word(self, word: bytes) -> tuple[int, ...]:
@@ -118,21 +123,38 @@ class Subwords:
         out.append(self.end)
         return out
 
-    def of_texts(self, different: list[bytes], at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids in a row, each text's end included, and how many each has.
+    def of_different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words in a row, and how many each has: all words of at most ``SHORT`` bytes are encoded in one call."""
+        short = pc.binary_length(words).to_numpy() <= SHORT
+        some = words if short.all() else words.filter(pa.array(short))
+        spaced = b" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), b" ")[0].as_py()
+        ids = np.array(self._encode_words(spaced.decode("utf-8", "replace")) if len(some) else [], np.int64)
+        first = np.flatnonzero(self._first[ids])
+        length = np.zeros(len(words), np.int64)
+        length[short] = np.diff(first, append=len(ids))
+        if short.all():
+            return ids, length
+        far = {i: np.array(self.of_word(words[i].as_py()), np.int64) for i in np.flatnonzero(~short).tolist()}
+        pieces, done = [], 0
+        for i, x in far.items():                              # the few long words between the others
+            upto = int(length[:i][short[:i]].sum())
+            pieces += [ids[done:upto], x]
+            length[i], done = len(x), upto
+        return np.concatenate([*pieces, ids[done:]]), length
+
+    def of_texts(self, different: pa.Array, at: np.ndarray, number: np.ndarray) -> pa.Array:
+        """All texts' ids, each text's end included, as ``packed``.
 
         ``at`` names the words of all texts in ``different``, ``number`` says how many each text has.
         """
-        found = [self.of_word(w) for w in different]
-        found.append((self.end,))
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))
-        tokens = np.full(len(at) + len(number), len(different), np.int64)
+        ids, length = self.of_different(different)
+        each = packed(np.append(ids, self.end), np.append(length, 1), self.size)
+        upto = np.cumsum(number + 1)
+        tokens = np.full(len(at) + len(number), len(different), np.int32)
         tokens[np.arange(len(at)) + np.repeat(np.arange(len(number)), number)] = at
-        each = length[tokens]
-        first = (np.cumsum(length) - length)[tokens] - (np.cumsum(each) - each)
-        places = np.cumsum(number + 1) - (number + 1)
-        return ids[np.repeat(first, each) + np.arange(int(each.sum()))], np.add.reduceat(each, places) if len(number) else number
+        laid = each.take(pa.array(tokens))
+        cuts = np.frombuffer(laid.buffers()[1], np.int32)[laid.offset:][np.append(0, upto)]
+        return pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(cuts), laid.buffers()[2]])
 
 
 _LOADED: dict[int, Subwords] = {}
@@ -175,26 +197,52 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def subword_counts(counts: DataFrame, ranks: bytes) -> np.ndarray:
-    """How often each subword id occurs in the counted words; as many numbers as the vocabulary has ids."""
-    shared = counts.sparkSession.sparkContext.broadcast(ranks)
-
+def subword_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each of ``size`` subword ids occurs in ``ids(ids binary)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = subwords(shared.value)
-        total = np.zeros(enc.size, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
-            lists = [[enc.end] if w == b"" else enc.of_word(w) for w in b.column(0).to_pylist()]
-            each = np.repeat(b.column(1).to_numpy(), [len(x) for x in lists])
-            np.add.at(total, np.fromiter((i for x in lists for i in x), np.int64, len(each)), each)
+            total += np.bincount(unpacked(b.column(0), size)[0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    got = map_arrow(counts, run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(subwords(ranks).size, np.int64)
+    got = map_arrow(ids, run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
     out[got["id"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
+# -- encoded texts ------------------------------------------------------------------
+
+def packed(ids: np.ndarray, number: np.ndarray, size: int) -> pa.Array:
+    """The ids of texts in a row, ``number`` of each, as one binary value a text; ids are below ``size``."""
+    ids = np.ascontiguousarray(ids, np.min_scalar_type(size))
+    upto = np.append(0, np.cumsum(number)) * ids.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(ids)])
+
+
+def unpacked(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` was given: the ids in a row, and how many each text has."""
+    kind = np.min_scalar_type(size)
+    upto = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    if upto[0] == upto[-1]:
+        return np.zeros(0, kind), np.zeros(len(texts), np.int64)
+    ids = np.frombuffer(texts.buffers()[2], np.uint8)[upto[0]:upto[-1]].view(kind)
+    return ids, np.diff(upto).astype(np.int64) // kind.itemsize
+
+
+def together(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches, joined until ``column`` has ``TEXT_AT_ONCE`` bytes: a word that many texts share is looked up once."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.column(column).nbytes for x in held) >= TEXT_AT_ONCE:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 # -- windows ------------------------------------------------------------------------
 
 def windows(ids: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,31 +315,28 @@ _BACK = np.where(np.arange(WINDOW)[None, :] <= np.arange(WINDOW)[:, None], 0, -n
 _AHEAD = np.ascontiguousarray(_BACK[WINDOW - STEP:].T)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+def _hold(x: np.ndarray) -> None:
+    np.clip(x, -_MOST, _MOST, out=x)
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log softmax down each column of ``x`` (overwritten), at row ``at`` of the column."""
-    np.minimum(x, _MOST, out=x)
-    np.maximum(x, -_MOST, out=x)
-    taken = x[at, np.arange(x.shape[1])]
-    np.exp(x, out=x)
-    return taken - np.log(x.sum(0))
+def _members(p: dict, o: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The members' logits of rows sorted by their class ``of``, and each class's rows."""
+    z = p["m"].take(of, 0)
+    cuts = np.searchsorted(of, np.arange(CLASSES + 1)).tolist()
+    rows = [(k, slice(i, j)) for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+    for k, at in rows:
+        z[at] += o[at] @ p["M"][k]
+    return z, rows
 
 
 def _hidden(p: dict, x: np.ndarray) -> np.ndarray:
     """The last ``STEP`` places' vectors of windows ``x`` of input numbers.  Scores are held key by key, so that sums run along rows."""
-    h = p["E"][x]
+    h = p["E"].take(x, 0)
     h += p["P"]
     late = h[:, WINDOW - STEP:]
     q = late.reshape(-1, DIM) @ (p["A"] * np.float32(DIM ** -0.5))
     a = h @ q.reshape(len(x), STEP, DIM).transpose(0, 2, 1)
-    np.minimum(a, _MOST, out=a)
-    np.maximum(a, -_MOST, out=a)
+    _hold(a)
     a += _AHEAD
     np.exp(a, out=a)
     o = a.transpose(0, 2, 1) @ (h.reshape(-1, DIM) @ p["V"]).reshape(h.shape)
@@ -307,70 +352,109 @@ def _hidden(p: dict, x: np.ndarray) -> np.ndarray:
 
 def _log_p(p: dict, h: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Natural log probability of each row's slot: of its class, then of the member of the class."""
+    order = np.argsort(slot.astype(np.int16), kind="stable")
+    slot, o, row = slot[order].astype(np.intp), h.take(order, 0), np.arange(len(order))
     of = slot // MEMBERS
-    order = np.argsort(of.astype(np.int16), kind="stable")
-    of, member, columns = of[order], slot[order] % MEMBERS, np.ascontiguousarray(h[order].T)
-    cuts = np.searchsorted(of, np.arange(CLASSES + 1)).tolist()
-    found = _log_softmax_at(p["C"].T @ columns + p["c"][:, None], of)
-    for k in range(CLASSES):
-        at = slice(cuts[k], cuts[k + 1])
-        if cuts[k] < cuts[k + 1]:
-            found[at] += _log_softmax_at(p["M"][k].T @ columns[:, at] + p["m"][k][:, None], member[at])
+    z = o @ p["C"]
+    z += p["c"]
+    _hold(z)
+    found = z.ravel().take(row * CLASSES + of)
+    np.exp(z, out=z)
+    total = z @ np.ones(CLASSES, z.dtype)
+    z, _ = _members(p, o, of)
+    _hold(z)
+    found += z.ravel().take(row * MEMBERS + slot % MEMBERS)
+    np.exp(z, out=z)
+    total *= z @ np.ones(MEMBERS, z.dtype)
+    found -= np.log(total)
     out = np.empty_like(found)
     out[order] = found
     return out
 
 
+def _errors(z: np.ndarray, at: np.ndarray) -> float:
+    """Makes each row's logits the softmax less 1 at ``at`` (a place of ``z`` laid in a row), over the number of rows.
+
+    Returns the sum of the log probabilities there.
+    """
+    _hold(z)
+    found = z.ravel().take(at).sum()
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    found -= np.log(total).sum()
+    total *= len(z)
+    z /= total[:, None]
+    z.ravel()[at] -= z.dtype.type(1 / len(z))
+    return found
+
+
 def _gradients(p: dict, x: np.ndarray, slot: np.ndarray, counted: np.ndarray) -> tuple[float, dict]:
     """Mean loss of the counted places and its gradients; ``slot`` and ``counted`` are of the windows' last ``STEP`` places."""
-    scale = np.float32(DIM ** -0.5)
-    h = p["E"][x] + p["P"]
-    late = h[:, WINDOW - STEP:]
-    q = late @ p["A"]
-    a = _softmax(q @ h.transpose(0, 2, 1) * scale + _BACK[WINDOW - STEP:])
-    v = h @ p["V"]
-    r = (late + a @ v).reshape(-1, DIM)
-    z = np.maximum(r @ p["W"] + p["w"], 0)
-    out = r + z @ p["U"]
+    kind, before = p["E"].dtype, WINDOW - STEP
+    scale = kind.type(DIM ** -0.5)
+    A = p["A"] * scale
+    h = p["E"].take(x, 0)
+    h += p["P"]
+    flat, late = h.reshape(-1, DIM), np.ascontiguousarray(h[:, before:]).reshape(-1, DIM)
+    q = (late @ A).reshape(-1, STEP, DIM)
+    a = q @ h.transpose(0, 2, 1)
+    _hold(a)
+    a += _BACK[before:]
+    np.exp(a, out=a)
+    over = 1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, kind))[:, None]  # on 16 numbers a place, not on 32 scores
+    v = (flat @ p["V"]).reshape(h.shape)
+    seen = (a @ v).reshape(-1, DIM)
+    seen *= over
+    r = late + seen
+    z = r @ p["W"]
+    z += p["w"]
+    np.maximum(z, 0, out=z)
+    out = z @ p["U"]
+    out += r
     use = np.flatnonzero(counted.ravel())
-    to = slot.ravel()[use]
-    of, member, n = to // MEMBERS, to % MEMBERS, len(use)
-    g, d = {}, np.zeros_like(out)
-    o = out[use]
-    pc = _softmax(o @ p["C"] + p["c"])
-    loss = -np.log(pc[np.arange(n), of] + 1e-30).sum()
-    pc[np.arange(n), of] -= 1
-    pc /= n
-    g["C"], g["c"] = o.T @ pc, pc.sum(0)
+    to = slot.ravel().take(use).astype(np.int16)
+    order = np.argsort(to, kind="stable")
+    to, use, row = to.take(order).astype(np.intp), use.take(order), np.arange(len(use))
+    of, o, ones, g = to // MEMBERS, out.take(use, 0), np.ones(len(use), kind), {}
+    pc = o @ p["C"]
+    pc += p["c"]
+    loss = -_errors(pc, row * CLASSES + of)
+    g["C"], g["c"] = o.T @ pc, ones @ pc
     do = pc @ p["C"].T
+    pm, classes = _members(p, o, of)
+    loss -= _errors(pm, row * MEMBERS + to % MEMBERS)
     g["M"], g["m"] = np.zeros_like(p["M"]), np.zeros_like(p["m"])
-    for k in np.unique(of).tolist():
-        rows = np.flatnonzero(of == k)
-        pm = _softmax(o[rows] @ p["M"][k] + p["m"][k])
-        loss -= np.log(pm[np.arange(len(rows)), member[rows]] + 1e-30).sum()
-        pm[np.arange(len(rows)), member[rows]] -= 1
-        pm /= n
-        g["M"][k], g["m"][k] = o[rows].T @ pm, pm.sum(0)
-        do[rows] += pm @ p["M"][k].T
+    for k, at in classes:
+        g["M"][k], g["m"][k] = o[at].T @ pm[at], ones[at] @ pm[at]
+        do[at] += pm[at] @ p["M"][k].T
+    d = np.zeros_like(out)
     d[use] = do
     g["U"] = z.T @ d
-    dz = (d @ p["U"].T) * (z > 0)
-    g["W"], g["w"] = r.T @ dz, dz.sum(0)
-    dr = (d + dz @ p["W"].T).reshape(late.shape)
-    dv = a.transpose(0, 2, 1) @ dr
-    da = dr @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * scale
-    dq = ds @ h
-    flat = h.reshape(-1, DIM)
-    g["V"], g["A"] = flat.T @ dv.reshape(-1, DIM), late.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-    dh = dv @ p["V"].T + ds.transpose(0, 2, 1) @ q
-    dh[:, WINDOW - STEP:] += dr + dq @ p["A"].T
-    g["P"] = dh.sum(0)
+    dz = d @ p["U"].T
+    dz *= z > 0
+    g["W"], g["w"] = r.T @ dz, np.ones(len(dz), kind) @ dz
+    d += dz @ p["W"].T
+    dr = d * over
+    to_scores = np.einsum("ij,ij->i", dr, seen).reshape(-1, STEP, 1)
+    dr = dr.reshape(-1, STEP, DIM)
+    dv = (a.transpose(0, 2, 1) @ dr).reshape(-1, DIM)
+    ds = dr @ v.transpose(0, 2, 1)
+    ds -= to_scores
+    ds *= a
+    dq = (ds @ h).reshape(-1, DIM)
+    g["V"], g["A"] = flat.T @ dv, (late.T @ dq) * scale
+    dh = ds.transpose(0, 2, 1) @ q
+    dh += (dv @ p["V"].T).reshape(h.shape)
+    d += dq @ A.T
+    dh[:, before:] += d.reshape(dr.shape)
+    g["P"] = (np.ones(len(x), kind) @ dh.reshape(len(x), -1)).reshape(WINDOW, DIM)
+    at = x.ravel().astype(np.int16)
+    order = np.argsort(at, kind="stable")
+    at = at.take(order)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     g["E"] = np.zeros_like(p["E"])
-    order = np.argsort(x.ravel(), kind="stable")
-    at, first = np.unique(x.ravel()[order], return_index=True)
-    g["E"][at] = np.add.reduceat(dh.reshape(-1, DIM)[order], first)
-    return float(loss / n), g
+    g["E"][at[first]] = np.add.reduceat(dh.reshape(-1, DIM).take(order, 0), first)
+    return float(loss / len(use)), g
 
 
 class _Adam:
@@ -384,9 +468,19 @@ class _Adam:
         self.step += 1
         for k, v in g.items():
             first, second = self.first[k], self.second[k]
-            first += 0.1 * (v - first)
-            second += 0.01 * (v * v - second)
-            self.p[k] -= (rate / (1 - 0.9 ** self.step)) * first / (np.sqrt(second / (1 - 0.99 ** self.step)) + 1e-8)
+            some = v - first
+            some *= 0.1
+            first += some
+            np.multiply(v, v, out=some)
+            some -= second
+            some *= 0.01
+            second += some
+            np.divide(second, 1 - 0.99 ** self.step, out=some)
+            np.sqrt(some, out=some)
+            some += 1e-8
+            np.divide(first, some, out=some)
+            some *= rate / (1 - 0.9 ** self.step)
+            self.p[k] -= some
 
 
 def train(model: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.ndarray, steps: int = STEPS) -> list[float]:
@@ -429,8 +523,8 @@ def train(model: Model, inputs: np.ndarray, targets: np.ndarray, counted: np.nda
     return losses
 
 
-def sample(texts: DataFrame, ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where training starts: at most ``TRAIN_WINDOWS`` windows of ``texts(text binary, h bigint)``: inputs, ids to predict, and which places count.
+def sample(texts: DataFrame, enc: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where training starts: at most ``TRAIN_WINDOWS`` windows of ``texts(ids binary, h bigint)``: inputs, ids to predict, and which places count.
 
     Documents are picked by the hash ``h``, windows of a document by a generator
     seeded with it; of more windows, those with the smallest hashes are taken.
@@ -438,15 +532,14 @@ def sample(texts: DataFrame, ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     n = texts.count()
     share = min(1.0, 1.5 * TRAIN_WINDOWS / OF_A_TEXT / max(n, 1))
     of_a_text = max(OF_A_TEXT, TRAIN_WINDOWS // max(n, 1))
-    shared = texts.sparkSession.sparkContext.broadcast(ranks)
+    start, end, size = enc.start, enc.end, enc.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = subwords(shared.value)
         for b in batches:
             rows: list[tuple[int, bytes, bytes]] = []
-            for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array(enc.of_words(words_of(t)), np.int64)
-                inputs, ids = windows(ids, enc.start, enc.end)
+            every, many = unpacked(b.column(0), size)
+            for ids, h in zip(np.split(every, np.cumsum(many)[:-1]), b.column(1).to_pylist()):
+                inputs, ids = windows(ids, start, end)
                 number = -(-len(ids) // STEP)
                 rng = np.random.default_rng(h % (1 << 63))
                 for k in rng.choice(number, min(of_a_text, number), replace=False).tolist():
@@ -467,8 +560,8 @@ def sample(texts: DataFrame, ranks: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     return inputs, targets, counted
 
 
-def learn(texts: DataFrame, ranks: bytes, model: Model) -> int:
-    """Trains on every window of ``texts(text binary, h bigint)``, each once; ``model`` is changed.  The number of windows.
+def learn(texts: DataFrame, enc: Subwords, model: Model) -> int:
+    """Trains on every window of ``texts(ids binary, h bigint)``, each once; ``model`` is changed.  The number of windows.
 
     Documents are dealt to ``ROUNDS`` rounds by the hash ``h``.  In a round each task
     takes Adam steps over the windows of its own documents, from the state that the round began
@@ -477,7 +570,7 @@ def learn(texts: DataFrame, ranks: bytes, model: Model) -> int:
     documents share a task depends on how the input is partitioned, and with it the last digits.
     """
     spark = texts.sparkSession
-    fixed = spark.sparkContext.broadcast((ranks, model.slot, model.source, model.tail))
+    fixed = spark.sparkContext.broadcast((enc.start, enc.end, enc.size, model.slot, model.source, model.tail))
     others = [k for k in model.p if k != "E"]
     seen = 0
 
@@ -492,8 +585,7 @@ def learn(texts: DataFrame, ranks: bytes, model: Model) -> int:
         rate = ROUND_RATE * (1 - number / ROUNDS)
 
         def run(batches: Iterator[pa.RecordBatch], number=number, rate=rate, state=state) -> Iterator[pa.RecordBatch]:
-            ranks, slots, source, tail = fixed.value
-            enc = subwords(ranks)
+            start, end, size, slots, source, tail = fixed.value
             began = state.value
             m = Model(slots, source, tail, {k: v.copy() for k, v in began.items()})
             task = TaskContext.get().partitionId()
@@ -515,12 +607,10 @@ def learn(texts: DataFrame, ranks: bytes, model: Model) -> int:
                     waiting.append((x[rest], y[rest], counted[rest]))
 
             for b in batches:
-                words, many = all_words(b.column(0))
-                words = words.dictionary_encode()
-                ids, size = enc.of_texts(words.dictionary.to_pylist(), words.indices.to_numpy(), many)
-                if not len(size):
+                ids, many = unpacked(b.column(0), size)
+                if not len(many):
                     continue
-                x, _, at = lay(m, ids, size, enc.start, enc.end)
+                x, _, at = lay(m, ids, many, start, end)
                 y, counted = np.zeros(len(x) * STEP, slots.dtype), np.zeros(len(x) * STEP, bool)
                 y[at], counted[at] = slots[ids], True
                 waiting.append((x, y.reshape(-1, STEP), counted.reshape(-1, STEP)))
@@ -541,7 +631,7 @@ def learn(texts: DataFrame, ranks: bytes, model: Model) -> int:
                      pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
                     ["task", "row", "n", "v"])
 
-        part = texts.where(F.pmod("h", F.lit(ROUNDS)) == number).select("text")
+        part = texts.where(F.pmod("h", F.lit(ROUNDS)) == number).select("ids")
         got = map_arrow(part, run, "task bigint, row bigint, n binary, v binary").groupBy("row").applyInArrow(
             total, "row bigint, n binary, v binary").collect()
         p = {k: v.copy() for k, v in model.p.items()}
@@ -580,18 +670,25 @@ def log10_p(model: Model, ids: np.ndarray, size: np.ndarray, start: int, end: in
 
 
 @dataclass
-class Trained:
-    """All that scoring needs: the vocabulary, the network, the baseline's totals, the broadcast counts, the counts table."""
+class Counted:
+    """What the baseline needs, and the vocabulary: totals, the broadcast counts, the counts table."""
 
     ranks: bytes
-    model: Model
     tokens: int                 # N
     distinct: int               # V
     ends: int
     frequent: dict[bytes, int]
     counts: DataFrame
+
+
+@dataclass
+class Trained(Counted):
+    """All that scoring needs."""
+
+    model: Model
     losses: list[float]         # where training started
     windows: int                # learned from
+    rows: DataFrame             # the documents given to ``fit``, encoded
 
 
 def _is_frequent(tokens: int) -> Column:
@@ -609,17 +706,17 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", train_on: C
     with open(vocabulary, "rb") as f:
         ranks = f.read()
     train_on = ~held_out(doc_id) if train_on is None else train_on
-    h = F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
-    src = docs.where(train_on).select(F.col(text).cast("binary").alias("text"), h.alias("h"))
-    counts = materialise(word_counts(src.select("text")), "op12-counts")
+    counts = materialise(word_counts(docs.where(train_on).select(F.col(text).cast("binary").alias("text"))), "op12-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
                        F.coalesce(F.max(F.when(F.length("word") == 0, F.col("n"))), F.lit(0)).alias("ends")).first()
     few = counts.where(_is_frequent(total["n"])).toArrow()             # at most FREQUENT words of SHORT bytes
     frequent = dict(zip(few["word"].to_pylist(), few["n"].to_pylist()))
-    model = _setting(subword_counts(counts, ranks), subwords(ranks).end)
-    losses = train(model, *sample(src, ranks), steps=steps)
-    windows = learn(src, ranks, model)
-    return Trained(ranks, model, total["n"], total["v"], total["ends"], frequent, counts, losses, windows)
+    counted = Counted(ranks, total["n"], total["v"], total["ends"], frequent, counts)
+    rows, enc = encode(docs, counted, text, doc_id, train_on), subwords(ranks)
+    src = rows.where("train").select("ids", "h")
+    model = _setting(subword_counts(src.select("ids"), enc.size), enc.end)
+    losses = train(model, *sample(src, enc), steps=steps)
+    return Trained(**vars(counted), model=model, losses=losses, windows=learn(src, enc, model), rows=rows)
 
 
 def _share(n, tokens: int, distinct: int):
@@ -627,64 +724,89 @@ def _share(n, tokens: int, distinct: int):
     return (n + 0.1) / (tokens + 0.1 * (distinct + 1))
 
 
-def score(docs: DataFrame, trained: Trained, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+def encode(docs: DataFrame, counted: Counted, text: str, doc_id: str, train_on: Column | None = None) -> DataFrame:
+    """A written table of all rows: ``uid, doc_id, held_out, train, h, n_tokens, known, base, others, ids``.
 
-    Tokens are the words and one end.  ``base_score`` is the sum of the tokens' log10
-    shares, ``score`` the network's log10 probability of the words' subwords and
-    the end.  Frequent words' counts are broadcast; a document's other words are
-    joined with the counts table.  Null texts count as empty: one token, the end.
-    Repeated rows and null ids are rows like others (a null id is held out, as crc32
-    of the empty string is 0); an empty table gives an empty result.  Without training
-    documents every base score is 0 and the network is as it began.  Only the two columns are read.
+    ``ids`` are the subwords and the end, packed; ``base`` and ``known`` are of the end and the
+    frequent words, ``others`` lists the other words and how often each occurs; ``h`` is a hash of the row.
     """
     spark = docs.sparkSession
     prepare(spark)
-    t = trained
-    shared = spark.sparkContext.broadcast((t.ranks, t.model, t.tokens, t.distinct, t.ends, t.frequent))
+    t = counted
+    shared = spark.sparkContext.broadcast((t.ranks, t.tokens, t.distinct, t.ends, t.frequent))
     kind = docs.schema[doc_id].dataType.simpleString()
     rare = pa.struct([("w", pa.binary()), ("k", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, model, tokens, distinct, ends, frequent = shared.value
+        ranks, tokens, distinct, ends, frequent = shared.value
         enc = subwords(ranks)
-        logs = dict(zip(frequent, np.log10(_share(np.array(list(frequent.values()), float), tokens, distinct)).tolist()))
+        known = pa.array(list(frequent), pa.binary())
+        logs = np.append(np.log10(_share(np.array(list(frequent.values()), float), tokens, distinct)), 0.0)
         end = float(np.log10(_share(ends, tokens, distinct)))
-        for b in batches:
-            words, number = all_words(b.column(3))
+        for b in together(batches, 5):
+            words, number = all_words(b.column(5))
             words = words.dictionary_encode()
             at, names = words.indices.to_numpy(), words.dictionary
-            different = names.to_pylist()
-            found = list(map(logs.get, different))
-            frequently = np.array([log is not None for log in found], bool)
-            log = np.array([log or 0.0 for log in found], float)
+            found = pc.fill_null(pc.index_in(names, value_set=known), len(known)).to_numpy()
+            frequently, log = found < len(known), logs[found]
             doc = np.repeat(np.arange(len(number)), number)
             few = ~frequently[at]
-            pairs, times = np.unique(doc[few] * len(different) + at[few], return_counts=True)
+            pairs, times = np.unique(doc[few] * len(names) + at[few], return_counts=True)
             others = np.bincount(doc[few], minlength=len(number))
-            shares, upto = log[at].tolist(), np.cumsum(number).tolist()
-            base = [end + sum(shares[k - n:k]) for k, n in zip(upto, number.tolist())]
-            ids, size = enc.of_texts(different, at, number)
+            base = end + np.bincount(doc, log[at], len(number))
+            ids = enc.of_texts(names, at, number)
+            at = np.searchsorted(pairs, np.arange(len(number) + 1) * len(names))
+            names = names.take(pa.array(pairs % max(len(names), 1)))
+            rest = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(
+                [names, pa.array(times, pa.int64())], fields=list(rare)))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:5], pa.array(number + 1), pa.array(number - others + int(ends > 0)), pa.array(base, pa.float64()),
+                 rest, ids],
+                ["uid", "doc_id", "held_out", "train", "h", "n_tokens", "known", "base", "others", "ids"])
+
+    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"),
+                      F.coalesce(F.lit(False) if train_on is None else train_on, F.lit(False)).alias("train"),
+                      F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"), F.col(text).cast("binary").alias("text"))
+    return materialise(map_arrow(src, run, f"uid bigint, doc_id {kind}, held_out boolean, train boolean, h bigint, n_tokens bigint, known bigint, "
+                                 "base double, others array<struct<w: binary, k: bigint>>, ids binary"), "op12-encoded", compression="zstd")
+
+
+def score(docs: DataFrame, trained: Trained, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    Tokens are the words and one end.  ``base_score`` is the sum of the tokens' log10
+    shares, ``score`` the network's log10 probability of the words' subwords and
+    the end.  Frequent words' counts are broadcast; a document's other words are
+    joined with the counts table.  Null texts count as empty: one token, the end.
+    Repeated rows and null ids are rows like others (a null id is held out, as crc32
+    of the empty string is 0); an empty table gives an empty result.  Without training
+    documents every base score is 0 and the network is as it began.  Only the two columns are read.
+    """
+    return score_rows(encode(docs, trained, text, doc_id), trained)
+
+
+def score_rows(rows: DataFrame, trained: Trained) -> DataFrame:
+    """``score`` of what ``encode`` made of the documents."""
+    t, enc = trained, subwords(trained.ranks)
+    shared = rows.sparkSession.sparkContext.broadcast((t.model, enc.start, enc.end, enc.size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, start, end, vocabulary = shared.value
+        for b in batches:
+            ids, size = unpacked(b.column(6), vocabulary)
             # texts of about IDS_AT_ONCE subwords at once
             cuts, upto = [0], np.cumsum(size)
             while cuts[-1] < len(size):
                 before = int(upto[cuts[-1] - 1]) if cuts[-1] else 0
                 cuts.append(min(int(np.searchsorted(upto, before + IDS_AT_ONCE)) + 1, len(size)))
-            scores = [log10_p(model, ids[upto[i] - size[i]:upto[k - 1]], size[i:k], enc.start, enc.end)
-                      for i, k in zip(cuts, cuts[1:])]
-            at = np.searchsorted(pairs, np.arange(len(number) + 1) * len(different))
-            names = names.take(pa.array(pairs % max(len(different), 1)))
-            rest = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(
-                [names, pa.array(times, pa.int64())], fields=list(rare)))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(number + 1), pa.array(number - others + int(ends > 0)), pa.array(base, pa.float64()),
-                 pa.array(np.concatenate([np.zeros(0), *scores])), rest],
-                ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "others"])
-
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"),
-                      held_out(doc_id).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    rows = materialise(map_arrow(src, run, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, "
-                                 "base double, score double, others array<struct<w: binary, k: bigint>>"), "op12-scored")
+            scores = [log10_p(model, ids[upto[i] - size[i]:upto[k - 1]], size[i:k], start, end) for i, k in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(np.concatenate([np.zeros(0), *scores]))],
+                                             ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = materialise(map_arrow(rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "ids"), run,
+                                   f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double"),
+                         "op12-scored")
     # as many rows as documents have different infrequent words; no word of these has many
     listed = rows.select("uid", F.explode("others").alias("o")).select("uid", F.col("o.w").alias("word"), F.col("o.k").alias("k"))
     found = t.counts.where(~_is_frequent(t.tokens) & (F.length("word") > 0))
@@ -692,12 +814,12 @@ def score(docs: DataFrame, trained: Trained, text: str = "text", doc_id: str = "
     rest = listed.join(found, "word", "left").groupBy("uid").agg(
         F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"),
         F.sum(F.col("k") * F.log10(_share(n, t.tokens, t.distinct))).alias("more_base"))
-    return rows.drop("others").join(rest, "uid", "left").select(
+    return scored.join(rest, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(t.tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
 
 
 def op12_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return score(docs, fit(docs))
+    trained = fit(documents(spark, sf_dir))
+    return score_rows(trained.rows, trained)

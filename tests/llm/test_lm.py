@@ -201,3 +201,34 @@ def test_learns_from_every_window_of_every_training_document(spark, enc, monkeyp
     begun = L.fit(docs, steps=20)
     a, b = ({r["doc_id"]: r["score"] for r in L.score(docs, x).where("held_out").collect()} for x in (t, begun))
     assert sum(a.values()) > 0.99 * sum(b.values())
+
+
+def test_words_encoded_in_one_call_are_those_encoded_one_by_one(enc):
+    import pyarrow as pa
+    texts = [b"", b"  ", None, "Ü é日本\u0085x   end".encode(), b"\xff\xfe a\xe2\x82 b " + b"x" * 200 + b" q", b"z" * 65, b"a b a " + b"y" * 300]
+    for some in (texts, texts[:3], texts[5:6], []):
+        words, number = L.all_words(pa.array(some, pa.binary()))
+        words = words.dictionary_encode()
+        got = enc.of_texts(words.dictionary, words.indices.to_numpy(), number)
+        want = [enc.of_words(L.words_of(t)) for t in some]
+        for a, b in ((got, want), (got.slice(1), want[1:])):
+            ids, size = L.unpacked(a, enc.size)
+            assert (ids.tolist(), size.tolist()) == ([i for x in b for i in x], [len(x) for x in b])
+
+
+def test_texts_are_encoded_once(spark, enc, monkeypatch):
+    """Training and scoring read the ids that one pass over the texts wrote."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    calls, encode = [], L.encode
+    monkeypatch.setattr(L, "encode", lambda *a: calls.append(1) or encode(*a))
+    monkeypatch.setattr(L, "documents", lambda *a: docs)
+    steps = L.fit.__defaults__
+    monkeypatch.setattr(L.fit, "__defaults__", (*steps[:-1], 20))
+    got = {r["doc_id"]: r["score"] for r in L.op12_lm_scoring(spark, "").collect()}
+    assert len(calls) == 1 and len(got) == docs.count() and all(s < 0 for s in got.values())
+    t = L.fit(docs, steps=5)
+    want = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in L.score(docs, t).collect()}
+    assert {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in L.score_rows(t.rows, t).collect()} == want
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in t.rows.collect():
+        assert np.frombuffer(r["ids"], np.uint16).tolist() == enc.of_words(L.words_of((texts[r["doc_id"]] or "").encode()))
