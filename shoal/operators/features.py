@@ -4,7 +4,7 @@ external embeddings (T8, T9, T11).
 Plan shape, whatever the corpus size:
 
 * tokens, n-grams and a document's different terms are computed inside each row
-  -- no shuffle;
+  -- no shuffle; tokens that are read several times are a written table, not a cache;
 * document frequency and corpus frequency per term: one shuffle on ``term``
   with a map-side partial aggregate (hot terms combine before the shuffle);
 * the vocabulary is the top ``max_features`` terms (a TakeOrdered, at most
@@ -18,15 +18,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoal.functions import text as TX
-from shoal.session import ensure_checkpoint_dir
+from shoal.session import ensure_checkpoint_dir, written
 
 
 @dataclass(frozen=True)
@@ -186,28 +185,37 @@ def pruned_vocabulary(toks: DataFrame, n_docs: int, params: TfidfParams = TfidfP
     return _top(best.unionByName(term_stats(pairs).where(allowed)), params).select("term", "df")
 
 
-def fit_vocabulary(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams()):
+def stored_tokens(df: DataFrame, text_col: str = "document_text") -> DataFrame:
+    """The rows of :func:`tokens`, from a written table with one string a document.
+
+    They are read several times.  Cached as arrays they take several times the texts'
+    memory, and the serializer holds up to 100 batches of them beyond what Spark counts.
+    """
+    joined = tokens(df, text_col).select("record_id", F.array_join("_tok", " ").alias("_t"))     # a token has no space
+    each = F.when(F.col("_t") == "", F.array().cast("array<string>")).otherwise(F.split("_t", " "))
+    return written(joined, "tokens").select("record_id", each.alias("_tok"))
+
+
+def fit_vocabulary(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams(),
+                   toks: DataFrame | None = None):
     """T3/T4 with the T6 fallback; returns ``(vocab list, df list, n_docs, used_fallback)``.
 
     The vocabulary (at most ``max_features`` rows) is the one driver-side
-    result; it configures the JVM-side vectoriser.
+    result; it configures the JVM-side vectoriser.  ``toks`` are the frame's stored tokens, if there are any yet.
     """
-    toks = tokens(df, text_col).persist(StorageLevel.MEMORY_AND_DISK)       # read by the counts of words and of bigrams
+    toks = stored_tokens(df, text_col) if toks is None else toks             # read by the counts of words and of bigrams
+    n_docs = toks.count()
+    rows = []
     try:
-        n_docs = toks.count()
+        rows = pruned_vocabulary(toks, n_docs, params).collect()
+    except EmptyVocabulary:
         rows = []
-        try:
-            rows = pruned_vocabulary(toks, n_docs, params).collect()
-        except EmptyVocabulary:
-            rows = []
-        fallback = not rows
-        if fallback:
-            p2 = TfidfParams(max_features=params.fallback_max_features, ngram_max=1, min_df=1, max_df=1.0)
-            rows = vocabulary(toks.select("record_id", F.col("_tok").alias("terms")), n_docs, p2).collect()
-            if not rows:
-                raise EmptyVocabulary("empty vocabulary: the documents contain no tokens")
-    finally:
-        toks.unpersist()
+    fallback = not rows
+    if fallback:
+        p2 = TfidfParams(max_features=params.fallback_max_features, ngram_max=1, min_df=1, max_df=1.0)
+        rows = vocabulary(toks.select("record_id", F.col("_tok").alias("terms")), n_docs, p2).collect()
+        if not rows:
+            raise EmptyVocabulary("empty vocabulary: the documents contain no tokens")
     rows = sorted(rows, key=lambda r: r["term"])
     return [r["term"] for r in rows], [int(r["df"]) for r in rows], n_docs, fallback
 
@@ -243,6 +251,8 @@ class TfidfModel:
     n_docs: int
     used_fallback: bool
     ngram_max: int
+    #: The frame and text column that the model was fitted on, with their stored tokens.
+    fitted_on: tuple[DataFrame, str, DataFrame] | None = field(default=None, repr=False, compare=False)
 
     def transform(self, df: DataFrame, text_col: str = "document_text", id_col: str = "record_id",
                   output_col: str = "features", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -253,7 +263,11 @@ class TfidfModel:
         from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
         from pyspark.ml.linalg import Vectors
 
-        tdf = self._terms(tokens(df, text_col, id_col, keep), keep)
+        toks = None
+        if self.fitted_on is not None and (id_col, tuple(keep)) == ("record_id", ()):
+            frame, column, stored = self.fitted_on
+            toks = stored if frame is df and column == text_col else None
+        tdf = self._terms(tokens(df, text_col, id_col, keep) if toks is None else toks, keep)
         cv = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="terms", outputCol="_tf")
         ep = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w")
         nz = Normalizer(p=2.0, inputCol="_w", outputCol=output_col)
@@ -275,9 +289,10 @@ def _words_of(vocabulary: list[str]) -> list[str]:
 
 def fit_tfidf(df: DataFrame, text_col: str = "document_text", params: TfidfParams = TfidfParams()) -> TfidfModel:
     """Fit the vocabulary and idf; T7 via :meth:`TfidfModel.transform`."""
-    vocab, dfs, n_docs, fallback = fit_vocabulary(df, text_col, params)
+    toks = stored_tokens(df, text_col)
+    vocab, dfs, n_docs, fallback = fit_vocabulary(df, text_col, params, toks)
     return TfidfModel(vocab, [smooth_idf(d, n_docs) for d in dfs], n_docs, fallback,
-                      1 if fallback else params.ngram_max)
+                      1 if fallback else params.ngram_max, (df, text_col, toks))
 
 
 # -- T8 / T9 / T11: external models --------------------------------------------
